@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, linededup, simhash, toxicity, url_filter
+from lectern.llm import decontaminate, html_text, linededup, sentencepiece_codec, simhash, toxicity, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "n_labelled", F.round("posterior_mean", 6).alias("posterior_mean"), F.round("posterior_bound", 6).alias("posterior_bound"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the class that links of 4 bits or fewer make."""
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, radius=4)
@@ -40,10 +45,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's piece ids, and whether they decode to the very text."""
+    coded = sentencepiece_codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sentencepiece_codec.decode(coded).select("doc_id", F.size("ids").alias("n_pieces"), "ids", (F.col("decoded") == F.col("text")).alias("exact"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that occurs in it, with the edit distance and place."""
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op7_simhash, op8_toxicity, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op4_html_text, op7_simhash, op8_toxicity, op9_sentencepiece, op10_decontaminate)}
 ORACLES = {"op2_url_filter": url_filter.ORACLE_SQL}
