@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, html_text, linededup, sentencepiece_codec, simhash, toxicity, url_filter
+from lectern.llm import decontaminate, html_text, katz, linededup, sentencepiece_codec, simhash, toxicity, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "n_labelled", F.round("posterior_mean", 6).alias("posterior_mean"), F.round("posterior_bound", 6).alias("posterior_bound"))
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability, learnt from those whose crc32 leaves no 2 by 7."""
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    out = katz.score(read(spark, sf_dir, "documents"), remainder != 2)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
@@ -56,5 +63,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op4_html_text, op7_simhash, op8_toxicity, op9_sentencepiece, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_katz, op4_html_text, op7_simhash, op8_toxicity, op9_sentencepiece, op10_decontaminate)}
 ORACLES = {"op2_url_filter": url_filter.ORACLE_SQL}
