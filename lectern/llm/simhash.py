@@ -120,8 +120,27 @@ def _forest(tree_ids, tree_values, query_ids, query_values, radius: int) -> list
     return list(zip(ids[moved].tolist(), ids[top[moved]].tolist()))
 
 
-def _cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell; a cell has at most SHARD tree rows and SHARD queries, whatever the batches."""
+def _neighbours(tree_ids, tree_values, query_ids, query_values, radius: int) -> list[tuple[int, int]]:
+    """(id, smaller id): each query's nearest and its first match with a smaller id, and the same seen from the tree."""
+    out = set()
+    for ids, values, others, other_values in ((query_ids, query_values, tree_ids, tree_values), (tree_ids, tree_values, query_ids, query_values))[: 1 if tree_ids is query_ids else 2]:
+        nearest = np.full(len(ids), np.iinfo(np.int64).max)
+        first = np.full(len(ids), np.iinfo(np.int64).max)
+        far = np.full(len(ids), 65)
+        for node, near in BKTree(other_values).within(values, radius):
+            there = others[node]
+            near = near[ids[near] > there]
+            gap = np.bitwise_count(values[near] ^ other_values[node]).astype(np.int64)
+            better = (gap < far[near]) | ((gap == far[near]) & (there < nearest[near]))
+            nearest[near[better]], far[near[better]] = there, gap[better]
+            first[near] = np.minimum(first[near], there)
+        got = far < 65
+        out |= set(zip(ids[got].tolist(), nearest[got].tolist())) | set(zip(ids[got].tolist(), first[got].tolist()))
+    return sorted(out)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], radius: int, join=_forest) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell; a cell has about SHARD tree rows and SHARD queries at most, whatever the batches."""
 
     def solve(table: pa.Table) -> list[tuple[int, int]]:
         band, value, i, j = (table[c].to_numpy() for c in ("band", "value", "i", "j"))
@@ -133,9 +152,9 @@ def _cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
             t = tree[a:b]
             if i[a] == j[a]:
                 if b - a > 1:
-                    out += _forest(ids[a:b], fps[a:b], ids[a:b], fps[a:b], radius)
+                    out += join(mine := ids[a:b], fps[a:b], mine, fps[a:b], radius)
             else:
-                out += _forest(ids[a:b][t], fps[a:b][t], ids[a:b][~t], fps[a:b][~t], radius)
+                out += join(ids[a:b][t], fps[a:b][t], ids[a:b][~t], fps[a:b][~t], radius)
         return out
 
     kept: list[pa.RecordBatch] = []
@@ -173,8 +192,11 @@ def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def links(nodes: DataFrame, radius: int = 4, shard: int = SHARD) -> DataFrame:
-    """(a, b): links that connect distinct fingerprints (id, fingerprint) as all links within radius would."""
+def links(nodes: DataFrame, radius: int = 4, shard: int = SHARD, nearest: bool = False) -> DataFrame:
+    """(a, b): links that connect distinct fingerprints (id, fingerprint) as all links within radius would.
+
+    nearest: instead, links of each id to its nearest and to its first smaller id in each cell.
+    """
     width, wide = divmod(64, radius + 1)
     bands, at = [], 0
     for k in range(radius + 1):
@@ -190,7 +212,8 @@ def links(nodes: DataFrame, radius: int = 4, shard: int = SHARD) -> DataFrame:
                transform(filter(sequence(0, shards - 1), x -> x < s), x -> struct(x as i, s as j, true as tree)))""")).alias("c"))
     cells = cells.select("band", "value", "c.i", "c.j", "c.tree", "id", "fingerprint")
     cells = cells.repartition("band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j")
-    return cells.mapInArrow(lambda batches: _cells(batches, radius), "a long, b long")
+    join = _neighbours if nearest else _forest
+    return cells.mapInArrow(lambda batches: _cells(batches, radius, join), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,3 +223,49 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
     found = connected_components(links(nodes, radius), "simhash-links").withColumnRenamed("node", "first")
     classes = nodes.withColumnRenamed("id", "first").join(found, "first", "left")
     return prints.join(classes, "fingerprint").select("id", "fingerprint", F.coalesce("component", "first").alias("component_id"))
+
+
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, shingles): the distinct shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(1):
+                words = (text.as_py() or "").encode().lower().split()
+                grams = {xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle]), 42) - (1 << 63) for k in range(max(len(words) - shingle, 0) + 1)} if words else set()
+                out.append(list(grams))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = 7, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, group_id) of the documents whose group holds more than one: verified near duplicates.
+
+    Fingerprints within ``radius`` bits are candidates. A document is compared with the first
+    of its fingerprint and with the nearest and the first smaller id in each BK-tree cell; a
+    link holds if the Jaccard similarity of the shingle sets reaches ``similarity``, as it does
+    for equal texts. Texts without words are alike. Rows of one id are one document.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    prints = fingerprints(base, shingle, "id").join(base.groupBy("id").agg(F.min(F.xxhash64("text")).alias("version")), "id")
+    prints = materialize(prints.groupBy("id").agg(F.min(F.struct("fingerprint", "version")).alias("p")).select("id", "p.*"), "simhash")
+    nodes = prints.groupBy("fingerprint").agg(F.min(F.struct("id", "version")).alias("f")).select("fingerprint", F.col("f.id").alias("id"), F.col("f.version").alias("version"))
+    same = prints.join(nodes.select("fingerprint", F.col("id").alias("b"), F.col("version").alias("vb")), "fingerprint").where("id <> b").select(F.col("id").alias("a"), "b", (F.col("version") == F.col("vb")).alias("equal"))
+    near = links(nodes.select("id", "fingerprint"), radius, nearest=True).distinct().withColumn("equal", F.lit(False))
+    found = materialize(same.unionByName(near), "simhash-links")
+    asked = found.where("not equal").select("a", "b")
+    ends = asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct()
+    sets = materialize(_shingle_sets(base.dropDuplicates(["id"]).join(ends, "id", "left_semi"), shingle), "shingles")
+    both = asked.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    held = both.where(((F.size("x") == 0) & (F.size("y") == 0)) | (common >= similarity * (F.size("x") + F.size("y") - common)))
+    verified = found.where("equal").select("a", "b").union(held.select("a", "b"))
+    return connected_components(verified, "near-duplicates").select(F.col("node").alias("id"), F.col("component").alias("group_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
+    """docs with only the smallest doc_id of each group of near duplicates; rows without an id stay."""
+    gone = similar_groups(docs, shingle, radius, similarity).where("id <> group_id").select(F.col("id").alias("doc_id"))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
