@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,13 +96,17 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         first = last
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end) of data."""
+def span_hasher(data: np.ndarray, lower: bool = True) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of starts and ends: the 64-bit hashes of these byte spans of data."""
     up, down = powers(len(data) + 1)
-    table = _BYTE_VALUE_LOWER if lower else _BYTE_VALUE
     total = np.zeros(len(data) + 1, U64)
-    np.cumsum(table[data] * up[: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * _MULT)
+    np.cumsum((_BYTE_VALUE_LOWER if lower else _BYTE_VALUE)[data] * up[: len(data)], out=total[1:])
+    return lambda starts, ends: mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * _MULT)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end) of data."""
+    return span_hasher(data, lower)(starts, ends)
 
 
 def token_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
