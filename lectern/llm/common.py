@@ -109,6 +109,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return span_hasher(data, lower)(starts, ends)
 
 
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of all runs of size bytes of data."""
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=total[1:])
+    n = len(data) - size + 1
+    return mix64((total[size:] - total[:n]) * down[:n])
+
+
 def token_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the row of each; words hold no byte of \\x20\\x09-\\x0D."""
     word = ~_SPACE[data]
