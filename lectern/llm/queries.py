@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, html_text, katz, linededup, sentencepiece_codec, simhash, suffix_dedup, toxicity, url_filter
+from lectern.llm import decontaminate, html_text, images, katz, linededup, sentencepiece_codec, simhash, suffix_dedup, toxicity, url_filter
+from lectern.llm.common import materialize
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,12 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every picture made from the embeddings, with its class of copies and its links."""
+    pictures = materialize(images.from_embeddings(read(spark, sf_dir, "embeddings")), "pictures")
+    return images.copies(pictures).select("image_id", "class_id", "n_links")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes left after 100-byte strings that start earlier went."""
     return suffix_dedup.dedup(read(spark, sf_dir, "documents")).drop("kept")
@@ -68,5 +75,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_katz, op4_html_text, op6_suffix_dedup, op7_simhash, op8_toxicity, op9_sentencepiece, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_katz, op4_html_text, op5_image_copies, op6_suffix_dedup, op7_simhash, op8_toxicity, op9_sentencepiece, op10_decontaminate)}
 ORACLES = {"op2_url_filter": url_filter.ORACLE_SQL}

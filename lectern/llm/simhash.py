@@ -192,10 +192,11 @@ def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def links(nodes: DataFrame, radius: int = 4, shard: int = SHARD, nearest: bool = False) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 4, shard: int = SHARD, join=_forest) -> DataFrame:
     """(a, b): links that connect distinct fingerprints (id, fingerprint) as all links within radius would.
 
-    nearest: instead, links of each id to its nearest and to its first smaller id in each cell.
+    join: what a cell returns; _neighbours gives links of each id to its nearest and its first
+    smaller id instead of a forest.
     """
     width, wide = divmod(64, radius + 1)
     bands, at = [], 0
@@ -212,7 +213,6 @@ def links(nodes: DataFrame, radius: int = 4, shard: int = SHARD, nearest: bool =
                transform(filter(sequence(0, shards - 1), x -> x < s), x -> struct(x as i, s as j, true as tree)))""")).alias("c"))
     cells = cells.select("band", "value", "c.i", "c.j", "c.tree", "id", "fingerprint")
     cells = cells.repartition("band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j")
-    join = _neighbours if nearest else _forest
     return cells.mapInArrow(lambda batches: _cells(batches, radius, join), "a long, b long")
 
 
@@ -253,7 +253,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = 7, similarit
     prints = materialize(prints.groupBy("id").agg(F.min(F.struct("fingerprint", "version")).alias("p")).select("id", "p.*"), "simhash")
     nodes = prints.groupBy("fingerprint").agg(F.min(F.struct("id", "version")).alias("f")).select("fingerprint", F.col("f.id").alias("id"), F.col("f.version").alias("version"))
     same = prints.join(nodes.select("fingerprint", F.col("id").alias("b"), F.col("version").alias("vb")), "fingerprint").where("id <> b").select(F.col("id").alias("a"), "b", (F.col("version") == F.col("vb")).alias("equal"))
-    near = links(nodes.select("id", "fingerprint"), radius, nearest=True).distinct().withColumn("equal", F.lit(False))
+    near = links(nodes.select("id", "fingerprint"), radius, join=_neighbours).distinct().withColumn("equal", F.lit(False))
     found = materialize(same.unionByName(near), "simhash-links")
     asked = found.where("not equal").select("a", "b")
     ends = asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct()
