@@ -280,25 +280,39 @@ def c7_staged_top(spark, sf_dir):
 # Archive
 
 
-def _tree(spark: SparkSession, sf_dir: str) -> str:
-    """The books as a folder tree of {year}/…/metadata.json, one of them broken."""
+def _tree(spark: SparkSession, sf_dir: str, broken: bool = False) -> str:
+    """A folder tree with the books of each collection as one array; broken spoils those of December."""
     root = temp_root(spark, "tree")
     book = F.struct(F.col("barcode").alias("书目条码"), F.col("title").alias("豆瓣书名"), F.col("author").alias("豆瓣作者"))
     rows = table(spark, sf_dir, "books").groupBy("collection_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("pos", book.alias("b")))), lambda x: x["b"])).alias("value"))
-    return root, rows.withColumn("path", X.collection_path("collection_id"))
+    if broken:
+        rows = rows.withColumn("value", F.when(F.col("collection_id").endswith("12"), F.concat(F.lit("oops "), "value")).otherwise(F.col("value")))
+    archive.with_identity(rows).drop("collection_id").repartition("year", "kind", "name").write.partitionBy("year", "kind", "name").text(root)
+    return root
 
 
 @query(f"select collection_id, pos, barcode, title, author, {KIND} as kind, {NAME} as name from books", "books")
 def s2_read_collections(spark, sf_dir):
-    """Written as one array a folder and read back."""
-    root, rows = _tree(spark, sf_dir)
-    out = rows.select("value", F.concat("path", F.lit("/metadata.json")).alias("folder"))
-    out.repartition("folder").write.partitionBy("folder").text(root)
-    flat = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(root)
-    inside = F.regexp_extract(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), r"folder=(.+)/metadata\.json/[^/]*$", 1)
-    inside = F.coalesce(F.try_url_decode(inside), inside)
-    parsed = flat.select(X.collection_id(inside).alias("collection_id"), F.posexplode(F.from_json("value", T.ArrayType(files.BOOKS))).alias("pos", "b"))
-    return archive.with_identity(parsed.select("collection_id", "pos", F.col("b.`书目条码`").alias("barcode"), F.col("b.`豆瓣书名`").alias("title"), F.coalesce("b.`豆瓣作者`", F.lit("")).alias("author"))).drop("year")
+    """Written as one array a collection and read back."""
+    good, _ = files.read_collections(spark, _tree(spark, sf_dir), "part-*")
+    return good.select("collection_id", "pos", F.col("书目条码").alias("barcode"), F.col("豆瓣书名").alias("title"), F.coalesce("豆瓣作者", F.lit("")).alias("author"), "kind", "name")
+
+
+@query("select collection_id, collection_id like '%12' as bad, count(*) filter (collection_id not like '%12') as books from books group by 1", "books")
+def s3_unreadable_collections(spark, sf_dir):
+    """Some of the files broken: those collections are reported, the others read."""
+    good, bad = files.read_collections(spark, _tree(spark, sf_dir, broken=True), "part-*")
+    read = good.groupBy("collection_id").agg(F.count("*").alias("books"))
+    return read.select("collection_id", F.lit(False).alias("bad"), "books").union(bad.select("collection_id", F.lit(True), F.lit(0).cast("long")))
+
+
+@query("select distinct collection_id, 'About ' || file_name as content from companions where file_name not like 'README%'", "companions")
+def s5_companions(spark, sf_dir):
+    """Companion files written below their collection's folder and read back."""
+    root = temp_root(spark, "companions")
+    rows = archive.with_identity(table(spark, sf_dir, "companions").distinct()).where("file_name not like 'README%'").withColumn("value", F.concat(F.lit("About "), "file_name"))
+    rows.select("value", "year", "kind", "name").repartition("year", "kind", "name").write.partitionBy("year", "kind", "name").text(root)
+    return files.read_companions(spark, root, "part-*").select("collection_id", F.regexp_replace("content", "\n$", "").alias("content"))
 
 
 @query("""select collection_id, barcode as id, title, coalesce(author, '') as author, coalesce(nullif(coverImageUrl, ''), '/api/images/' || collection_id || '/' || barcode || '/cover') as coverUrl,

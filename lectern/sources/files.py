@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +12,6 @@ from lectern.operators.curation import FIELDS, PASS_COLUMN, URLS
 
 ROWS = T.StructType([T.StructField(c, T.StringType()) for c in ("collection_path", PASS_COLUMN, *FIELDS)])
 BOOKS = T.StructType([T.StructField(c, T.StringType()) for c in (*FIELDS, *URLS)])
-BAD = "_corrupt_record"
 
 
 def read_rows(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -24,15 +23,27 @@ def read_rows(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return rows.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in ROWS.names])
 
 
-def read_collections(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def _identity(path: Column) -> Column:
+    """The collection_id of a file: of {year}/…/file, or of year=/kind=/name= folders."""
+    keyed = lambda k: F.coalesce(F.try_url_decode(F.regexp_extract(path, rf"/{k}=([^/]+)/", 1)), F.lit(""))
+    year, kind, name = keyed("year"), keyed("kind"), keyed("name")
+    from_keys = F.when(kind == "month", name).when(kind == "subject", F.concat(year, F.lit("-subject-"), name)).when(kind == "sleeping_beauty", F.concat(year, F.lit("-sleeping-"), name))
+    return F.coalesce(from_keys, collection_id(F.regexp_extract(path, r"/(\d{4}/.+)/[^/]+$", 1)))
+
+
+def _file_path() -> Column:
+    return F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+
+
+def read_collections(spark: SparkSession, root: str, pattern: str = "metadata.json") -> tuple[DataFrame, DataFrame]:
     """(books with their collection's identity and pos, files that can't be read).
 
-    root holds {year}/…/metadata.json with an array of books each. One bad file costs its
-    collection only.
+    root holds {year}/…/metadata.json, or year=/kind=/name= folders, with an array of books a
+    file. One bad file costs its collection only.
     """
-    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").load(root)
-    inside = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{4}/.+)/metadata\.json$", 1)
-    parsed = files.select(F.col("_metadata.file_path").alias("file"), collection_id(inside).alias("collection_id"), F.from_json("value", T.ArrayType(BOOKS)).alias("books"), F.try_parse_json("value").isNull().alias("bad"))
+    read = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    path = _file_path()
+    parsed = read.select(path.alias("file"), _identity(path).alias("collection_id"), F.from_json("value", T.ArrayType(BOOKS)).alias("books"), F.try_parse_json("value").isNull().alias("bad"))
     parsed = parsed.where("collection_id is not null")
     good = parsed.where("not bad").select("collection_id", F.posexplode("books").alias("pos", "b")).select("collection_id", "pos", "b.*")
     return with_identity(good), parsed.where("bad").select("collection_id", "file")
@@ -50,8 +61,8 @@ def read_written(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schema).json(root)
 
 
-def read_companions(spark: SparkSession, root: str) -> DataFrame:
+def read_companions(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """(collection_id, file_name, content) of the Markdown files beside the collections."""
-    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
-    return files.select(collection_id(F.regexp_extract(path, r"/(\d{4}/.+)/[^/]+$", 1)).alias("collection_id"), F.regexp_extract(path, r"([^/]+)$", 1).alias("file_name"), F.col("value").alias("content")).where("collection_id is not null")
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    path = _file_path()
+    return files.select(_identity(path).alias("collection_id"), F.regexp_extract(path, r"([^/]+)$", 1).alias("file_name"), F.col("value").alias("content")).where("collection_id is not null")
