@@ -53,7 +53,7 @@ def myers(pattern: dict[str, int], m: int, text: str, most: int, anchored: bool
     anchored: the substring starts where text does.
     """
     full, high = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best, end = full, 0, m, most + 1, 0
+    pv, mv, score, best, end = full, 0, m, min(m, most + 1), 0
     for j, c in enumerate(text, 1):
         eq = pattern.get(c, 0)
         xv = eq | mv
