@@ -172,7 +172,12 @@ def learn(pages: list[str]) -> Weights:
 def fit(pages: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Weights:
     """Weights from at most ``sample`` pages of at most ``sample_bytes`` that mark their content."""
     marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.octet_length("html") <= sample_bytes))
-    rows = marked.select(F.xxhash64("html").alias("h"), "html").orderBy("h").limit(sample).collect()
+    marked = marked.select(F.xxhash64("html").alias("h"), "html")
+    last = marked.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return Weights()
+    # equal pages count once, so no more than sample pages reach the driver
+    rows = marked.where(F.col("h") <= last).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
     return learn([r.html for r in rows])
 
 
