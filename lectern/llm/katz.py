@@ -14,7 +14,7 @@ documents they came from. What is shuffled are packed columns, one row for each
 documents and partition. Partitions hold about ``PART_BYTES`` of text each, whatever the input.
 
 Defined cases: a null text counts as empty, that is one end token; rows of one doc_id are
-scored each; a null training flag counts as false; without training documents all tokens are
+scored each, rows without one are left out; a null training flag counts as false; without training documents all tokens are
 unknown and both scores 0; other columns are ignored.
 """
 
