@@ -20,8 +20,10 @@ repeated rows are encoded alike; rows may have any id or none; other columns are
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 from lectern.llm.common import materialize
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, FAN, CACHE = 16_384, 256, 400_000
+CHUNK, FAN, CACHE, ROWS = 32_768, 256, 30_000, 500
 
 SPACE, LITERAL = "▁", "\udc81"  # a lone surrogate is in no text
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -41,19 +43,32 @@ NONE = -np.inf
 
 @dataclass
 class Vocabulary:
-    """Pieces with their scores; bytes_of gives what a piece decodes to."""
+    """Pieces with their scores; bytes_of gives what a piece decodes to.
 
+    proto is the vocabulary as a model that is encoded by the sum of scores.
+    """
+
+    proto: bytes
     ids: dict[str, tuple[float, int]]
+    scores: list[float]  #: by id; a byte piece has its share of an unknown character's
     byte_ids: list[int]
     bytes_of: list[bytes]
     longest: int
     unknown: float
 
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """All bytes, and where each piece's begin."""
+        return np.frombuffer(b"".join(self.bytes_of), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in self.bytes_of])])
+
 
 def load(path: str = VOCABULARY) -> Vocabulary:
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
+    proto = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+    proto.trainer_spec.model_type = sentencepiece_model_pb2.TrainerSpec.UNIGRAM
     ids: dict[str, tuple[float, int]] = {}
     byte_ids, bytes_of = [0] * 256, [b""] * model.get_piece_size()
     for k in range(model.get_piece_size()):
@@ -66,7 +81,10 @@ def load(path: str = VOCABULARY) -> Vocabulary:
             bytes_of[k] = piece.replace(SPACE, " ").encode()
             if SPACE in piece.lstrip(SPACE):
                 raise ValueError("a piece crosses a word's start; words can't be cut apart")
-    return Vocabulary(ids, byte_ids, bytes_of, max(map(len, ids)), min(s for s, _ in ids.values()) - 10)
+    scores = [0.0] * len(bytes_of)
+    for score, k in ids.values():
+        scores[k] = score
+    return Vocabulary(proto.SerializeToString(), ids, scores, byte_ids, bytes_of, max(map(len, ids)), min(s for s, _ in ids.values()) - 10)
 
 
 def escape(text: str) -> str:
@@ -74,12 +92,39 @@ def escape(text: str) -> str:
 
 
 class Lattice:
-    """Viterbi over a stretch of escaped text, with a cache of whole words."""
+    """Viterbi over stretches of escaped text, with a cache of whole words.
+
+    Words of a plain form go to the library's Viterbi encoder in bulk; what it can't take,
+    and all that touches a chunk's border, is worked out here.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
+        import sentencepiece
+
         self.v = vocabulary
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=vocabulary.proto)
+        self.forget()
+
+    def forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.flat, self.starts, self.sums = [], [0], []
+        self.flat, self.starts, self.sums = array("i"), array("q", [0]), array("d")
+
+    def learn(self, words: set[str]) -> None:
+        """Put words into the cache."""
+        new = [w for w in words if w not in self.words]
+        plain = [w for w in new if w[0] == SPACE and len(w) > 1 and w[1] != SPACE and LITERAL not in w]
+        for w, ids in zip(plain, self.library.encode([w[1:] for w in plain], num_threads=1)):
+            self._add(w, ids)
+        for w in new:
+            if w not in self.words:
+                self._add(w, self.pieces(w, self.forward(w, [0.0], len(w))[1], len(w))[0])
+
+    def _add(self, w: str, ids: list[int]) -> None:
+        self.words[w] = len(self.sums)
+        self.flat.extend(ids)
+        self.starts.append(len(self.flat))
+        scores = self.v.scores
+        self.sums.append(sum(scores[k] for k in ids))
 
     def forward(self, text: str, init: list[float], limit: int) -> tuple[list[float], list[int]]:
         """Best sum and first position of the last piece for each position of text; pieces start before limit.
@@ -115,33 +160,20 @@ class Lattice:
             end = start
         return [k for part in reversed(out) for k in part], end
 
-    def word(self, w: str) -> int:
-        """Number of a word in the cache."""
-        k = self.words.get(w)
-        if k is None:
-            best, back = self.forward(w, [0.0], len(w))
-            self.flat += self.pieces(w, back, len(w))[0]
-            self.starts.append(len(self.flat))
-            self.sums.append(best[-1])
-            k = self.words[w] = len(self.sums) - 1
-        return k
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets by text)."""
         if len(self.words) > CACHE:
-            self.__init__(self.v)
-        known, word = self.words, self.word
-        index, counts = [], []
-        for text in texts:
-            found = WORD.findall(escape(text)) if text else []
-            index += [known[w] if w in known else word(w) for w in found]
-            counts.append(len(found))
-        at = np.array(index, np.int64)
-        starts = np.array(self.starts, np.int64)
-        sizes = np.diff(starts)[at] if len(at) else at
+            self.forget()
+        found = [WORD.findall(escape(text)) if text else [] for text in texts]
+        self.learn(set().union(*found))
+        index, number = array("q"), self.words.__getitem__
+        for words in found:
+            index.extend(map(number, words))
+        at, starts = np.array(index), np.array(self.starts)
+        sizes = np.diff(starts)[at]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = np.array(self.flat, np.int32)[np.repeat(starts[at] - total[:-1], sizes) + np.arange(total[-1])] if len(at) else np.zeros(0, np.int32)
-        return ids, total[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        ids = np.array(self.flat, np.int32)[np.repeat(starts[at] - total[:-1], sizes) + np.arange(total[-1])]
+        return ids, total[np.concatenate([[0], np.cumsum([len(w) for w in found])]).astype(np.int64)]
 
     # Chunks. States: the first ``longest`` positions from a boundary on.
 
@@ -153,27 +185,32 @@ class Lattice:
             last = m.start()
         return first, last
 
-    def sums_at_end(self, body: str, ahead: str, init: list[float]) -> list[float]:
-        """Best sums by exit state of a chunk, given those by entry state."""
-        n, first, last = self.v.longest, *self.cuts(body)
-        if first < 0:
-            best = self.forward(body + ahead, init, len(body))[0]
-            return (best[len(body) :] + [NONE] * n)[:n]
-        head = self.forward(body[:first], init, first)[0][first] if first else NONE
-        if first < len(init):
-            head = max(head, init[first]) if first else init[0]
-        middle = sum(self.sums[self.word(w)] for w in WORD.findall(body[first:last]))
-        best = self.forward(body[last:] + ahead, [head + middle], len(body) - last)[0]
-        return (best[len(body) - last :] + [NONE] * n)[:n]
-
     def matrix(self, body: str, ahead: str) -> np.ndarray:
-        n = self.v.longest
-        rows = []
-        for a in range(n):
-            init = [NONE] * n
-            init[a] = 0.0
-            rows.append(self.sums_at_end(body, ahead, init))
-        return np.array(rows)
+        """Best sums of a chunk from each entry state to each exit state."""
+        n, (first, last) = self.v.longest, self.cuts(body)
+
+        def exits(best: list[float], at: int) -> list[float]:
+            return (best[at:] + [NONE] * n)[:n]
+
+        def enter(a: int) -> list[float]:
+            return [NONE] * a + [0.0] + [NONE] * (n - 1 - a)
+
+        if first < 0:
+            return np.array([exits(self.forward(body + ahead, enter(a), len(body))[0], len(body)) for a in range(n)])
+        head = [self.forward(body[:first], enter(a), first)[0][first] if a <= first else NONE for a in range(n)]
+        words = WORD.findall(body[first:last])
+        self.learn(set(words))
+        middle = sum(self.sums[self.words[w]] for w in words)
+        tail = exits(self.forward(body[last:] + ahead, [middle], len(body) - last)[0], len(body) - last)
+        return np.array(head)[:, None] + np.array(tail)
+
+    def entries(self, body: str, ahead: str, init: list[float]) -> list[int]:
+        """The entry state of the best path to each exit state; 0 where no path ends."""
+        n, (first, _) = self.v.longest, self.cuts(body)
+        if first < 0:
+            return [entry for _, entry in self.traced(body, ahead, init, list(range(n)))]
+        best, back = self.forward(body[:first], init, first)
+        return [self.pieces(body[:first], back, first)[1] if best[first] > NONE else 0] * n
 
     def traced(self, body: str, ahead: str, init: list[float], exits: list[int]) -> list[tuple[list[int], int]]:
         """(ids of the pieces that start in the chunk, entry state) for each exit state that a path reaches."""
@@ -186,8 +223,10 @@ class Lattice:
         best, back = self.forward(head_text, init, first)
         head, entry = self.pieces(head_text, back, first) if best[first] > NONE else ([], 0)
         middle: list[int] = []
-        for w in WORD.findall(body[first:last]):
-            k = self.word(w)
+        words = WORD.findall(body[first:last])
+        self.learn(set(words))
+        for w in words:
+            k = self.words[w]
             middle += self.flat[self.starts[k] : self.starts[k + 1]]
         tail_text = body[last:] + ahead
         best, back = self.forward(tail_text, [0.0], len(body) - last)
@@ -202,12 +241,12 @@ class Lattice:
 def _lattice(shared) -> Lattice:
     """One lattice, with its cache, for each Python worker and vocabulary."""
     global _kept
-    if _kept is None or _kept[0] != shared.value.bytes_of:
-        _kept = (shared.value.bytes_of, Lattice(shared.value))
-    return _kept[1]
+    if _kept is None or _kept.v.bytes_of != shared.value.bytes_of:
+        _kept = Lattice(shared.value)
+    return _kept
 
 
-_kept: tuple | None = None
+_kept: Lattice | None = None
 
 
 def _times(parts: list[np.ndarray]) -> np.ndarray:
@@ -306,7 +345,7 @@ def _encode_giants(giants: DataFrame, shared, chunk: int, n: int) -> DataFrame:
         for batch in batches:
             lattice, out = _lattice(shared), []
             for t, state in zip(texts(batch), batch.column("state").to_pylist()):
-                out.append(np.array([e for _, e in lattice.traced(*t, np.frombuffer(state).tolist(), list(range(n)))], np.int64).tobytes())
+                out.append(np.array(lattice.entries(*t, np.frombuffer(state).tolist()), np.int64).tobytes())
             yield keyed(batch, out, pa.binary(), "m")
 
     def ids(batches):
@@ -325,22 +364,32 @@ def _encode_giants(giants: DataFrame, shared, chunk: int, n: int) -> DataFrame:
     return traced.groupBy("doc", "version").agg(F.expr("flatten(transform(sort_array(collect_list(struct(k, ids))), x -> x.ids))").alias("ids"))
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK) -> DataFrame:
-    """docs and a column ids: the pieces of column text."""
+def encode(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, verify: bool = False) -> DataFrame:
+    """docs and a column ids: the pieces of column text.
+
+    verify adds a column exact: whether the ids, decoded again, are the very text. As documents
+    are long, the session's Arrow batches are set to ``ROWS`` rows at most.
+    """
+    batch_rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs.sparkSession.conf.set(batch_rows, min(int(docs.sparkSession.conf.get(batch_rows)), ROWS))
     vocabulary = load(path)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a fixed vocabulary
-    kept = [f for f in docs.schema.fields if f.name != "ids"]
-    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("exact", T.BooleanType())] * verify
+    names = [f.name for f in added]
+    kept = [f for f in docs.schema.fields if f.name not in names]
+    schema = T.StructType([*kept, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, 100):
+                part = batch.slice(a, 100)
                 texts = part.column("text").to_pylist()
                 ids, offs = _lattice(shared).encode([t or "" for t in texts])
                 null = pa.array([t is None for t in texts]) if None in texts else None
-                made = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()), mask=null)
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), made], [*(f.name for f in kept), "ids"])
+                made = [pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()), mask=null)]
+                if verify:
+                    made.append(pa.array([None if t is None else r == t.encode() for t, r in zip(texts, decode_ids(shared.value, ids, offs))], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *made], [*(f.name for f in kept), *names])
 
     base = docs.select(*[F.col(f"`{f.name}`") for f in kept])
     giant = F.coalesce(F.length("text") >= chunk, F.lit(False))
@@ -351,13 +400,15 @@ def encode(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK) -> DataF
     coded = _encode_giants(long.select(*key, "text").dropDuplicates(["doc", "version"]), shared, chunk, vocabulary.longest)
     joined = long.select("*", *[k.alias(f"__{n}") for k, n in zip(key, ("doc", "version"))])
     joined = joined.join(coded.withColumnsRenamed({"doc": "__doc", "version": "__version", "ids": "__ids"}), ["__doc", "__version"])
-    return short.unionByName(joined.select(*[F.col(f"`{f.name}`") for f in kept], F.col("__ids").alias("ids")))
+    long = joined.select(*[F.col(f"`{f.name}`") for f in kept], F.col("__ids").alias("ids"))
+    if verify:
+        long = decode(long, path, "__decoded").withColumn("exact", F.col("__decoded") == F.col("text")).drop("__decoded")
+    return short.unionByName(long)
 
 
 def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, offs: np.ndarray) -> list[bytes]:
     """The bytes of each row of ids."""
-    flat = np.frombuffer(b"".join(vocabulary.bytes_of), np.uint8)
-    starts = np.concatenate([[0], np.cumsum([len(b) for b in vocabulary.bytes_of])])
+    flat, starts = vocabulary.table
     sizes = np.diff(starts)[ids]
     total = np.concatenate([[0], np.cumsum(sizes)])
     raw = flat[np.repeat(starts[ids] - total[:-1], sizes) + np.arange(total[-1])].tobytes()
@@ -373,8 +424,8 @@ def decode(coded: DataFrame, path: str = VOCABULARY, out_col: str = "decoded") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, 100):
+                part = batch.slice(a, 100)
                 col = part.column("ids")
                 lists = [None if not x.is_valid else x.values.to_numpy(zero_copy_only=False) for x in col]
                 sizes = [0 if x is None else len(x) for x in lists]
