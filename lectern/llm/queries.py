@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, html_text, images, katz, linededup, sentencepiece_codec, simhash, suffix_dedup, toxicity, url_filter
-from lectern.llm.common import materialize
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +39,7 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every picture made from the embeddings, with its class of copies and its links."""
-    pictures = materialize(images.from_embeddings(read(spark, sf_dir, "embeddings")), "pictures")
-    return images.copies(pictures).select("image_id", "class_id", "n_links")
+    return images.copies(images.from_embeddings(read(spark, sf_dir, "embeddings"))).select("image_id", "class_id", "n_links")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
