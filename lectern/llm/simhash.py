@@ -204,6 +204,7 @@ def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
 def links(nodes: DataFrame, radius: int = 4, shard: int = SHARD, join=_forest) -> DataFrame:
     """(a, b): links that connect distinct fingerprints (id, fingerprint) as all links within radius would.
 
+    nodes may have a column table; fingerprints of different tables never meet.
     join: what a cell returns; _neighbours gives links of each id to its nearest and its first
     smaller id instead of a forest.
     """
@@ -213,7 +214,9 @@ def links(nodes: DataFrame, radius: int = 4, shard: int = SHARD, join=_forest) -
         w = width + (k < wide)
         bands.append(F.shiftrightunsigned("fingerprint", at).bitwiseAND(F.lit((1 << w) - 1)))
         at += w
-    dealt = nodes.select("id", "fingerprint", F.posexplode(F.array(*bands)).alias("band", "value"))
+    table = F.col("table") if "table" in nodes.columns else F.lit(0)
+    dealt = nodes.select("id", "fingerprint", table.alias("t"), F.posexplode(F.array(*bands)).alias("band", "value"))
+    dealt = dealt.withColumn("band", F.col("band") + F.col("t") * (radius + 1)).drop("t")
     sizes = dealt.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").withColumn("shards", F.ceil(F.col("n") / shard).cast("int"))
     own = dealt.join(sizes, ["band", "value"]).withColumn("s", F.pmod(F.xxhash64("fingerprint"), "shards").cast("int"))
     cells = own.select("band", "value", "id", "fingerprint", F.explode(F.expr("""
@@ -262,17 +265,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, simi
     versions = base.groupBy("id").agg(F.min(F.xxhash64("text")).alias("version"))
     prints = fingerprints(base, shingle, "id", tables=tables).groupBy("id").agg(F.min(F.struct(*[f"fingerprint_{k}" for k in range(tables)])).alias("p"))
     prints = materialize(prints.join(versions, "id").select("id", "version", "p.*"), "simhash")
-    found = None
-    for k in range(tables):
-        mine = prints.select("id", "version", F.col(f"fingerprint_{k}").alias("fingerprint"))
-        nodes = mine.groupBy("fingerprint").agg(F.min(F.struct("id", "version")).alias("f")).select("fingerprint", F.col("f.id").alias("id"), F.col("f.version").alias("version"))
-        same = mine.join(nodes.select("fingerprint", F.col("id").alias("b"), F.col("version").alias("vb")), "fingerprint").where("id <> b").select(F.col("id").alias("a"), "b", (F.col("version") == F.col("vb")).alias("equal"))
-        near = links(nodes.select("id", "fingerprint"), radius, join=_neighbours).withColumn("equal", F.lit(False))
-        found = same.unionByName(near) if found is None else found.unionByName(same).unionByName(near)
-    found = materialize(found.groupBy("a", "b").agg(F.bool_or("equal").alias("equal")), "simhash-links")
+    mine = prints.select("id", "version", F.posexplode(F.array(*[f"fingerprint_{k}" for k in range(tables)])).alias("table", "fingerprint"))
+    nodes = mine.groupBy("table", "fingerprint").agg(F.min(F.struct("id", "version")).alias("f")).select("table", "fingerprint", F.col("f.id").alias("id"), F.col("f.version").alias("version"))
+    same = mine.join(nodes.select("table", "fingerprint", F.col("id").alias("b"), F.col("version").alias("vb")), ["table", "fingerprint"]).where("id <> b").select(F.col("id").alias("a"), "b", (F.col("version") == F.col("vb")).alias("equal"))
+    near = links(nodes.select("table", "id", "fingerprint"), radius, join=_neighbours).withColumn("equal", F.lit(False))
+    found = materialize(same.unionByName(near).groupBy("a", "b").agg(F.bool_or("equal").alias("equal")), "simhash-links")
     asked = found.where("not equal").select("a", "b")
     ends = asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct()
-    sets = materialize(_shingle_sets(base.dropDuplicates(["id"]).join(ends, "id", "left_semi"), shingle), "shingles")
+    sets = materialize(_shingle_sets(base.join(ends, "id", "left_semi").dropDuplicates(["id"]), shingle), "shingles")
     both = asked.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     held = both.where(((F.size("x") == 0) & (F.size("y") == 0)) | (common >= similarity * (F.size("x") + F.size("y") - common)))
