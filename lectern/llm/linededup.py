@@ -5,8 +5,11 @@ window the shortest that has ``window_words``. The least gram hash of each windo
 of equal ones) is a fingerprint, so any two equal runs of ``window_words`` words or more share
 one. Each fingerprint joins its first position in the corpus (smallest doc_id, then line); the
 match is extended line by line both ways, up to a window on either side, beyond which the next
-fingerprint takes over; and the later run is deleted. A line goes only if the same line stands
-at an earlier place, so one copy of everything stays.
+fingerprint takes over; and the later run is deleted. The first position of a fingerprint may
+lie in another context than a run's own first copy. So each whole window, the shortest from a
+line on and the shortest up to a line, joins its first position as well: these cover every run
+of ``window_words`` words or more, and all of it goes that stands earlier. A line goes only if
+the same line stands at an earlier place, so one copy of everything stays.
 
 Defined cases: lines are compared without outer white space; blank lines take no part, and go
 only between two lines of one deleted run; a null text stays null; a text of deleted lines only
@@ -62,6 +65,15 @@ def fingerprints(lines: list[bytes], gram_words: int, window_words: int) -> list
     return out
 
 
+def windows(lines: list[bytes], window_words: int) -> list[tuple[int, int, int]]:
+    """(hash, first line, lines) of the shortest runs of window_words words from each line on and up to each line."""
+    words = np.cumsum([0, *(len(x.split()) for x in lines)])
+    ends = np.searchsorted(words, words[:-1] + window_words, "left")
+    starts = np.searchsorted(words, words[1:] - window_words, "right") - 1
+    spans = {(i, e) for i, e in enumerate(ends.tolist()) if e <= len(lines)} | {(a, e + 1) for e, a in enumerate(starts.tolist()) if a >= 0}
+    return [(xxhash.xxh3_64_intdigest(b"\n".join(lines[a:e]), 1) - (1 << 63), a, e - a) for a, e in sorted(spans)]
+
+
 def split_lines(raw: bytes) -> tuple[list[bytes], list[int]]:
     """The stripped non-blank lines and their places among all lines."""
     kept = [(x, k) for k, line in enumerate(raw.split(b"\n")) if (x := line.strip())]
@@ -69,6 +81,8 @@ def split_lines(raw: bytes) -> tuple[list[bytes], list[int]]:
 
 
 def prints(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
+    """The fingerprints with their context, and the whole windows, which need none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PRINTS.split(", ")]
         kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.list_(pa.int64())] * 2
@@ -77,6 +91,7 @@ def prints(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WI
             for doc, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 lines, _ = split_lines(text.as_buffer().to_pybytes())
                 out += [(doc, version, *p) for p in fingerprints(lines, gram_words, window_words)]
+                out += [(doc, version, *w, [], []) for w in windows(lines, window_words)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 

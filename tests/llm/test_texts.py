@@ -92,6 +92,28 @@ def windows(lines, words):
                 break
 
 
+def test_line_dedup_under_hot_lines(spark):
+    """Against all runs of a window's words: each that stands earlier goes whole, also if its fingerprints are first met elsewhere."""
+    rng = random.Random(11)
+    made = lambda k: " ".join(f"{rng.randrange(10**6)}" for _ in range(k))
+    hot = [made(10) for _ in range(40)]
+    texts = ["\n".join([made(10), h, made(10)]) for h in hot]
+    passages = [[made(10), made(10), h, made(10), made(10)] for h in hot] + [[made(23), h, made(3), made(2)] for h in hot]
+    texts += ["\n".join([made(12), *p, made(12)]) for _ in range(2) for p in passages]
+    lines, first, want = [t.split("\n") for t in texts], {}, {}
+    for k, mine in enumerate(lines):
+        gone = set()
+        for a in range(len(mine)):
+            for e in range(a + 1, len(mine) + 1):
+                if sum(len(x.split()) for x in mine[a:e]) >= linededup.WINDOW_WORDS and first.setdefault(tuple(mine[a:e]), (k, a)) != (k, a):
+                    gone |= set(range(a, e))
+        want[k] = {x for i, x in enumerate(mine) if i not in gone}
+    left = {r.doc_id: r.text.split("\n") for r in linededup.dedup(docs_of(spark, texts)).collect()}
+    assert sum(len(mine) - len(want[k]) for k, mine in enumerate(lines)) == sum(map(len, passages))
+    assert all(set(left[k]) - {""} <= want[k] for k in want)
+    assert {x for t in left.values() for x in t if x} == {x for t in lines for x in t}
+
+
 def test_line_dedup_keeps_columns_and_clean_texts(spark):
     line = "a line of nine words that stands in both"
     rows = [(1, f"{line}\nx", "en", "s", 7, 5), (2, f"{line}\ny", "en", "s", 7, 5), (None, line, None, None, None, None), (3, None, "en", "s", 0, 1)]
