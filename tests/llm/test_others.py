@@ -167,6 +167,27 @@ def test_pooling_sees_the_whole_text_and_no_neighbour():
     assert together[1] > 0.5 and together[3] > 0.5 and max(together[[0, 2, 4]]) < 0.5
 
 
+def test_toxicity_follows_the_balance_of_all_labels(spark):
+    """A sample of two equal halves scores as the whole, of which a tenth is toxic."""
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choices(["day", "tree", "stone", "bird", "lake", "hill"], k=20)), "en", int(k % 10 == 0)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), sample=800)
+    got = [r.score for r in toxicity.score(df, model).collect()]
+    assert 0.05 < np.mean(got) < 0.2
+
+
+def test_thresholds_count_a_weighted_row_as_so_many():
+    rng = np.random.default_rng(13)
+    rows = [(words_of(" ".join(rng.choice(["fine", "good", "day", "vile", "bad"], 6, p=[0.3, 0.2, 0.2, 0.15, 0.15] if y else [0.3, 0.3, 0.2, 0.1, 0.1])))[0], y, "en") for y in (0, 1) for _ in range(150)]
+    model = toxicity.train([r[:2] for r in rows])
+    found = []
+    for held, weights in ((rows, (7.0, 1.0)), ([r for r in rows for _ in range(1 if r[1] else 7)], (1.0, 1.0)), (rows, (1.0, 1.0))):
+        toxicity.calibrate(model, held, weights)
+        found.append(model.thresholds["en"])
+    assert found[0] == pytest.approx(found[1]) and found[0] > found[2]
+
+
 def test_toxicity_edges(spark):
     df = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "words", None), (3, "words", None)], "doc_id long, text string, lang string")
     empty = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
