@@ -255,28 +255,31 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, similarity: float = 0.8, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group_id) of the documents whose group holds more than one: verified near duplicates.
 
-    Texts within ``radius`` bits in one of ``tables`` independent fingerprints are candidates. A
+    Equal texts are linked by their hash, and only the smallest id of each text goes on. Texts
+    within ``radius`` bits in one of ``tables`` independent fingerprints are candidates. A
     document is compared with the first of its fingerprint and with the nearest and the first
     smaller id in each BK-tree cell; a link holds if the Jaccard similarity of the shingle sets
-    reaches ``similarity``, as it does for equal texts. Texts without words are alike. Rows of
+    reaches ``similarity``. Texts without words are alike. Rows of
     one id are one document.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     versions = base.groupBy("id").agg(F.min(F.xxhash64("text")).alias("version"))
     prints = fingerprints(base, shingle, "id", tables=tables).groupBy("id").agg(F.min(F.struct(*[f"fingerprint_{k}" for k in range(tables)])).alias("p"))
     prints = materialize(prints.join(versions, "id").select("id", "version", "p.*"), "simhash")
-    mine = prints.select("id", "version", F.posexplode(F.array(*[f"fingerprint_{k}" for k in range(tables)])).alias("table", "fingerprint"))
-    nodes = mine.groupBy("table", "fingerprint").agg(F.min(F.struct("id", "version")).alias("f")).select("table", "fingerprint", F.col("f.id").alias("id"), F.col("f.version").alias("version"))
-    same = mine.join(nodes.select("table", "fingerprint", F.col("id").alias("b"), F.col("version").alias("vb")), ["table", "fingerprint"]).where("id <> b").select(F.col("id").alias("a"), "b", (F.col("version") == F.col("vb")).alias("equal"))
-    near = links(nodes.select("table", "id", "fingerprint"), radius, join=_neighbours).withColumn("equal", F.lit(False))
-    found = materialize(same.unionByName(near).groupBy("a", "b").agg(F.bool_or("equal").alias("equal")), "simhash-links")
-    asked = found.where("not equal").select("a", "b")
+    names = [f"fingerprint_{k}" for k in range(tables)]
+    texts = prints.groupBy("version").agg(F.min(F.struct("id", *names)).alias("f"), F.count("*").alias("n"))
+    copies = prints.join(texts.where("n > 1").select("version", F.col("f.id").alias("b")), "version").where("id <> b").select(F.col("id").alias("a"), "b")
+    mine = texts.select("f.id", F.posexplode(F.array(*[f"f.{n}" for n in names])).alias("table", "fingerprint"))
+    nodes = mine.groupBy("table", "fingerprint").agg(F.min("id").alias("id"))
+    same = mine.join(nodes.withColumnRenamed("id", "b"), ["table", "fingerprint"]).where("id <> b").select(F.col("id").alias("a"), "b")
+    near = links(nodes.select("table", "id", "fingerprint"), radius, join=_neighbours)
+    asked = materialize(same.unionByName(near).distinct(), "simhash-links")
     ends = asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct()
     sets = materialize(_shingle_sets(base.join(ends, "id", "left_semi").dropDuplicates(["id"]), shingle), "shingles")
     both = asked.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     held = both.where(((F.size("x") == 0) & (F.size("y") == 0)) | (common >= similarity * (F.size("x") + F.size("y") - common)))
-    verified = found.where("equal").select("a", "b").union(held.select("a", "b"))
+    verified = copies.union(held.select("a", "b"))
     return connected_components(verified, "near-duplicates").select(F.col("node").alias("id"), F.col("component").alias("group_id"))
 
 

@@ -128,6 +128,13 @@ def test_line_dedup_keeps_columns_and_clean_texts(spark):
 # SimHash
 
 
+def test_equal_texts_are_linked_whatever_else_shares_their_fingerprints(spark):
+    """One repeated shingle makes all fingerprints equal; the first of them is unlike the two equal texts."""
+    text = lambda k: "x " * 100 + " ".join(f"w{k}n{i}" for i in range(30))
+    docs = docs_of(spark, [text(0), text(1), text(1), text(2), "", None, text(1)])
+    assert {r.id: r.group_id for r in simhash.similar_groups(docs).collect()} == {1: 1, 2: 1, 6: 1, 4: 4, 5: 4}
+
+
 def plain_simhash(text, shingle):
     words = (text or "").encode().lower().split()
     grams = [b" ".join(words[k : k + shingle]) for k in range(len(words) - shingle + 1)] or ([b" ".join(words)] if words else [])
