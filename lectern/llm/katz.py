@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import materialize, mix64, span_hashes, text_slices, token_spans
 
 K, ABOVE = 5, 0.5
-PART_BYTES, BLOCK_TOKENS = 16_000_000, 3_000_000
+PART_BYTES, BLOCK_TOKENS = 16_000_000, 1_000_000
 START, END = np.uint64(0x5EED), np.uint64(0xE0D)
 
 
@@ -129,8 +129,10 @@ def _pairs(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
 
         def flush():
             ids, train = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            rows = list(cut(block, ids, train, np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])))
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["p", "payload"])
+            w, row = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+            held.clear()
+            for p, x in cut(block, ids, train, w, row):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([x], pa.binary())], ["p", "payload"])
 
         for batch in batches:
             all_ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -140,10 +142,10 @@ def _pairs(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
                 held.append((all_ids[a:b], all_train[a:b], w, row - a + docs_held))
                 size, docs_held = size + len(w), docs_held + int(b - a)
                 if size >= BLOCK_TOKENS:
-                    yield flush()
-                    held, size, docs_held, block = [], 0, 0, block + 1
+                    yield from flush()
+                    size, docs_held, block = 0, 0, block + 1
         if held:
-            yield flush()
+            yield from flush()
 
     return docs.select("doc_id", "train", "text").mapInArrow(run, "p long, payload binary")
 
