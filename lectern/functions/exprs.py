@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 # White space that trimming removes.
 WHITE = r"[\s\u000B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
-# Characters of a call number that are encoded in its link, and the link.
+# Characters of a call number that are encoded in its link, and the link below the catalogue.
 CALL_NUMBER_CODES = {"/": "%2F", "#": "%23", "*": "%2A", " ": "%20", "+": "%2B", "=": "%3D", "?": "%3F", "&": "%26"}
-CALL_NUMBER_LINK = "https://vufind.library.sh.cn/Search/Results?searchtype=vague&lookfor={call_number}&type=CallNumber"
+CATALOGUE = "https://catalogue.example"
+CALL_NUMBER_LINK = "/Search/Results?searchtype=vague&lookfor={call_number}&type=CallNumber"
 # Chinese digits and month numbers.
 DIGITS = "零一二三四五六七八九"
 MONTHS = ["一", "二", "三", "四", "五", "六", "七", "八", "九", "十", "十一", "十二"]
@@ -48,11 +49,11 @@ def number_text(col: Col) -> Column:
     return F.when(x == F.floor(x), F.format_string("%d", x.cast("long"))).otherwise(x.cast("string"))
 
 
-def call_number_link(col: Col) -> Column:
-    """The catalogue link of a call number; null for a blank one."""
+def call_number_link(col: Col, catalogue: str = CATALOGUE) -> Column:
+    """The link of a call number in a catalogue; null for a blank one."""
     coded = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), CALL_NUMBER_CODES.items(), trimmed(col))
     head, tail = CALL_NUMBER_LINK.split("{call_number}")
-    return F.when(~is_blank(col), F.concat(F.lit(head), coded, F.lit(tail)))
+    return F.when(~is_blank(col), F.concat(F.lit(catalogue + head), coded, F.lit(tail)))
 
 
 def object_key(*parts: Col, base: str = "") -> Column:

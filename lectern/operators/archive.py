@@ -104,7 +104,7 @@ def previews(books: DataFrame, seed: str = "preview", low: int = 4, high: int =
     """(collection_id, n, barcode, url): low to high books of each collection in a seeded order (T4)."""
     order = seeded_random(F.concat_ws("-", F.lit(seed), "collection_id", "barcode"))
     url = image_url(first_text("cardThumbnailUrl", "cardImageUrl"), thumbnail_path("collection_id", "barcode"))
-    ranked = books.withColumn("n", F.row_number().over(W.partitionBy("collection_id").orderBy(order, "barcode")))
+    ranked = books.withColumn("n", F.row_number().over(W.partitionBy("collection_id").orderBy(order, "barcode"))).where(F.col("n") <= high)  # kept to that early
     return ranked.where(F.col("n") <= _size(F.col("collection_id"), seed, low, high)).select("collection_id", "n", "barcode", url.alias("url"))
 
 

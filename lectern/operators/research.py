@@ -11,10 +11,10 @@ from lectern.operators.retrieval import ordered_lines
 
 # Limits of uploads and snippets, and the texts shown for what is missing.
 MAX_FILES, MAX_BYTES, SNIPPETS = 5, 5 * 1024 * 1024, 8
-NO_SNIPPET, DEPTH = "暂无摘要", 4
+NO_SNIPPET, TOPIC, TOPIC_TITLE, TOPIC_URL = "暂无摘要", "DuckDuckGo", "DuckDuckGo 结果 ", "https://duckduckgo.com"
 SEPARATOR = "\n\n---\n\n"
 #: engine: (default title, default url, whether empty text counts as missing)
-ENGINES = {"duckduckgo": ("DuckDuckGo 结果 ", "https://duckduckgo.com", False), "jina": ("结果 ", "", True)}
+ENGINES = {"duckduckgo": (TOPIC_TITLE, TOPIC_URL, False), "jina": ("搜索结果 ", "", True)}
 
 
 def _exploded(df: DataFrame, array: str, outer: bool = False) -> DataFrame:
@@ -63,54 +63,67 @@ def validate_uploads(files: DataFrame, max_files: int = MAX_FILES, max_bytes: in
 
 
 def normalize_snippets(raw: DataFrame, engine: str) -> DataFrame:
-    """raw (…, pos, title, url, snippet, description, content) with defaults of an engine."""
+    """raw (…, pos, title, url, snippet, summary, description, content) with defaults of an engine."""
     title, url, empty = ENGINES[engine]
     pick = first_text if empty else lambda *c: F.coalesce(*[F.col(x) if isinstance(x, str) else x for x in c])
-    text = first_text("description", F.substring("content", 1, 200)) if empty else F.coalesce("snippet", "description")
+    text = first_text("description", F.substring("content", 1, 200)) if empty else F.coalesce("snippet", "summary")
     numbered = F.concat(F.lit(title), (F.col("pos") + 1).cast("string"))
     keys = [c for c in ("request_id", "keyword_pos", "keyword", "pos") if c in raw.columns]
     return raw.select(*keys, F.lit(engine).alias("engine"), F.coalesce(pick("title"), numbered).alias("title"), F.coalesce(pick("url"), F.lit(url)).alias("url"), F.coalesce(text, F.lit(NO_SNIPPET)).alias("snippet"), "content")
 
 
-def flatten_topics(responses: DataFrame, k: int, depth: int = DEPTH) -> DataFrame:
-    """(request_id, pos, text, url): the first k leaves of nested Topics, related ones before results.
+def _said(name: str) -> Column:
+    return F.try_variant_get("item", f"$.{name}", "string")
 
-    responses: (request_id, body: JSON with RelatedTopics and Results). Depth is bounded.
+
+def _numbered(title: str, pos: Column) -> Column:
+    return F.concat(F.lit(title), (pos + 1).cast("string"))
+
+
+def flatten_topics(responses: DataFrame, k: int) -> DataFrame:
+    """(request_id, pos, title, url, snippet): the first k leaves of nested Topics, related ones before results.
+
+    responses: (request_id, body: JSON with RelatedTopics and Results). Each level of nesting
+    is one step, until no body has another; a topic whose Topics is no array is a leaf.
     """
     v = responses.withColumn("v", F.try_parse_json("body"))
-    level = None
-    for rank, name in ((0, "RelatedTopics"), (1, "Results")):
-        part = _exploded(v.select("request_id", F.variant_get("v", f"$.{name}", "variant").alias("list")), "list").select("request_id", F.array(F.lit(rank), F.col("pos").cast("int")).alias("path"), F.col("value").alias("item"))
-        level = part if level is None else level.unionByName(part)
-    leaves = None
-    for step in range(depth):
-        nested = F.variant_get("item", "$.Topics", "variant")
-        here = level.where(nested.isNull() & F.try_variant_get("item", "$.Text", "string").isNotNull())
+
+    def listed(name: str, rank: int) -> DataFrame:
+        part = _exploded(v.select("request_id", F.try_variant_get("v", f"$.{name}", "variant").alias("list")), "list")
+        return part.select("request_id", F.array(F.lit(rank), F.col("pos").cast("int")).alias("path"), F.col("value").alias("item"))
+
+    inner = F.try_variant_get("item", "$.Topics", "variant")
+    nested = F.coalesce(F.schema_of_variant(inner).startswith("ARRAY"), F.lit(False))
+    level, leaves = listed("RelatedTopics", 0), None
+    while True:
+        here = level.where(~nested)
         leaves = here if leaves is None else leaves.unionByName(here)
-        if step + 1 < depth:
-            inner = _exploded(level.where(nested.isNotNull()).select("request_id", "path", nested.alias("list")), "list")
-            level = inner.select("request_id", F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), F.col("value").alias("item"))
+        below = level.where(nested)
+        if below.isEmpty():
+            break
+        level = _exploded(below.select("request_id", "path", inner.alias("list")), "list").select("request_id", F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), F.col("value").alias("item"))
+    related = leaves.select("request_id", "path", F.coalesce(_said("Text"), _said("FirstURL"), F.lit(TOPIC)).alias("title"), F.coalesce(_said("FirstURL"), F.lit(TOPIC_URL)).alias("url"), F.coalesce(_said("Result"), _said("Text"), F.lit(NO_SNIPPET)).alias("snippet"))
+    results = listed("Results", 1).select("request_id", "path", F.coalesce(_said("Text"), _numbered(TOPIC_TITLE, F.col("path")[1])).alias("title"), F.coalesce(_said("FirstURL"), F.lit(TOPIC_URL)).alias("url"), F.coalesce(_said("Result"), F.lit(NO_SNIPPET)).alias("snippet"))
     first = W.partitionBy("request_id").orderBy("path")
-    out = leaves.withColumn("pos", F.row_number().over(first) - 1).where(F.col("pos") < k)
-    return out.select("request_id", "pos", F.try_variant_get("item", "$.Text", "string").alias("text"), F.try_variant_get("item", "$.FirstURL", "string").alias("url"))
+    return related.unionByName(results).withColumn("pos", F.row_number().over(first) - 1).where(F.col("pos") < k).select("request_id", "pos", "title", "url", "snippet")
 
 
 def parse_tool_items(items: DataFrame) -> DataFrame:
     """(request_id, pos, title, url, snippet) of tool results (request_id, item_pos, type, body).
 
-    A body is a JSON array or object; other text makes a snippet titled by its first 40 characters.
+    A body is a JSON array or object; other text makes a snippet titled by its first 40
+    characters. What a payload lacks has its default, numbered by the payload's place.
     """
-    schema = "array<struct<title: string, url: string, snippet: string, summary: string>>"
-    text = trimmed("body")
-    v = F.try_parse_json(text)
-    listed = F.schema_of_variant(v).startswith("ARRAY")
-    one = F.array(F.try_variant_get(v, "$", "struct<title: string, url: string, snippet: string, summary: string>"))
-    none = F.lit(None).cast("string")
-    free = F.array(F.struct(F.substring(text, 1, 40).alias("title"), none.alias("url"), text.alias("snippet"), none.alias("summary")))
-    got = F.when(v.isNotNull(), F.when(listed, F.try_variant_get(v, "$", schema)).otherwise(one)).when(F.col("type") == "text", free)
-    rows = items.where(text != "").select("request_id", "item_pos", F.posexplode(got).alias("inner", "s"))
-    place = F.row_number().over(W.partitionBy("request_id").orderBy("item_pos", "inner")) - 1
-    return rows.withColumn("pos", place).select("request_id", "pos", "s.title", "s.url", F.coalesce("s.snippet", "s.summary").alias("snippet"))
+    rows = items.select("request_id", "item_pos", "type", trimmed("body").alias("body")).where("body <> ''").withColumn("v", F.try_parse_json("body"))
+    listed = F.schema_of_variant("v").startswith("ARRAY")
+    place = ["request_id", "item_pos"]
+    many = _exploded(rows.where(listed).select(*place, "v"), "v").select(*place, F.col("pos").alias("inner"), F.col("value").alias("item"))
+    one = rows.where(~listed).select(*place, F.lit(0).alias("inner"), F.col("v").alias("item"))
+    found = many.unionByName(one).select(*place, "inner", _said("title").alias("title"), _said("url").alias("url"), F.coalesce(_said("snippet"), _said("summary")).alias("snippet"))
+    free = rows.where(F.col("v").isNull() & (F.col("type") == "text")).select(*place, F.lit(0).alias("inner"), F.substring("body", 1, 40).alias("title"), F.lit(None).cast("string").alias("url"), F.col("body").alias("snippet"))
+    pos = F.row_number().over(W.partitionBy("request_id").orderBy("item_pos", "inner")) - 1
+    out = found.unionByName(free).withColumn("pos", pos)
+    return out.select("request_id", "pos", F.coalesce("title", _numbered(TOPIC_TITLE, F.col("pos"))).alias("title"), F.coalesce("url", F.lit(TOPIC_URL)).alias("url"), F.coalesce("snippet", F.lit(NO_SNIPPET)).alias("snippet"))
 
 
 def enrich_content(snippets: DataFrame, pages: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ TOP_K, SIMPLE_TOP_K, MIN_RATING, PER_QUERY, FINAL = 8, 10, 6.0, 12, 8
 LINE = r"^【(.+?)】(.+?)\s*-\s*([\d.]+)分$"
 #: Query vectors sent to the tasks at once.
 QUERY_BLOCK = 4096
+#: Corpus rows scored at once.
+TILE = 1024
 
 KEEP_SCORE = ("final_score", "similarity_score", "rating")  # which of two equal books stays
 SORT_SCORE = ("final_score", "similarity_score")
@@ -60,35 +62,43 @@ def batch_search(queries: DataFrame, corpus: DataFrame, top_k: int = TOP_K, min_
     found = None
     for k in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("request_id", "query_pos"), F.lit(blocks)) == k).where("embedding is not null").collect()
-        part = corpus.mapInPandas(_scorer(rows, top_k), "request_id long, query_pos int, vec_id long, similarity_score double, rating double")
+        vectors = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1)
+        sizes = np.linalg.norm(vectors, axis=1)
+        asked = np.flatnonzero(sizes > 0)
+        request, place = np.array([r.request_id for r in rows], np.int64), np.array([r.query_pos for r in rows], np.int32)
+        shared = corpus.sparkSession.sparkContext.broadcast((request[asked], place[asked], vectors[asked] / sizes[asked, None]))  # one block of queries
+        part = corpus.mapInPandas(_scorer(shared, top_k), "request_id long, query_pos int, vec_id long, similarity_score double, rating double")
         found = part if found is None else found.unionByName(part)
     best = W.partitionBy("request_id", "query_pos").orderBy(F.desc("similarity_score"), "vec_id")
     return found.withColumn("pos", F.row_number().over(best) - 1).where(F.col("pos") < top_k)
 
 
-def _scorer(rows: list, top_k: int):
-    keys = [(r.request_id, r.query_pos) for r in rows]
-    matrix = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1)
-    sizes = np.linalg.norm(matrix, axis=1)
-    matrix = matrix / np.where(sizes > 0, sizes, 1)[:, None]
+def _scorer(shared, top_k: int):
+    def best(found: list[tuple]) -> list[tuple]:
+        """The top k of each query, as one tuple of columns."""
+        query, vec, score, rating = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((vec, -score, query))
+        query, vec, score, rating = query[order], vec[order], score[order], rating[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        return [(query[rank < top_k], vec[rank < top_k], score[rank < top_k], rating[rank < top_k])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        request, place, matrix = shared.value
         for pdf in batches:
-            if not len(pdf) or not len(keys):
-                continue
-            vectors = np.stack(pdf.embedding.to_numpy()).astype(np.float64)
-            norm = np.linalg.norm(vectors, axis=1)
-            order = np.argsort(pdf.vec_id.to_numpy(), kind="stable")
-            order = order[norm[order] > 0]
-            scores = np.round(matrix @ (vectors[order] / norm[order, None]).T, 9)
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :top_k]
-            out = []
-            for i, (request, pos) in enumerate(keys):
-                if sizes[i] > 0:
-                    pick = order[top[i]]
-                    out.append(pd.DataFrame({"request_id": request, "query_pos": pos, "vec_id": pdf.vec_id.to_numpy()[pick], "similarity_score": scores[i, top[i]], "rating": pdf.rating.to_numpy()[pick]}))
-            if out:
-                yield pd.concat(out)
+            found: list[tuple] = []
+            for a in range(0, len(pdf) if len(matrix) else 0, TILE):
+                part = pdf.iloc[a : a + TILE]
+                vectors = np.stack(part.embedding.to_numpy()).astype(np.float64)
+                norm = np.linalg.norm(vectors, axis=1)
+                keep = np.flatnonzero(norm > 0)
+                if not len(keep):
+                    continue
+                scores = np.round(matrix @ (vectors[keep] / norm[keep, None]).T, 9)
+                least = np.partition(scores, -top_k, axis=1)[:, -top_k] if len(keep) > top_k else np.full(len(scores), -np.inf)
+                query, j = np.nonzero(scores >= least[:, None])  # with all that tie for the last place
+                found = best([*found, (query, part.vec_id.to_numpy()[keep[j]], scores[query, j], part.rating.to_numpy()[keep[j]])])
+            for query, vec, score, rating in found:
+                yield pd.DataFrame({"request_id": request[query], "query_pos": place[query], "vec_id": vec, "similarity_score": score, "rating": rating})
 
     return run
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,16 +28,11 @@ def query(body: str | None = None, *names: str):
     return put
 
 
-def temp_root(spark: SparkSession, label: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spark-shared"
-    return f"{base.rstrip('/')}/lectern/{label}-{uuid.uuid4().hex}"
-
-
 # Fixed expressions of the SQL side.
 TRIM = lambda c: f"trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(12288))"
 NUM = lambda c: f"(case when {c} = floor({c}) then cast(cast({c} as bigint) as varchar) else cast({c} as varchar) end)"
 FIRST = lambda *c: f"coalesce({', '.join(f'nullif({x}, 0)' for x in c)}, 0)"
-LINKED = "'https://vufind.library.sh.cn/Search/Results?searchtype=vague&lookfor=' || replace(replace(replace(replace(replace(replace(replace(replace(trim(call_number), '/', '%2F'), '#', '%23'), '*', '%2A'), ' ', '%20'), '+', '%2B'), '=', '%3D'), '?', '%3F'), '&', '%26') || '&type=CallNumber'"
+LINKED = "'https://catalogue.example/Search/Results?searchtype=vague&lookfor=' || replace(replace(replace(replace(replace(replace(replace(replace(trim(call_number), '/', '%2F'), '#', '%23'), '*', '%2A'), ' ', '%20'), '+', '%2B'), '=', '%3D'), '?', '%3F'), '&', '%26') || '&type=CallNumber'"
 VALID = "pass = '通过' and coalesce(barcode, '') not in ('', '0')"
 KIND = "case when collection_id like '____-subject-%' then 'subject' when collection_id like '____-sleeping-%' then 'sleeping_beauty' else 'month' end"
 NAME = "case when collection_id like '____-subject-%' then substr(collection_id, 14) when collection_id like '____-sleeping-%' then substr(collection_id, 15) else collection_id end"
@@ -130,10 +123,10 @@ def f16_message_text(spark, sf_dir):
     return table(spark, sf_dir, "messages").select("conv_id", "turn", X.message_text(parts).alias("text"))
 
 
-@query("""select conv_id, turn, '# 当前用户输入' || chr(10) || trim(text, ' ') || case when mode is null then '' else chr(10) || chr(10) || chr(10) || '# 历史对话' || chr(10) || mode end as classifier,
-    concat_ws(chr(10) || chr(10), 'base', mode, intent, nullif(trim(draft), '')) as system from turns where turn % 6 > 0""", "turns")
+@query("""select conv_id, turn, '# 当前用户输入' || chr(10) || t || case when mode is null then '' else chr(10) || chr(10) || chr(10) || '# 历史对话' || chr(10) || mode end as classifier,
+    concat_ws(chr(10) || chr(10), 'base', mode, intent, nullif(trim(draft), '')) as system from (select *, TRIMMED t from turns)""".replace("TRIMMED", TRIM("text")), "turns")
 def f17_prompt_sections(spark, sf_dir):
-    return table(spark, sf_dir, "turns").where("turn % 6 > 0").select("conv_id", "turn", X.classifier_prompt("text", "mode").alias("classifier"), X.system_prompt(F.lit("base"), "mode", "intent", F.trim("draft")).alias("system"))
+    return table(spark, sf_dir, "turns").select("conv_id", "turn", X.classifier_prompt("text", "mode").alias("classifier"), X.system_prompt(F.lit("base"), "mode", "intent", F.trim("draft")).alias("system"))
 
 
 REPORT = "# 交叉主题分析报告 - x\n\n## 共同母题\n\n- 名称: N{id}\n\n- 关键词: a{id}, b, c\n\n- 摘要: about {id}\n\n## 文章列表\n\n### 文章 1: first\n\n| 字段 | 内容 |\n| --- | --- |\n| ID | A{id} |\n| 主题聚焦 | focus |\n| 标签 | x, y |\n| 提及书籍 | [{{'title': 'T{id}', 'author': 'U'}}, {{'title': 'V', 'author': 'W'}}] |\n\n### 文章 2: second\n\n| 字段 | 内容 |\n| --- | --- |\n| ID | B{id} |\n| 主题聚焦 | f2 |\n| 标签 | z |\n| 提及书籍 | 无 |\n\n## 深度洞察\n\n- one {id}\n- two\n"
@@ -221,7 +214,7 @@ def a12_build_metrics(spark, sf_dir):
 @query("select collection_path, barcode, nullif(title, '') as title, pass from curation".replace("barcode,", "nullif(barcode, '') as barcode,"), "curation")
 def s1_curation_rows(spark, sf_dir):
     """Written as a sheet export and read back."""
-    path = temp_root(spark, "sheet")
+    path = files.scratch(spark, "sheet")
     sheet(spark, sf_dir).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return files.read_rows(spark, path).select("collection_path", F.col("书目条码").alias("barcode"), F.col("豆瓣书名").alias("title"), F.col("人工评选").alias("pass"))
 
@@ -229,7 +222,7 @@ def s1_curation_rows(spark, sf_dir):
 @query(f"select collection_id, pos, barcode, {KIND} as kind, substr(collection_id, 1, 4) as year from books", "books")
 def s4_write_collections(spark, sf_dir):
     """Written by collection and read back."""
-    path = temp_root(spark, "collections")
+    path = files.scratch(spark, "collections")
     files.write_collections(table(spark, sf_dir, "books"), path)
     return files.read_written(spark, path).select("collection_id", "pos", "barcode", "kind", "year")
 
@@ -282,7 +275,7 @@ def c7_staged_top(spark, sf_dir):
 
 def _tree(spark: SparkSession, sf_dir: str, broken: bool = False) -> str:
     """A folder tree with the books of each collection as one array; broken spoils those of December."""
-    root = temp_root(spark, "tree")
+    root = files.scratch(spark, "tree")
     book = F.struct(F.col("barcode").alias("书目条码"), F.col("title").alias("豆瓣书名"), F.col("author").alias("豆瓣作者"))
     rows = table(spark, sf_dir, "books").groupBy("collection_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("pos", book.alias("b")))), lambda x: x["b"])).alias("value"))
     if broken:
@@ -306,11 +299,11 @@ def s3_unreadable_collections(spark, sf_dir):
     return read.select("collection_id", F.lit(False).alias("bad"), "books").union(bad.select("collection_id", F.lit(True), F.lit(0).cast("long")))
 
 
-@query("select distinct collection_id, 'About ' || file_name as content from companions where file_name not like 'README%'", "companions")
+@query("select distinct collection_id, 'About ' || file_name as content from companions", "companions")
 def s5_companions(spark, sf_dir):
     """Companion files written below their collection's folder and read back."""
-    root = temp_root(spark, "companions")
-    rows = archive.with_identity(table(spark, sf_dir, "companions").distinct()).where("file_name not like 'README%'").withColumn("value", F.concat(F.lit("About "), "file_name"))
+    root = files.scratch(spark, "companions")
+    rows = archive.with_identity(table(spark, sf_dir, "companions").distinct()).withColumn("value", F.concat(F.lit("About "), "file_name"))
     rows.select("value", "year", "kind", "name").repartition("year", "kind", "name").write.partitionBy("year", "kind", "name").text(root)
     return files.read_companions(spark, root, "part-*").select("collection_id", F.regexp_replace("content", "\n$", "").alias("content"))
 
@@ -389,6 +382,16 @@ def s7_export(spark, sf_dir):
     return out.select(F.get_json_object("value", "$.b").alias("barcode"), F.length(lean).cast("long").alias("size"))
 
 
+@query("""select barcode, '{"b":"' || barcode || '","t":"' || title || '"}' as value from books where collection_id = (select max(collection_id) from books) and barcode = (select min(barcode) from books where collection_id = (select max(collection_id) from books))""", "books")
+def s7_export_book(spark, sf_dir):
+    """One book of the newest collection, by its barcode."""
+    books = table(spark, sf_dir, "books").select("collection_id", "barcode", F.col("barcode").alias("b"), F.col("title").alias("t"))
+    newest = books.agg(F.max("collection_id")).first()[0]
+    least = books.where(F.col("collection_id") == newest).agg(F.min("barcode")).first()[0]
+    out = archive.export_book(books, newest, least)
+    return out.select(F.get_json_object("value", "$.b").alias("barcode"), F.to_json(F.from_json("value", "b string, t string")).alias("value"))
+
+
 # Retrieval
 
 
@@ -496,7 +499,7 @@ def r7_smart_select(spark, sf_dir):
 def r8_expanded_search(spark, sf_dir):
     searches = table(spark, sf_dir, "searches")
     texts = searches.groupBy("request_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("query_pos", F.col("query_id").cast("string").alias("t")))), lambda x: x["t"]).alias("t"))
-    probe = F.transform(F.slice("t", 2, 1000), lambda x: F.struct(F.lit("p").alias("type"), F.lit("l").alias("label"), x.alias("text")))
+    probe = F.transform(F.slice("t", 2, F.size("t")), lambda x: F.struct(F.lit("p").alias("type"), F.lit("l").alias("label"), x.alias("text")))
     expansions = texts.select("request_id", F.col("t")[0].alias("original_query"), F.lit(True).alias("success"), probe.alias("probes"))
     vectors = searches.select(F.col("query_id").cast("string").alias("query"), "embedding")
     merged, _ = retrieval.expanded_search(expansions, lambda q: q.join(vectors, "query"), table(spark, sf_dir, "corpus"))
@@ -609,31 +612,39 @@ def p15_validate_uploads(spark, sf_dir):
     return research.validate_uploads(table(spark, sf_dir, "uploads")).select("batch_id", "name", "reason")
 
 
-@query("""select request_id, keyword_pos, pos, 'duckduckgo' as engine, coalesce(title, 'DuckDuckGo 结果 ' || (pos + 1)) as title, coalesce(url, 'https://duckduckgo.com') as url, coalesce(snippet, description, '暂无摘要') as snippet from snippets
-    union all select request_id, keyword_pos, pos, 'jina', coalesce(nullif(title, ''), '结果 ' || (pos + 1)), coalesce(url, ''), coalesce(nullif(description, ''), nullif(substr(content, 1, 200), ''), '暂无摘要') from snippets""", "snippets")
+@query("""select request_id, keyword_pos, pos, 'duckduckgo' as engine, coalesce(title, 'DuckDuckGo 结果 ' || (pos + 1)) as title, coalesce(url, 'https://duckduckgo.com') as url, coalesce(snippet, summary, '暂无摘要') as snippet from snippets
+    union all select request_id, keyword_pos, pos, 'jina', coalesce(nullif(title, ''), '搜索结果 ' || (pos + 1)), coalesce(url, ''), coalesce(nullif(description, ''), nullif(substr(content, 1, 200), ''), '暂无摘要') from snippets""", "snippets")
 def p16_normalize_snippets(spark, sf_dir):
     df = table(spark, sf_dir, "snippets")
     return research.normalize_snippets(df, "duckduckgo").unionByName(research.normalize_snippets(df, "jina")).drop("content")
 
 
-@query("""select page_id as request_id, pos, text, case when pos = 2 then null else url end as url from full0, (values (0, 'first '), (1, 'inner '), (2, 'deep ')) v(pos, t), lateral (select t || page_id) x(text)""".replace("full0", "(select page_id, url from pages)"))
+TOPIC_LEAVES = """select request_id, 0 as o, 'first ' || request_id as title, 'u' || request_id as url, 'r' as snippet from topics where request_id % 11 > 0
+    union all select request_id, 1, 'v' || request_id, 'v' || request_id, '暂无摘要' from topics where request_id % 11 > 0 and request_id % 2 = 0
+    union all select request_id, 2, 'deep ' || request_id, 'https://duckduckgo.com', 'deep ' || request_id from topics where request_id % 11 > 0
+    union all select request_id, 3, 'DuckDuckGo', 'https://duckduckgo.com', '暂无摘要' from topics where request_id % 11 > 0
+    union all select request_id, 4, 'last ' || request_id, 'https://duckduckgo.com', 's' from topics where request_id % 11 > 0 and request_id % 3 = 0
+    union all select request_id, 4, 'DuckDuckGo 结果 1', 'https://duckduckgo.com', '暂无摘要' from topics where request_id % 11 > 0 and request_id % 3 > 0
+    union all select request_id, 5, 'DuckDuckGo 结果 2', 'w', '暂无摘要' from topics where request_id % 11 > 0 and request_id % 3 > 0"""
+
+
+@query(f"select request_id, pos, title, url, snippet from (select *, row_number() over (partition by request_id order by o) - 1 pos from ({TOPIC_LEAVES})) where pos < 5", "topics")
 def p17_flatten_topics(spark, sf_dir):
-    leaf = lambda t: F.struct(F.concat(F.lit(t), F.col("page_id").cast("string")).alias("Text"), F.col("url").alias("FirstURL"))
-    deep = F.struct(F.concat(F.lit("deep "), F.col("page_id").cast("string")).alias("Text"))
-    related = F.to_json(F.array(leaf("first ")))
-    nested = F.to_json(F.array(leaf("inner ")))
-    inner = F.concat(F.lit('{"Topics":[{"Topics":['), F.to_json(deep), F.lit("]}]}"))
-    body = F.concat(F.lit('{"RelatedTopics":['), F.expr("1").cast("string").substr(2, 1), F.substring(related, 2, 1 << 20).substr(F.lit(1), F.length(related) - 2), F.lit(',{"Topics":'), nested, F.lit("},"), inner, F.lit('],"Results":['), F.to_json(leaf("last ")), F.lit("]}"))
-    return research.flatten_topics(given(spark, sf_dir, "pages").select(F.col("page_id").alias("request_id"), body.alias("body")), 3)
+    return research.flatten_topics(table(spark, sf_dir, "topics"), 5)
+
 
+TOOL_ROWS = """select request_id, 0 as o, 'a' || request_id as title, 'u' || request_id as url, 's' as snippet from tool_items where item_pos = 0
+    union all select request_id, 1, null, null, null from tool_items where item_pos = 0 and request_id % 2 = 0
+    union all select request_id, 2, null, null, 'sum ' || request_id from tool_items where item_pos = 0
+    union all select request_id, 3, 'c' || request_id, null, '' from tool_items where item_pos = 1
+    union all select request_id, 4, substr(trim(body), 1, 40), null, trim(body) from tool_items where item_pos = 2
+    union all select request_id, 5, null, 'j' || request_id, null from tool_items where item_pos = 3 and request_id % 4 > 0"""
 
-@query("""select page_id as request_id, 0 as pos, 'a' || page_id as title, url, 's' as snippet from pages union all select page_id, 1, 'b', null, 'sum' from pages union all select page_id, 2, 'c', null, null from pages
-    union all select page_id, 3, substr('plain text of a page without any structure ' || page_id, 1, 40), null, 'plain text of a page without any structure ' || page_id from pages""")
+
+@query(f"""select request_id, pos, coalesce(title, 'DuckDuckGo 结果 ' || (pos + 1)) as title, coalesce(url, 'https://duckduckgo.com') as url, coalesce(snippet, '暂无摘要') as snippet
+    from (select *, row_number() over (partition by request_id order by o) - 1 pos from ({TOOL_ROWS}))""", "tool_items")
 def p18_parse_tool_items(spark, sf_dir):
-    one = F.to_json(F.struct(F.concat(F.lit("a"), F.col("page_id").cast("string")).alias("title"), "url", F.lit("s").alias("snippet")))
-    bodies = [F.concat(F.lit("["), one, F.lit(',{"title":"b","summary":"sum"}]')), F.lit(' {"title":"c"} '), F.concat(F.lit("plain text of a page without any structure "), F.col("page_id").cast("string"))]
-    items = given(spark, sf_dir, "pages").select(F.col("page_id").alias("request_id"), F.posexplode(F.array(*bodies)).alias("item_pos", "body"))
-    return research.parse_tool_items(items.withColumn("type", F.lit("text")))
+    return research.parse_tool_items(table(spark, sf_dir, "tool_items"))
 
 
 @query("""select request_id, keyword_pos, pos, case when coalesce(trim(s.content), '') = '' and coalesce(s.url, '') <> '' then coalesce(f.content, s.content) else s.content end as content from snippets s left join (select url, min(content) content from full_pages group by 1) f using (url)""", "snippets", "full_pages")
@@ -641,12 +652,15 @@ def k5_enrich_content(spark, sf_dir):
     return research.enrich_content(table(spark, sf_dir, "snippets"), table(spark, sf_dir, "full_pages")).select("request_id", "keyword_pos", "pos", "content")
 
 
-@query("""select request_id, pos, title, engine from (select request_id, pos, title, 'first' as engine from snippets where request_id % 3 = 0 and keyword_pos = 0 union all select request_id, pos, title, 'second' from snippets where request_id % 3 < 2 and request_id % 3 > 0 and keyword_pos = 0
-    union all select distinct request_id, 0, 'query ' || request_id, 'none' from snippets where request_id % 3 = 2)""", "snippets")
+ASKED = "select request_id * 3 + keyword_pos as request_id, pos, title from snippets"  # a search a keyword
+
+
+@query(f"""select request_id, pos, title, case request_id % 4 when 0 then 'first' else 'second' end as engine from ({ASKED}) where request_id % 4 < 2
+    union all select distinct request_id, 0, 'query ' || request_id, 'none' from ({ASKED}) where request_id % 4 > 1""", "snippets")
 def r10_fallback_union(spark, sf_dir):
-    df = table(spark, sf_dir, "snippets").where("keyword_pos = 0").select("request_id", "pos", "title")
-    queries = table(spark, sf_dir, "snippets").select("request_id").distinct().withColumn("query", F.concat(F.lit("query "), F.col("request_id").cast("string")))
-    first, second = df.where("request_id % 3 = 0").withColumn("engine", F.lit("first")), df.where("request_id % 3 < 2").withColumn("engine", F.lit("second"))
+    df = table(spark, sf_dir, "snippets").select((F.col("request_id") * 3 + F.col("keyword_pos")).alias("request_id"), "pos", "title")
+    queries = df.select("request_id").distinct().withColumn("query", F.concat(F.lit("query "), F.col("request_id").cast("string")))
+    first, second = df.where("request_id % 4 = 0").withColumn("engine", F.lit("first")), df.where("request_id % 4 < 2").withColumn("engine", F.lit("second"))
     return research.fallback_union(first, second, queries)
 
 
@@ -708,21 +722,23 @@ def a13_summary(spark, sf_dir):
 
 # Progress streams, folded as batches; tests hold the streams against them.
 
-EVENTS = "select session_id, seq, ts, json_extract_string(j, '$.type') as type, json_extract_string(j, '$.phase') as phase, json_extract_string(j, '$.status') as status, json_extract_string(j, '$.message') as message, json_extract_string(j, '$.chunk') as chunk, json_extract_string(j, '$.content') as content from (select *, case when json_valid(substr(line, 7)) then substr(line, 7)::json end j from frames where line like 'data: %') where j is not null"
+FIELDS = "type phase status message details content draftMarkdown".split()
+READ = ", ".join(f"json_extract_string(j, '$.{x}') as {x}" for x in FIELDS)
+EVENTS = f"select session_id, seq, ts, {READ} from (select *, case when json_valid(substr(line, 7)) then substr(line, 7)::json end j from frames where line like 'data: %') where j is not null"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.decode(table(spark, sf_dir, "frames"))
 
 
-@query(f"select session_id, seq, type, phase, status, message, chunk, content from ({EVENTS})", "frames")
+@query(f"select session_id, seq, {", ".join(FIELDS)} from ({EVENTS})", "frames")
 def x1_decode(spark, sf_dir):
-    return _events(spark, sf_dir).select("session_id", "seq", "type", "phase", "status", "message", "chunk", "content")
+    return _events(spark, sf_dir).select("session_id", "seq", *FIELDS)
 
 
-@query(f"select session_id, phase, arg_max(status, seq) as status, arg_max(message, seq) as message, min(seq) as place from ({EVENTS}) where phase is not null group by 1, 2", "frames")
+@query(f"select session_id, phase, arg_max(status, seq) as status, arg_max(message, seq) as message, max_by(coalesce(details, chr(0)), seq) as details, min(seq) as place from ({EVENTS}) where phase is not null group by 1, 2", "frames")
 def x2_latest_by_phase(spark, sf_dir):
-    return progress.latest_by_phase(_events(spark, sf_dir)).drop("details")
+    return progress.latest_by_phase(_events(spark, sf_dir)).withColumn("details", F.coalesce("details", F.lit("\0")))
 
 
 @query(f"select session_id, phase, arg_max(status, seq) as status, max(seq) as place from ({EVENTS}) where phase is not null group by 1, 2", "frames")
@@ -730,18 +746,23 @@ def x3_latest_moved_to_end(spark, sf_dir):
     return progress.latest_by_phase(_events(spark, sf_dir), "last").select("session_id", "phase", "status", "place")
 
 
-@query(f"""select session_id, coalesce(arg_max(content, seq) filter (type = 'draft-complete'), string_agg(chunk, '' order by seq) filter (type = 'draft-chunk'), '') as text, not bool_or(type = 'draft-complete') as streaming, bool_or(type = 'draft-complete') as complete
+@query(f"""select session_id, coalesce(arg_max(draftMarkdown, seq) filter (type = 'draft-complete'), string_agg(content, '' order by seq) filter (type = 'draft-chunk'), '') as text, not bool_or(type = 'draft-complete') as streaming, bool_or(type = 'draft-complete') as complete
     from ({EVENTS}) where type like 'draft-%' group by 1""", "frames")
 def x4_assemble_draft(spark, sf_dir):
     return progress.assemble_draft(_events(spark, sf_dir))
 
 
-@query(f"select session_id, arg_max(phase, seq) as phase from ({EVENTS}) where phase is not null group by 1", "frames")
+@query(f"""select session_id, coalesce(arg_max(case type when 'draft-start' then 'draft-streaming' else 'draft-confirm' end, seq) filter (type in ('draft-start', 'draft-complete')), 'progress') as phase from ({EVENTS}) group by 1""", "frames")
 def x5_session_phase(spark, sf_dir):
     return progress.session_phase(_events(spark, sf_dir))
 
 
-@query(f"select session_id, count(*) filter (phase = 'search' and status = 'completed') as searched, count(*) filter (phase = 'analysis' and status = 'completed') as analysed, count(*) as total from ({EVENTS}) group by 1", "frames")
+NTH = lambda column, k: f"try_cast(regexp_extract({column}, '([0-9]+)/([0-9]+)', {k}) as bigint)"
+SAID = "coalesce(details, message)"
+
+
+@query(f"""select session_id, coalesce(max({NTH(SAID, 1)}) filter (phase = 'search'), 0) as searched, coalesce(max({NTH(SAID, 1)}) filter (phase = 'analysis'), 0) as analysed,
+    coalesce(greatest(max({NTH(SAID, 2)}) filter (phase in ('search', 'analysis')), max(try_cast(regexp_extract(message, '([0-9]+) 个', 1) as bigint)) filter (phase = 'keyword')), 0) as total from ({EVENTS}) group by 1""", "frames")
 def x6_counters(spark, sf_dir):
     return progress.counters(_events(spark, sf_dir))
 
@@ -754,7 +775,7 @@ def a14_ratio(spark, sf_dir):
 @query(f"select session_id, seq, type from ({EVENTS})", "frames")
 def s6_read_frames(spark, sf_dir):
     """Frames written as files, read as a stream until none is left, and decoded."""
-    root = temp_root(spark, "frames")
+    root = files.scratch(spark, "frames")
     table(spark, sf_dir, "frames").select("session_id", "seq", "ts", "line").write.parquet(f"{root}/in")
     events = progress.decode(progress.read_frames(spark, f"{root}/in")).select("session_id", "seq", "type")
     run = events.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out")

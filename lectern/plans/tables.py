@@ -12,16 +12,16 @@ _CODE = "CAST(p_partkey AS STRING)"
 
 DERIVED = {
     "curation": f"""SELECT {_COLLECTION} AS collection_path,
-        CASE WHEN p_size % 17 = 0 THEN NULL WHEN p_size % 19 = 0 THEN '' ELSE {_CODE} END AS barcode,
+        CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN '' WHEN p_partkey % 23 = 0 THEN '0' ELSE {_CODE} END AS barcode,
         CASE WHEN p_size % 3 = 0 THEN '通过' ELSE '未通过' END AS pass, CASE WHEN p_size % 7 = 0 THEN '' ELSE p_name END AS title, p_brand AS author,
         CASE WHEN p_size % 5 = 0 THEN ' ' ELSE substr('DIJKBT', 1 + p_size % 6, 1) || p_brand || '/' || p_type || ' =2' END AS call_number,
         CAST(CAST(50 + p_partkey % 50 AS DOUBLE) / 10 AS STRING) AS rating, p_size * 40 AS reviews,
         CASE WHEN p_size % 4 = 0 THEN NULL ELSE 'isbn' || {_CODE} END AS isbn, CASE WHEN p_size % 6 = 0 THEN ' ' ELSE p_type END AS summary,
         'c' || {_CODE} AS cover, p_type AS theme FROM [part]""",
-    "files": f"""SELECT {_COLLECTION} AS collection_path, {_CODE} || '/' || {_CODE} || '-S.png' AS path FROM [part] WHERE p_size % 2 = 0
-        UNION ALL SELECT {_COLLECTION}, {_CODE} || '/' || {_CODE} || '.png' FROM [part] WHERE p_size % 3 = 0
-        UNION ALL SELECT {_COLLECTION}, {_CODE} || '/pic/cover.jpg' FROM [part] WHERE p_size % 9 = 0
-        UNION ALL SELECT {_COLLECTION}, {_CODE} || '/pic/qrcode.png' FROM [part] WHERE p_size % 9 = 1""",
+    "files": f"""SELECT {_COLLECTION} AS collection_path, {_CODE} || '/' || {_CODE} || '-S.png' AS path FROM [part] WHERE p_size % 2 = 0 AND p_partkey % 4 > 0
+        UNION ALL SELECT {_COLLECTION}, {_CODE} || '/' || {_CODE} || '.png' FROM [part] WHERE p_size % 3 = 0 AND p_partkey % 4 > 0
+        UNION ALL SELECT {_COLLECTION}, {_CODE} || '/pic/cover.jpg' FROM [part] WHERE p_size % 9 = 0 AND p_partkey % 4 > 0
+        UNION ALL SELECT {_COLLECTION}, {_CODE} || '/pic/qrcode.png' FROM [part] WHERE p_size % 9 = 1 AND p_partkey % 4 > 0""",
     "books": """SELECT collection_id, CAST(row_number() OVER (PARTITION BY collection_id ORDER BY pk) - 1 AS INT) AS pos, CAST(pk AS STRING) AS barcode,
         CASE WHEN pk % 4 = 0 THEN NULL WHEN pk % 4 = 1 THEN '' ELSE 'o/' || CAST(pk AS STRING) END AS originalImageUrl,
         CASE WHEN pk % 3 = 0 THEN NULL ELSE 'http://x/' || CAST(pk AS STRING) END AS coverImageUrl,
@@ -63,15 +63,26 @@ DERIVED = {
     "snippets": """SELECT CAST(floor(page_id / 12) AS BIGINT) AS request_id, CAST(floor(page_id / 4) % 3 AS INT) AS keyword_pos, CAST(page_id % 4 AS INT) AS pos,
         CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 't' || CAST(page_id AS STRING) END AS title, CASE WHEN page_id % 6 = 0 THEN '' WHEN page_id % 6 = 1 THEN NULL ELSE url END AS url,
         CASE WHEN page_id % 4 = 0 THEN NULL ELSE 's' || CAST(page_id AS STRING) END AS snippet, CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN 'd' END AS description,
-        CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE substr(html, 1, 250) END AS content FROM [pages]""",
+        CASE WHEN page_id % 7 < 3 THEN 'm' || CAST(page_id AS STRING) END AS summary, CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE html END AS content FROM [pages]""",
     "full_pages": "SELECT url, 'full ' || CAST(page_id AS STRING) AS content FROM [pages]",
-    "analyses": """SELECT CAST(floor(doc_id / 4) AS BIGINT) AS request_id, CAST(doc_id % 4 AS INT) AS pos, CASE WHEN doc_id % 5 = 0 THEN ' ' WHEN doc_id % 7 = 0 THEN NULL ELSE substr(text, 1, 20) END AS analysis,
+    "analyses": """SELECT CAST(floor(doc_id / 4) AS BIGINT) AS request_id, CAST(doc_id % 4 AS INT) AS pos, CASE WHEN doc_id % 5 = 0 THEN ' ' WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS analysis,
         CASE WHEN doc_id % 7 = 0 THEN 'failed ' || CAST(doc_id AS STRING) END AS error, CAST(doc_id % 9 AS INT) AS n_snippets FROM [documents]""",
     "manifest": f"SELECT {_CODE} || '.otf' AS filename, 'fonts/2025-' || lpad(CAST(p_size AS STRING), 2, '0') || '/' || {_CODE} AS key, CAST(p_size AS BIGINT) * p_size * 997 AS size FROM [part] WHERE p_size % 2 = 0",
     "scan": f"SELECT {_CODE} || '.otf' AS filename, CAST(p_size AS BIGINT) * 100 AS size FROM [part] WHERE p_size % 3 <> 0",
+    "topics": f"""SELECT page_id AS request_id, CASE WHEN page_id % 11 = 0 THEN 'no json' ELSE {_JSON.format("""'<"RelatedTopics":[<"Text":"first ' || id || '","FirstURL":"u' || id || '","Result":"r">,<"Topics":[' || CASE WHEN page_id % 2 = 0 THEN '<"FirstURL":"v' || id || '">,' ELSE '' END || '<"Topics":[<"Topics":[<"Topics":[<"Topics":[<"Text":"deep ' || id || '">]>]>]>]>]>,<"Topics":null>],"Results":[' || CASE WHEN page_id % 3 = 0 THEN '<"Text":"last ' || id || '","Result":"s">' ELSE '<>,<"FirstURL":"w">' END || ']>'""")} END AS body
+        FROM (SELECT page_id, CAST(page_id AS STRING) AS id FROM [pages]) d""",
+    "tool_items": f"""SELECT page_id AS request_id, k AS item_pos, CASE WHEN k = 3 THEN 'json' ELSE 'text' END AS type, CASE k
+        WHEN 0 THEN {_JSON.format("""'[<"title":"a' || id || '","url":"u' || id || '","snippet":"s">,' || CASE WHEN page_id % 2 = 0 THEN '5,' ELSE '' END || '<"summary":"sum ' || id || '">]'""")}
+        WHEN 1 THEN {_JSON.format("""' <"title":"c' || id || '","snippet":"","summary":"x"> '""")} WHEN 2 THEN 'plain text of a page without any structure ' || id || CASE WHEN page_id % 3 = 0 THEN ' ' ELSE '' END
+        WHEN 3 THEN CASE WHEN page_id % 4 = 0 THEN 'no json' ELSE {_JSON.format("""'<"url":"j' || id || '">'""")} END ELSE '  ' END AS body
+        FROM (SELECT page_id, CAST(page_id AS STRING) AS id, k FROM [pages] CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) ks) d""",
     "frames": f"""SELECT user_id AS session_id, event_id AS seq, ts, CASE event_type WHEN 'error' THEN 'data: broken' WHEN 'signup' THEN 'event: x' ELSE 'data: ' || {_JSON.format('''CASE
-        WHEN event_type = 'purchase' AND user_id % 3 = 0 AND event_id % 5 = 0 THEN '<"type":"draft-complete","content":"all ' || CAST(event_id AS STRING) || '">' WHEN event_type = 'purchase' THEN '<"type":"draft-chunk","chunk":"c' || CAST(event_id AS STRING) || ' ">'
-        ELSE '<"type":"progress","phase":"' || CASE WHEN event_type = 'view' THEN 'search' WHEN event_id % 2 = 0 THEN 'analysis' ELSE 'report' END || '","status":"' || CASE WHEN event_id % 3 = 0 THEN 'completed' ELSE 'running' END || '","message":"m' || CAST(event_id AS STRING) || '">' END''')} END AS line FROM [events]""",
+        WHEN event_type = 'purchase' AND user_id % 3 = 0 AND event_id % 5 = 0 THEN '<"type":"draft-complete","success":true,"draftMarkdown":"all ' || id || '","articleAnalysis":"">'
+        WHEN event_type = 'purchase' AND event_id % 5 = 1 THEN '<"type":"draft-start","keywords":[],"userInput":"u">' WHEN event_type = 'purchase' THEN '<"type":"draft-chunk","content":"c' || id || ' ">'
+        ELSE '<"type":"progress","phase":"' || CASE WHEN event_type = 'view' THEN 'search","message":"正在检索关键词... (' || n || '/' || k || ')","details":"已检索 ' || n || '/' || k || ' 个关键词' WHEN event_id % 4 = 0 THEN 'keyword","message":"成功生成 ' || k || ' 个关键词","details":"a, b'
+        WHEN event_id % 4 = 1 THEN 'cross-analysis","message":"正在进行交叉分析...' WHEN event_id % 4 = 2 THEN 'analysis","message":"关键词分析完成: k (' || n || '/' || k || ')","details":"已完成 ' || n || '/' || k || ' 个关键词分析' ELSE 'analysis","message":"关键词分析完成: k (' || n || '/' || k || ')' END
+        || '","status":"' || CASE WHEN n = k OR event_id % 4 = 0 THEN 'completed' ELSE 'running' END || '">' END''')} END AS line
+        FROM (SELECT user_id, event_id, event_type, ts, CAST(event_id AS STRING) AS id, CAST(3 + user_id % 4 AS STRING) AS k, CAST(event_id % (4 + user_id % 4) AS STRING) AS n FROM [events]) d""",
 }
 
 # What the sheet calls the columns of curation rows.

@@ -10,11 +10,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-EVENT = "type string, phase string, status string, message string, details string, chunk string, content string"
+EVENT = "type string, phase string, status string, message string, details string, content string, draftMarkdown string"
+# The state that an event puts its session in; events of the later states are those of the reader's own actions.
+STATES = {"draft-start": "draft-streaming", "draft-complete": "draft-confirm", "book-search": "book-search", "book-selection": "book-selection", "report-streaming": "report-streaming", "completed": "completed"}
+# How progress logs say n of total keywords, and how many there are.
+SEARCHED, ANALYSED, KEYWORDS = r"(?:已检索 |\()(\d+)/(\d+)", r"(?:已完成 |\()(\d+)/(\d+)", r"成功生成 (\d+) 个关键词"
 FRAMES = "session_id long, seq long, ts timestamp, line string"
 
 
@@ -48,16 +52,29 @@ def latest_by_phase(events: DataFrame, order: str = "first", gap: str | None = N
 
 
 def session_phase(events: DataFrame, gap: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """(session_id, phase): the phase of the last event that names one."""
-    logs, keys = _by(events.where("phase is not null"), ["session_id"], gap, delay)
-    return logs.groupBy(*keys).agg(F.max_by("phase", "seq").alias("phase"))
+    """(session_id, phase): the state of each session, by the last event that changes it; progress until then."""
+    logs, keys = _by(events, ["session_id"], gap, delay)
+    pairs = [F.lit(x) for kv in STATES.items() for x in kv]
+    state = F.try_element_at(F.create_map(*pairs), F.col("type"))
+    last = F.max_by(state, F.when(state.isNotNull(), F.col("seq")))
+    return logs.groupBy(*keys).agg(F.coalesce(last, F.lit("progress")).alias("phase"))
 
 
 def counters(events: DataFrame, gap: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """(session_id, searched, analysed, total): progress events by what they report."""
+    """(session_id, searched, analysed, total): keywords done and in all, as the progress logs say.
+
+    Logs report n of total in their details, or else at the end of their message; a session
+    whose logs report none has zeros.
+    """
     logs, keys = _by(events, ["session_id"], gap, delay)
-    done = F.col("status") == "completed"
-    return logs.groupBy(*keys).agg(F.count_if((F.col("phase") == "search") & done).alias("searched"), F.count_if((F.col("phase") == "analysis") & done).alias("analysed"), F.count("*").alias("total"))
+    said = F.concat_ws(" ", "details", "message")
+
+    def most(phase: str, pattern: str, k: int) -> Column:
+        return F.max(F.when(F.col("phase") == phase, F.regexp_extract(said, pattern, k).try_cast("long")))
+
+    total = F.greatest(most("search", SEARCHED, 2), most("analysis", ANALYSED, 2), most("keyword", KEYWORDS, 1))
+    made = {"searched": most("search", SEARCHED, 1), "analysed": most("analysis", ANALYSED, 1), "total": total}
+    return logs.groupBy(*keys).agg(*[F.coalesce(c, F.lit(0).cast("long")).alias(n) for n, c in made.items()])
 
 
 def ratio(latest: DataFrame) -> DataFrame:
@@ -68,8 +85,8 @@ def ratio(latest: DataFrame) -> DataFrame:
 def assemble_draft(events: DataFrame) -> DataFrame:
     """(session_id, text, streaming, complete): chunks in order, or the text that completed them (X4), as a batch."""
     drafts = events.where("type like 'draft-%'")
-    chunk = F.when(F.col("type") == "draft-chunk", F.struct(F.col("seq").alias("o"), F.coalesce("chunk", F.lit("")).alias("l")))
-    whole = F.max_by(F.when(F.col("type") == "draft-complete", F.coalesce("content", F.lit(""))), F.when(F.col("type") == "draft-complete", F.col("seq")))
+    chunk = F.when(F.col("type") == "draft-chunk", F.struct(F.col("seq").alias("o"), F.coalesce("content", F.lit("")).alias("l")))
+    whole = F.max_by(F.when(F.col("type") == "draft-complete", F.coalesce("draftMarkdown", F.lit(""))), F.when(F.col("type") == "draft-complete", F.col("seq")))
     made = F.array_join(F.transform(F.sort_array(F.collect_list(chunk)), lambda r: r["l"]), "")
     out = drafts.groupBy("session_id").agg(made.alias("made"), whole.alias("whole"), F.bool_or(F.col("type") == "draft-complete").alias("complete"))
     return out.select("session_id", F.coalesce("whole", "made").alias("text"), (~F.col("complete")).alias("streaming"), "complete")
@@ -87,9 +104,9 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         for r in pdf.itertuples():
             latest = max(latest, int(r.ts.timestamp() * 1000))
             if r.type == "draft-chunk":
-                kept[r.seq] = r.chunk or ""
+                kept[r.seq] = r.content or ""
             elif r.type == "draft-complete" and r.seq > whole_seq:
-                whole, whole_seq = r.content or "", int(r.seq)
+                whole, whole_seq = r.draftMarkdown or "", int(r.seq)
     order = sorted(kept)
     state.update(([int(k) for k in order], [kept[k] for k in order], whole, whole_seq))
     state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 3_600_000)

@@ -158,3 +158,51 @@ def test_manifest(spark):
     assert sorted((r.filename, r.origin) for r in merged.collect()) == [("a", "new"), ("b", "kept")]
     plan = manifest.purge_plan(spark.createDataFrame([(f"p/{k:04d}",) for k in range(1001)] + [("q/1",)], "key string"), "p/")
     assert [tuple(r) for r in plan.groupBy("batch").count().orderBy("batch").collect()] == [(0, 1000), (1, 1)]
+
+
+def test_topics_of_any_depth(spark):
+    nested = '{"Text":"deep"}'
+    for _ in range(9):
+        nested = '{"Topics":[' + nested + "]}"
+    body = '{"RelatedTopics":[{"FirstURL":"u"},{"Topics":null},{"Text":"t","FirstURL":"f","Result":"r"},' + nested + '],"Results":[{"FirstURL":"x"},{}]}'
+    rows = research.flatten_topics(spark.createDataFrame([(1, body), (2, "no"), (3, '{"RelatedTopics":5}')], "request_id long, body string"), 6).orderBy("pos").collect()
+    assert [tuple(r)[2:] for r in rows] == [
+        ("u", "u", "暂无摘要"), ("DuckDuckGo", "https://duckduckgo.com", "暂无摘要"), ("t", "f", "r"), ("deep", "https://duckduckgo.com", "deep"),
+        ("DuckDuckGo 结果 1", "x", "暂无摘要"), ("DuckDuckGo 结果 2", "https://duckduckgo.com", "暂无摘要")]
+
+
+def test_tool_items_have_defaults(spark):
+    items = [(1, 0, "text", '[{"title":"a","url":"u","snippet":"s"},7]'), (1, 1, "text", "  "), (1, 2, "text", '{"summary":"m"}'), (1, 3, "text", "free " * 10), (1, 4, "json", "bad"), (1, 5, "json", '{"url":"j"}')]
+    rows = research.parse_tool_items(spark.createDataFrame(items, "request_id long, item_pos int, type string, body string")).orderBy("pos").collect()
+    d, u, n = "DuckDuckGo 结果 ", "https://duckduckgo.com", "暂无摘要"
+    free = ("free " * 10).strip()
+    assert [tuple(r)[2:] for r in rows] == [("a", "u", "s"), (d + "2", u, n), (d + "3", u, "m"), (free[:40], u, free), (d + "5", "j", n)]
+
+
+def test_snippet_defaults_by_engine(spark):
+    df = spark.createDataFrame([(0, "", "", None, "sum", "", "c" * 300), (1, None, None, "s", "sum", "d", None), (2, "t", "u", None, None, None, "")], "pos int, title string, url string, snippet string, summary string, description string, content string")
+    got = {e: [(r.title, r.url, r.snippet) for r in research.normalize_snippets(df, e).orderBy("pos").collect()] for e in ("duckduckgo", "jina")}
+    assert got["duckduckgo"] == [("", "", "sum"), ("DuckDuckGo 结果 2", "https://duckduckgo.com", "s"), ("t", "u", "暂无摘要")]
+    assert got["jina"] == [("搜索结果 1", "", "c" * 200), ("搜索结果 2", "", "d"), ("t", "u", "暂无摘要")]
+
+
+def test_purge_plan_over_ranges(spark):
+    keys = spark.range(5000).selectExpr("concat('p/', lpad(cast(id as string), 5, '0')) as key").repartition(7)
+    rows = manifest.purge_plan(keys, "p/", 10).collect()
+    assert len(rows) == 5000 and all(r.batch == int(r.key[2:]) // 10 for r in rows)
+
+
+def test_search_equals_brute_force_with_ties(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    vectors = rng.integers(-1, 2, (3000, 4)).astype(float)
+    corpus = spark.createDataFrame([(k, v.tolist(), 7.0) for k, v in enumerate(vectors)] + [(9999, None, 7.0)], "vec_id long, embedding array<double>, rating double").repartition(3)
+    queries = spark.createDataFrame([(0, k, vectors[k].tolist()) for k in range(20)], "request_id long, query_pos int, embedding array<double>")
+    got = {(r.query_pos, r.pos): r.vec_id for r in retrieval.batch_search(queries, corpus, 5).collect()}
+    norm = np.linalg.norm(vectors, axis=1)
+    for q in range(20):
+        if norm[q]:
+            score = np.round(vectors @ vectors[q] / np.where(norm > 0, norm, 1) / norm[q], 9)
+            best = sorted((-s, k) for k, s in enumerate(score) if norm[k] > 0)[:5]
+            assert [got[q, p] for p in range(5)] == [k for _, k in best]

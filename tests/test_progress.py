@@ -31,12 +31,33 @@ def test_phase_log_in_place_and_moved(spark):
     assert places(progress.latest_by_phase(events)) == ["a", "b"]
     assert places(progress.latest_by_phase(events, "last")) == ["b", "a"]
     assert progress.ratio(progress.latest_by_phase(events)).first().ratio == 50.0
-    assert progress.session_phase(events).first().phase == "a"
+    assert progress.session_phase(events).first().phase == "progress"
+
+
+def said(phase, status, message, details=None):
+    return {"type": "progress", "phase": phase, "message": message, "status": status, "details": details}
+
+
+SESSION = [
+    said("keyword", "running", "正在生成检索关键词..."), said("keyword", "completed", "成功生成 2 个关键词", "a, b"), said("search", "running", "正在执行Jina检索..."), said("analysis", "running", "准备分析检索结果..."),
+    said("search", "running", "正在检索关键词... (1/2)", "已检索 1/2 个关键词"), said("analysis", "running", "正在分析关键词: a"), said("search", "completed", "正在检索关键词... (2/2)", "已检索 2/2 个关键词"),
+    said("analysis", "running", "关键词分析完成: 7/9 (1/2)", "已完成 1/2 个关键词分析"), said("search", "completed", "Jina检索完成，获取 3 条结果"), said("cross-analysis", "running", "正在进行交叉分析..."),
+    {"type": "draft-start", "keywords": [], "searchSnippets": [], "userInput": "u"}, {"type": "draft-chunk", "content": "ab"}, {"type": "draft-chunk", "content": "cd"}, said("cross-analysis", "completed", "交叉分析完成"),
+    {"type": "draft-complete", "success": True, "draftMarkdown": "abcd!", "articleAnalysis": ""}]
+
+
+def test_a_whole_session(spark):
+    """Frames as the sender writes them, seen before, amid and after the draft."""
+    at = lambda n: progress.decode(frames(spark, *SESSION[:n]))
+    assert [progress.session_phase(at(n)).first().phase for n in (10, 11, 14, 15)] == ["progress", "draft-streaming", "draft-streaming", "draft-confirm"]
+    assert [tuple(progress.counters(at(n)).first())[1:] for n in (1, 2, 5, 15)] == [(0, 0, 0), (0, 0, 2), (1, 0, 2), (2, 1, 2)]
+    assert [tuple(progress.assemble_draft(at(n)).first())[1:] for n in (11, 13, 15)] == [("", True, False), ("abcd", True, False), ("abcd!", False, True)]
+    assert progress.assemble_draft(at(10)).count() == 0
 
 
 def test_drafts(spark):
-    chunk = lambda x: {"type": "draft-chunk", "chunk": x}
-    done = {"type": "draft-complete", "content": "xy!"}
+    chunk = lambda x: {"type": "draft-chunk", "content": x}
+    done = {"type": "draft-complete", "draftMarkdown": "xy!"}
     open_draft = progress.assemble_draft(progress.decode(frames(spark, chunk("x"), chunk("y")))).first()
     assert (open_draft.text, open_draft.streaming, open_draft.complete) == ("xy", True, False)
     full = progress.assemble_draft(progress.decode(frames(spark, chunk("x"), chunk("y"), done))).first()
