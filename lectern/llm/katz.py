@@ -110,17 +110,20 @@ def _pairs(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
         h = np.where(first, START, np.concatenate([w[:1], w[:-1]]))
         key = np.where(np.isin(w, hot), mix64(h ^ mix64(w)), w) if len(hot) else w
         p = (mix64(key) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((h, w, p))
-        w, h, row, p = w[order], h[order], row[order].astype(np.uint32), p[order]
         flags = np.packbits(train)
         sizes = np.bincount(row, minlength=len(ids)).astype(np.uint32)
+        order = np.lexsort((h, w, p))
+        w, h, row, p = w[order], h[order], row[order].astype(np.uint32), p[order]
+        new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1]) | (row[1:] != row[:-1])]))
+        times = np.diff(np.concatenate([new, [len(w)]])).astype(np.uint32)  # of a pair in a document
+        w, h, row, p = w[new], h[new], row[new], p[new]
         yield -1 - block, pack(np.array([block]), ids, train, sizes)
         cuts = np.searchsorted(p, np.arange(parts + 1))
         for k in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[k], cuts[k + 1]
             words, n = np.unique(w[a:b], return_counts=True)
             past, at = np.unique(h[a:b], return_inverse=True)
-            yield int(k), pack(np.array([block]), flags, words, n.astype(np.uint32), past, at.astype(np.uint32), row[a:b])
+            yield int(k), pack(np.array([block]), flags, words, n.astype(np.uint32), past, at.astype(np.uint32), row[a:b], times[a:b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
@@ -185,7 +188,8 @@ def _count_pairs(parts: int, total: int, word_stars: np.ndarray, unknown: float,
         w = np.concatenate([np.repeat(np.searchsorted(words, x[2]), x[3]) for x in loads])
         h = np.concatenate([np.searchsorted(pasts, x[4])[x[5]] for x in loads])
         doc = np.concatenate([x[6].astype(np.int64) + a for x, a in zip(loads, doc_at)])
-        train = np.unpackbits(np.concatenate([x[1] for x in loads]))[doc]
+        times = np.concatenate([x[7] for x in loads])
+        train = np.unpackbits(np.concatenate([x[1] for x in loads]))[doc] * times
         del loads
         c = np.bincount(w, train, len(words))
         if len(hot):
@@ -218,12 +222,12 @@ def _count_pairs(parts: int, total: int, word_stars: np.ndarray, unknown: float,
                 pick = np.sort(new[order[cuts[k] : cuts[k + 1]]])
                 past, at = np.unique(h[pick], return_inverse=True)
                 block = np.searchsorted(doc_at, doc[pick], "right") - 1
-                rows.append(("u", int(k), pack(pasts[past], at.astype(np.uint32), blocks, block.astype(np.uint32), (doc[pick] - doc_at[block]).astype(np.uint32)), None))
+                rows.append(("u", int(k), pack(pasts[past], at.astype(np.uint32), blocks, block.astype(np.uint32), (doc[pick] - doc_at[block]).astype(np.uint32), times[pick]), None))
         with np.errstate(divide="ignore"):
             log_c, log_p = np.log10(c), np.log10(p)
         log_c[(c == 0) | (words == END)] = 0
         rest = np.where(re > K, np.log10(np.maximum(re - ABOVE, ABOVE)), 0) + np.where(re == 0, log_p[w], 0) - log_c[w]
-        values = [c[w] > 0, np.log10(c + 1)[w], rest, *(re == k for k in range(1, K + 1))]
+        values = [times * v for v in (c[w] > 0, np.log10(c + 1)[w], rest, *(re == k for k in range(1, K + 1)))]
         for block, docs_of, sums in _by_block(blocks, doc_at, doc, *values):
             rows.append(("d", block, pack(docs_of, sums[0].astype(np.uint32), sums[1], sums[2], *(s.astype(np.uint32) for s in sums[3:])), None))
         return _rows(rows)
@@ -251,7 +255,7 @@ def _back_off(stars: np.ndarray):
         value = []
         for x in asked:
             at = np.minimum(np.searchsorted(h, x[0]), len(h) - 1)
-            value.append(np.where(h[at] == x[0], gain[at], 0)[x[1]])
+            value.append(np.where(h[at] == x[0], gain[at], 0)[x[1]] * x[5])
         size = int(doc.max()) + 1
         rows = [("c", b, pack(docs_of, sums_of[0]), None) for b, docs_of, sums_of in _by_block(blocks, np.arange(len(blocks) + 1) * size, block * size + doc, np.concatenate(value))]
         return _rows(rows)
