@@ -1,15 +1,23 @@
 """HTML extraction by maximum-scoring subsequence.
 
-A page is a sequence of tags and text runs. Words score by the element that holds them and
-tags below zero, with log odds learnt from labelled pages: those of a bounded sample whose
-``article`` or ``main`` element marks the content. One linear scan finds the contiguous
-region of the highest total; the region widens to the innermost container element around
-it, whose text is returned block by block without the parts that are never content (menus,
-forms, adverts, comments and the like, by element or by class).
-
-Defined cases: a null page counts as empty; a page without words gives an empty text;
-unclosed and stray tags are tolerated; scripts, styles and comments are never text;
-character references are decoded once; without labelled pages words score 1 and tags -1.
+A page is a sequence of tags and text runs. Words score above zero, tags below, by log odds
+learnt from labelled pages: those of a bounded sample whose ``article`` or ``main`` element
+marks the content. Elements that are page furniture (by tag, or by a name in class, id or role
+that the labelled pages show outside the content; for names they don't show, by the prior
+``FURNITURE``) are left out before the scan, so they cut nothing apart. One linear scan finds
+the contiguous region of the highest total; the region widens to the innermost container
+around it, or, where that is the whole page, to the page's parts that it touches. All text of
+it is returned, block by block, without the furniture inside.
+
+No name can veto the page itself: ``main`` is never furniture, and where the names leave less
+than ``LEAST`` of the words, the largest element they took away is given back.
+
+Defined cases: a null page counts as empty; a page without words gives an empty text; unclosed
+and stray tags, quotes and comments are tolerated, in linear time and memory whatever the
+length or depth; scripts, styles and comments are never text; character references are decoded
+once; without labelled pages words score 1 and tags -0.5; equal scores keep the earliest
+region; repeated rows are judged alike; an empty table gives an empty result. Columns of the
+input are kept whatever their names, but for html and for text and n_chars, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,100 +32,176 @@ from math import log
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pages that the weights are fitted on, and the longest taken.
 SAMPLE, SAMPLE_BYTES = 500, 100_000
+#: Share of a page's words that names must leave; words of a name seen before it has a weight.
+LEAST, SEEN = 0.05, 20
 
-RAW = "script|style|template|noscript|iframe|svg|textarea|select|object|math"
-TAG = re.compile(rf"(?is)<!--.*?(?:-->|$)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>")
-NAMED = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-HIDDEN = re.compile(r"(?i)(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none")
+RAW = frozenset("script style template noscript iframe svg textarea select object math".split())
 CONTAINERS = frozenset("article main section div td body html head nav header footer aside form".split())
-NEVER = frozenset("head nav header footer aside form button dialog menu".split())
+NEVER = frozenset("head nav footer aside form button dialog menu".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr th caption blockquote pre br hr figure figcaption address title fieldset legend option details summary button dialog menu".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
-#: Words of a class, id or role whose element is never content.
-NEVER_NAMED = frozenset("ad ads advert adverts advertisement advertisements adv sponsor sponsored promo promotion sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices alert banner popup modal overlay newsletter subscribe subscription signup login search comment comments reply replies disqus respond related share sharing social widget complementary contentinfo".split())
+#: The prior: names of furniture, names of place and form that say nothing, and words that turn a name into a remark on the page.
+FURNITURE = frozenset("ad ads advert adverts advertisement advertisements adv sponsor sponsored promo promotion sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert banner popup modal overlay newsletter subscribe subscription signup login search comment comments reply replies disqus respond related share sharing social widget complementary contentinfo".split())
+NEUTRAL = frozenset("left right top bottom inner outer box list item items block area section wrap wrapper container row col column bar panel header head title body content main primary secondary site page post posts article articles blog global buttons button links link form group unit slot zone ".split())
+REMARK = frozenset("has no with without is show hide js layout".split())
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_NAMED = re.compile(r"(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
+_STOP = re.compile(r"[\"'>]")
 
 
 @dataclass
 class Weights:
     tags: dict[str, float] = field(default_factory=dict)
-    words: dict[str, float] = field(default_factory=dict)  #: of a word, by the element that holds it
-    tag: float = -1.0
+    names: dict[str, float] = field(default_factory=dict)  #: of a word of a class, id or role
+    tag: float = -0.5
     word: float = 1.0
+    linked: float = 0.2  #: of a word in a link
 
 
-@dataclass
-class Run:
-    """A piece of text, or a tag with no text."""
-
-    text: str
-    tag: str
-    block: bool  #: a new block begins here
-    path: tuple[int, ...]  #: numbers of the container elements around it
-    holder: str  #: the innermost one
-    never: bool
-    content: bool  #: inside article or main
-
-
-def runs(html: str) -> list[Run]:
-    out: list[Run] = []
-    stack: list[tuple[str, int, str, bool, bool]] = [("", 0, "", False, False)]  # tag, number, holder, never, content
-    path: tuple[int, ...] = (0,)
-    number, at, block = 0, 0, True
-
-    def say(text: str) -> None:
-        nonlocal block
-        if text:
-            _, _, holder, never, content = stack[-1]
-            out.append(Run(text, "", block, path, holder, never, content and not never))
-            block = False
-
-    def close(k: int) -> None:
-        nonlocal path
-        del stack[k:]
-        path = tuple(x[1] for x in stack)
-
-    for m in TAG.finditer(html):
-        say(html[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
+class Page:
+    """A page as runs (text, tag, node, new block, in a link) over a tree of its containers in the order they open."""
+
+    def __init__(self, html: str):
+        self.runs: list[tuple[str, str, int, bool, bool]] = []
+        self.tag, self.parent, self.names, self.hidden, self.last = [""], [0], [[]], [False], [0]
+        stack, open_now = [0], Counter()
+        block, link = True, False
+        for kind, name, rest in tokens(html):
+            if kind == "text":
+                self.runs.append((rest, "", stack[-1], block, link))
+                block = False
+                continue
+            block = block or name in BLOCKS
+            self.runs.append(("", name, stack[-1], block, link))
+            link = name == "a" and kind == "open" if name == "a" or name in CONTAINERS else link
+            if kind == "close":
+                if open_now[name]:
+                    at = len(stack) - 1
+                    while self.tag[stack[at]] != name and (name in CONTAINERS or self.tag[stack[at]] not in CONTAINERS):
+                        at -= 1
+                    if self.tag[stack[at]] == name:
+                        for node in stack[at:]:
+                            self.last[node] = len(self.tag) - 1
+                            open_now[self.tag[node]] -= 1
+                        del stack[at:]
+            elif name not in VOID and not rest.endswith("/"):
+                named = ["".join(x).lower() for x in _NAMED.findall(rest)] if "=" in rest else []
+                names = [[w for w in re.split(r"[^a-z0-9]+", one) if w] for x in named for one in x.split()]
+                hidden = bool(rest and _HIDDEN.search(rest))
+                if name in CONTAINERS or names or hidden or name in NEVER:
+                    stack.append(len(self.tag))
+                    open_now[name] += 1
+                    for column, value in ((self.tag, name), (self.parent, stack[-2]), (self.names, names), (self.hidden, hidden), (self.last, 0)):
+                        column.append(value)
+        for node in stack:
+            self.last[node] = len(self.tag) - 1
+
+    def inside(self, tags: frozenset[str]) -> list[bool]:
+        """Of each node, whether it or a node around it is one of tags."""
+        out = [False] * len(self.tag)
+        for k, name in enumerate(self.tag):
+            out[k] = name in tags or (k > 0 and out[self.parent[k]])
+        return out
+
+    def furniture(self, weights: Weights) -> list[bool]:
+        """Of each node, whether it is or lies in page furniture."""
+        n = len(self.tag)
+        words = [0] * n
+        for text, _, node, _, _ in self.runs:
+            if text:
+                words[node] += len(text.split())
+        for k in range(n - 1, 0, -1):
+            words[self.parent[k]] += words[k]
+        article = self.inside(frozenset(("article", "main")))
+        fixed = [t in NEVER or h or (t == "header" and not article[self.parent[k]]) for k, (t, h) in enumerate(zip(self.tag, self.hidden))]
+        by_name = [t not in ("html", "body", "main") and any(named_so(x, weights) for x in names) for t, names in zip(self.tag, self.names)]
+        while True:
+            out, left, taken = [False] * n, words[0], None
+            for k in range(1, n):
+                above = out[self.parent[k]]
+                out[k] = above or fixed[k] or by_name[k]
+                if out[k] and not above:
+                    left -= words[k]
+                    if by_name[k] and not fixed[k] and (taken is None or words[k] > words[taken]):
+                        taken = k
+            if taken is None or left > LEAST * words[0] or not words[taken]:
+                return out
+            by_name[taken] = False
+
+
+def named_so(words: list[str], weights: Weights) -> bool:
+    """Whether a class, id or role, as its words, names furniture."""
+    if not words or words[0] in REMARK or any(w in REMARK for w in words[:-1]):
+        return False
+    known = [weights.names[w] for w in words if w in weights.names]
+    if len(known) == len(words):
+        return min(known) <= -1
+    return any(w in FURNITURE for w in words) and all(w in FURNITURE or w in NEUTRAL or w.isdigit() for w in words)
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(text, '', characters), (open, tag, attributes) or (close, tag, ''), in one pass."""
+    at, begin, size = 0, 0, len(html)
+    quotes = True
+    while (at := html.find("<", at)) >= 0:
+        after = html[at + 1 : at + 2]
+        closing = after == "/"
+        name = _NAME.match(html, at + 1 + closing)
+        if not name and after not in ("!", "?", "/"):
+            at += 1  # a bare sign is text
+            continue
+        if at > begin:
+            yield "text", "", html[begin:at]
         if not name:
+            mark = "-->" if html.startswith("<!--", at) else ">"
+            end = html.find(mark, at + 2)
+            begin = at = end + len(mark) if end >= 0 else size
+            continue
+        tag = name[0].lower()
+        end = _tag_end(html, name.end()) if quotes else html.find(">", name.end())
+        if end < 0 and quotes:  # a quote that swallows the rest is none
+            quotes, end = False, html.find(">", name.end())
+        if end < 0:
+            return
+        rest = html[name.end() : end]
+        begin = at = end + 1
+        if tag in RAW and not closing:
+            if not rest.endswith("/") or tag in ("script", "style"):
+                shut = re.compile(rf"(?i)</{tag}(?=[\s/>])").search(html, at)
+                end = html.find(">", shut.end()) if shut else -1
+                begin = at = end + 1 if end >= 0 else size
             continue
-        if name in BLOCKS:
-            block = True
-            if not m[2] and len(stack) > 1 and stack[-1][0] == "p" and name != "br":
-                close(len(stack) - 1)
-        _, _, holder, never, content = stack[-1]
-        out.append(Run("", name, block, path, holder, never, content and not never))
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if name not in CONTAINERS and stack[k][0] in CONTAINERS:
-                    break
-        elif name not in VOID and not m[4].endswith("/"):
-            named = {w for x in NAMED.findall(m[4]) for w in re.split(r"[^a-z0-9]+", "".join(x).lower())} if "=" in m[4] else set()
-            out_of = bool(named & NEVER_NAMED) or name in NEVER or bool(m[4] and HIDDEN.search(m[4]))
-            if (name in CONTAINERS or out_of) and not (name in ("html", "body") and named):
-                number += 1
-                stack.append((name, number, f"{name}.{'.'.join(sorted(named & NEVER_NAMED))}", never or out_of, content or name in ("article", "main")))
-                path = (*path, number)
-            elif name in ("html", "body"):
-                number += 1
-                stack.append((name, number, name, never, content))
-                path = (*path, number)
-    say(html[at:])
-    return out
-
-
-def region(page: list[Run], weights: Weights) -> tuple[int, int]:
-    """First and past-last run of the maximum-scoring contiguous region; (0, 0) if nothing scores above zero."""
+        yield ("close", tag, "") if closing else ("open", tag, rest)
+    if begin < size:
+        yield "text", "", html[begin:]
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Where the tag's > stands, outside quoted values; -1 if it has none."""
+    while m := _STOP.search(html, at):
+        if m[0] == ">":
+            return m.start()
+        before = html[max(0, m.start() - 8) : m.start()].rstrip()
+        if before.endswith("="):
+            shut = html.find(m[0], m.end())
+            if shut < 0:
+                return -1
+            at = shut + 1
+        else:
+            at = m.end()
+    return -1
+
+
+def region(gains: list[float]) -> tuple[int, int]:
+    """First and past-last place of the contiguous region with the highest total, (0, 0) if none is above zero."""
     best, found, total, start = 0.0, (0, 0), 0.0, 0
-    for k, r in enumerate(page):
-        gain = weights.tags.get(r.tag, weights.tag) if r.tag else len(r.text.split()) * weights.words.get(r.holder, weights.word)
+    for k, gain in enumerate(gains):
         if total <= 0:
             total, start = 0.0, k
         total += gain
@@ -126,52 +210,89 @@ def region(page: list[Run], weights: Weights) -> tuple[int, int]:
     return found
 
 
+def gain(run: tuple[str, str, int, bool, bool], weights: Weights) -> float:
+    text, tag, _, _, link = run
+    return weights.tags.get(tag, weights.tag) if tag else len(text.split()) * (weights.linked if link else weights.word)
+
+
 def main_text(html: str | None, weights: Weights) -> str:
-    page = runs(html or "")
-    first, last = region(page, weights)
-    words = [r for r in page[first:last] if r.text.strip()]
-    if not words:
+    page = Page(html or "")
+    never = page.furniture(weights)
+    first, last = region([0.0 if never[r[2]] else gain(r, weights) for r in page.runs])
+    nodes = [r[2] for r in page.runs[first:last] if r[0] and not r[0].isspace() and not never[r[2]]]
+    if not nodes:
         return ""
-    paths = [r.path for r in words]
-    low, high = min(paths), max(paths)
-    depth = next((k for k, (a, b) in enumerate(zip(low, high)) if a != b), min(map(len, paths)))
-    around = low[:depth]
+    low, high = min(nodes), max(nodes)
+    around = low
+    while page.last[around] < high:
+        around = page.parent[around]
+    whole = page.tag[around] not in ("", "html", "body")
+    if whole and page.tag[around] not in ("article", "main"):  # a box that holds the page's own furniture is the page
+        whole = not any(page.parent[k] == around and page.tag[k] in ("nav", "header", "footer", "aside") for k in range(around + 1, page.last[around] + 1))
+    spans = [(around, page.last[around])]
+    if not whole:
+        parts = {_part(page, k, around) for k in (nodes[0], nodes[-1])}
+        spans = [(k, page.last[k]) for k in parts if k != around]
+        near = lambda r: r[2] == around or never[r[2]]
+        while first > 0 and near(page.runs[first - 1]):  # text of no part of its own
+            first -= 1
+        while last < len(page.runs) and near(page.runs[last]):
+            last += 1
     blocks: list[list[str]] = []
     new = True
-    for r in page:
-        if r.block:
-            new = True
-        if r.text and not r.never and r.path[:depth] == around:
+    for k, (text, _, node, block, _) in enumerate(page.runs):
+        new = new or block
+        if text and not never[node] and ((not whole and first <= k < last) or any(a <= node <= b for a, b in spans)):
             if new:
                 blocks.append([])
-            blocks[-1].append(r.text)
+            blocks[-1].append(text)
             new = False
     joined = (" ".join(unescape("".join(b)).split()) for b in blocks)
     return " ".join(b for b in joined if b)
 
 
+def _part(page: Page, node: int, around: int) -> int:
+    """The child of around that holds node; around itself if none does."""
+    while node != around and page.parent[node] != around:
+        node = page.parent[node]
+    return node
+
+
 def learn(pages: list[str]) -> Weights:
-    """Log odds of tags and of words by holder, content against the rest, smoothed and clipped."""
-    seen: dict[tuple[bool, str], Counter] = {(c, kind): Counter() for c in (False, True) for kind in ("tag", "word")}
+    """Log odds of tags, of linked words and of names, content against the rest, smoothed and clipped."""
+    tags, names, words = ({c: Counter() for c in (False, True)} for _ in range(3))
     for html in pages:
-        page = runs(html)
-        if any(r.content and r.text.strip() for r in page):
-            for r in page:
-                if r.tag:
-                    seen[r.content, "tag"][r.tag] += 1
-                else:
-                    seen[r.content, "word"][r.holder] += len(r.text.split())
-    if not seen[True, "word"]:
+        page = Page(html)
+        marked = page.inside(frozenset(("article", "main")))
+        if not any(r[0].strip() and marked[r[2]] for r in page.runs):
+            continue
+        of: list[frozenset] = [frozenset()] * len(page.tag)
+        for k in range(1, len(page.tag)):  # names around each node
+            own = {w for x in page.names[k] for w in x}
+            of[k] = of[page.parent[k]] | own if own else of[page.parent[k]]
+        for text, tag, node, _, link in page.runs:
+            if tag:
+                tags[marked[node]][tag] += 1
+            elif size := len(text.split()):
+                words[marked[node]][link] += size
+                for w in of[node]:
+                    names[marked[node]][w] += size
+    if not words[True]:
         return Weights()
-    odds = lambda kind, k: log((seen[True, kind][k] + 1) / (seen[False, kind][k] + 1))
-    tags = {k: min(max(odds("tag", k), -6.0), 0.0) - 0.2 for c in (True, False) for k in seen[c, "tag"]}
-    words = {k: min(max(odds("word", k), -3.0), 3.0) for c in (True, False) for k in seen[c, "word"]}
-    return Weights(tags, words, -0.5, 0.5)
+    odds = lambda seen, k: log((seen[True][k] + 1) / (seen[False][k] + 1))
+    known = {w for c in names.values() for w in c if names[True][w] + names[False][w] >= SEEN}
+    return Weights(
+        {k: min(max(odds(tags, k), -1.5), 0.0) - 0.2 for c in tags.values() for k in c},
+        {w: min(max(odds(names, w), -3.0), 3.0) for w in known},
+        -0.5,
+        1.0,
+        min(max(odds(words, True), -1.0), 0.5),
+    )
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Weights:
     """Weights from at most ``sample`` pages of at most ``sample_bytes`` that mark their content."""
-    marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.octet_length("html") <= sample_bytes))
+    marked = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.octet_length("html") <= sample_bytes))
     marked = marked.select(F.xxhash64("html").alias("h"), "html")
     last = marked.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if last is None:
@@ -183,14 +304,16 @@ def fit(pages: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES
 
 def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """pages without html, with text and n_chars (its code points)."""
-    shared = pages.sparkSession.sparkContext.broadcast(weights or fit(pages))  # a few numbers a tag
+    shared = pages.sparkSession.sparkContext.broadcast(weights or fit(pages))  # a few numbers a tag or name
+    kept = [k for k, n in enumerate(pages.columns) if n not in ("html", "text", "n_chars")]
+    plain = pages.toDF(*[f"c{k}" for k in range(len(pages.columns))])  # no name can clash
+    html = F.col(f"c{pages.columns.index('html')}").cast("string").alias("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x.as_py(), shared.value) for x in batch.column("html")]
-            kept = [(n, batch.column(n)) for n in batch.schema.names if n not in ("html", "text", "n_chars")]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*(n for n, _ in kept), "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f"c{k}") for k in kept), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*(f"c{k}" for k in kept), "text", "n_chars"])
 
-    kept = [f for f in pages.schema.fields if f.name not in ("html", "text", "n_chars")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "text string", "n_chars long"])
-    return pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col("html").cast("string").alias("html")).mapInArrow(run, schema)
+    schema = T.StructType([*(plain.schema[k] for k in kept), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    out = plain.select(*[f"c{k}" for k in kept], html).mapInArrow(run, schema)
+    return out.toDF(*[pages.columns[k] for k in kept], "text", "n_chars")

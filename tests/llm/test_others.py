@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import time
 from html import unescape
 
 import duckdb
@@ -89,13 +90,48 @@ def test_odd_pages(html, want):
 
 def test_region_is_the_best_contiguous_one():
     rng = random.Random(8)
-    weights = html_text.Weights(tags={"p": -1.0, "a": -2.5}, words={"div.": 0.7}, tag=-0.5)
-    for _ in range(200):
-        page = [html_text.Run("", rng.choice("pab"), False, (0,), "", False, False) if rng.random() < 0.6 else html_text.Run("w " * rng.randint(1, 3), "", False, (0,), rng.choice(["div.", ""]), False, False) for _ in range(rng.randint(0, 14))]
-        gain = [weights.tags.get(r.tag, weights.tag) if r.tag else len(r.text.split()) * weights.words.get(r.holder, weights.word) for r in page]
-        best = max([0.0, *(sum(gain[a:b]) for a in range(len(page)) for b in range(a + 1, len(page) + 1))])
-        a, b = html_text.region(page, weights)
-        assert sum(gain[a:b]) == pytest.approx(best)
+    for _ in range(300):
+        gains = [rng.choice([-2.5, -1.0, -0.5, 0.0, 0.7, 1.0, 3.0]) for _ in range(rng.randint(0, 14))]
+        best = max([0.0, *(sum(gains[a:b]) for a in range(len(gains)) for b in range(a + 1, len(gains) + 1))])
+        a, b = html_text.region(gains)
+        assert sum(gains[a:b]) == pytest.approx(best)
+
+
+BODY = " ".join(["word"] * 60)
+
+
+@pytest.mark.parametrize("html, want", [
+    (f'<body><nav>x y</nav><article class="post has-sidebar"><h1>T</h1><p>{BODY}</p></article><div class="ad">buy now</div></body>', f"T {BODY}"),
+    (f'<main class="content no-sidebar"><p>{BODY}</p></main>', BODY),
+    (f'<div class="layout with-nav"><nav>a b</nav><div><p>{BODY}</p></div></div>', BODY),
+    (f'<div class="wrapper sidebar-right"><p>{BODY}</p></div>', BODY),
+    (f'<article><p>{BODY}</p><div class="social-science"><p>soc {BODY}</p></div></article>', f"{BODY} soc {BODY}"),
+    (f'<body><div class="sidebar">s s s</div><div><p>first {BODY}</p></div><div class="ad">{BODY}</div><div><p>second {BODY}</p></div><div class="comments"><p>{BODY} {BODY} {BODY} {BODY}</p></div></body>', f"first {BODY} second {BODY}"),
+    (f'<div id="page"><header><h1>Site</h1></header><div class="entry"><h2>T</h2><p>{BODY}</p></div><div id="comments"><article class="comment">{BODY}</article></div><footer>c</footer></div>', f"T {BODY}"),
+    (f'<p title="x>y">{BODY}</p><p class=it\'s>z</p>', f"{BODY} z"),
+])
+def test_names_veto_no_article(html, want):
+    learnt = html_text.learn(["<nav>a b c</nav><div class='ad'>" + "x " * 50 + "</div><article><h1>t</h1><p>words of the text</p></article>"] * 3)
+    for weights in (html_text.Weights(), learnt):
+        assert html_text.main_text(html, weights) == want
+
+
+def test_names_are_learnt():
+    """A name that labelled pages show outside their content is furniture, one that they show inside is not."""
+    page = "<div class='zed'>" + "noise " * 40 + "</div><article><div class='promo'>" + "text " * 40 + "</div></article>"
+    weights = html_text.learn([page])
+    assert html_text.main_text(f"<div><div class='zed'>{BODY}</div><div class='promo'>in {BODY}</div></div>", weights) == f"in {BODY}"
+
+
+@pytest.mark.parametrize("html", [
+    '<script a="b" ' * 80_000, '<a b="x ' * 100_000, '<a b="x> ' * 100_001, "<div>" * 100_000 + "x", "<div>" * 50_000 + "x " + "</section>" * 50_000 + "</div>" * 50_000, "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000,
+    "<" * 300_000, "<!--" * 100_000, "<script>" * 100_000, "<script>" + "</script " * 100_000, '<div class="a b c">' * 50_000 + "y",
+], ids=range(11))
+def test_hostile_pages_take_linear_time(html):
+    began = time.time()
+    html_text.main_text(html, html_text.Weights())
+    html_text.learn(["<article>x</article>" + html])
+    assert time.time() - began < 20
 
 
 def test_extract_keeps_other_columns(spark):
@@ -103,6 +139,9 @@ def test_extract_keeps_other_columns(spark):
     out = {r.page_id: r for r in html_text.extract(df).collect()}
     assert (out[1].text, out[1].n_chars, out[1].extra) == ("x", 1, 5) and (out[2].text, out[2].n_chars) == ("", 0)
     assert html_text.extract(df.limit(0)).count() == 0
+    odd = df.toDF("a.b", "html", "text", "__id")
+    assert {r["a.b"]: r["text"] for r in html_text.extract(odd).collect()} == {1: "x", 2: ""}
+    assert html_text.extract(odd).columns == ["a.b", "__id", "text", "n_chars"]
 
 
 # Images
