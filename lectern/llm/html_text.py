@@ -226,6 +226,11 @@ def main_text(html: str | None, weights: Weights) -> str:
     around = low
     while page.last[around] < high:
         around = page.parent[around]
+    box = list(range(len(page.tag)))  # the container of each node
+    for k in range(1, len(box)):
+        if page.tag[k] not in CONTAINERS:
+            box[k] = box[page.parent[k]]
+    around = box[around]
     whole = page.tag[around] not in ("", "html", "body")
     if whole and page.tag[around] not in ("article", "main"):  # a box that holds the page's own furniture is the page
         whole = not any(page.parent[k] == around and page.tag[k] in ("nav", "header", "footer", "aside") for k in range(around + 1, page.last[around] + 1))
@@ -233,7 +238,7 @@ def main_text(html: str | None, weights: Weights) -> str:
     if not whole:
         parts = {_part(page, k, around) for k in (nodes[0], nodes[-1])}
         spans = [(k, page.last[k]) for k in parts if k != around]
-        near = lambda r: r[2] == around or never[r[2]]
+        near = lambda r: box[r[2]] == around or never[r[2]]
         while first > 0 and near(page.runs[first - 1]):  # text of no part of its own
             first -= 1
         while last < len(page.runs) and near(page.runs[last]):
