@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.sources.files import scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text handled at once inside a task; a longer document is handled alone.
 SLICE_BYTES = 2_000_000
@@ -23,19 +23,10 @@ _MULT = U64(0x9E3779B97F4A7C15)
 _ODD = 0xD6E8FEB86659FD93
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a fresh local one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # what was shuffled for it goes once it is written
     try:
@@ -45,6 +36,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns called c0, c1, …, so that no name can clash or be misread, and what each is called now."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    called: dict[str, str] = {}
+    for old, new in zip(docs.columns, names):
+        called.setdefault(old, new)
+    return docs.toDF(*names), called
+
+
+def as_id(name: str) -> Column:
+    """A column as an id: a whole number, null where it is none."""
+    return F.col(name).try_cast("long")
+
+
+def as_text(name: str) -> Column:
+    return F.col(name).cast("string")
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

@@ -8,13 +8,18 @@ candidate windows, each verified with Myers' bit-parallel edit distance.
 The benchmark is searched in blocks of ``BLOCK_CHARS`` characters: only one bounded block
 reaches the driver and the tasks at a time, and every block meets all documents.
 
-Defined cases: null texts count as empty and match nothing; items shorter than ``MIN_CHARS``
-after normalising are no evidence and are not searched for; items of equal text are all
-reported; repeated document rows are each reported; other columns are ignored.
+Defined cases: null texts count as empty and match nothing; whole texts are searched, however
+long; items shorter than ``PER_EDIT`` may not differ and count where they stand as whole words;
+items without text or id are left out; items of equal text are all reported; of several places
+the one of least distance is reported, of equal ones the first; repeated document rows are each
+reported and each judged by their own text, with or without an id (null where it is no whole
+number); empty tables give no matches; ``decontaminate`` keeps all columns whatever their names,
+``matches`` ignores other columns.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -24,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PER_EDIT, MIN_CHARS, BLOCK_CHARS = 20, 20, 1_000_000
+from lectern.llm.common import as_id, as_text, shielded
+
+PER_EDIT, BLOCK_CHARS = 20, 1_000_000
 
 MATCHES = "doc_id long, item_id long, distance int, budget int, start int, end int"
 
@@ -71,10 +78,15 @@ def myers(pattern: dict[str, int], m: int, text: str, most: int, anchored: bool
     return best, end
 
 
+def whole_words(text: str, a: int, b: int) -> bool:
+    return not (a > 0 and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b - 1].isalnum() and text[b].isalnum())
+
+
 class Matcher:
     """The pieces of one block of items."""
 
     def __init__(self, items: list[tuple[int, str]], per_edit: int):
+        self.per_edit = per_edit
         self.items = [(i, t, len(t) // per_edit) for i, t in items]
         self.found: ahocorasick.Automaton | None = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
@@ -97,6 +109,8 @@ class Matcher:
         for end, (size, at) in self.found.iter(text):
             for k, offset in at:
                 _, t, budget = self.items[k]
+                if not budget and len(t) < self.per_edit and not whole_words(text, end + 1 - size, end + 1):
+                    continue
                 begin = end + 1 - size - offset
                 a, b = max(0, begin - budget), min(len(text), begin + len(t) + budget)
                 mine = windows[k]
@@ -119,17 +133,50 @@ class Matcher:
                 yield item, best[0], budget, best[1], best[2]
 
 
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """The items (id, normalised text), about block_chars characters at a time, by a hash of their id."""
+    plain, called = shielded(benchmark)
+    items = plain.select(as_id(called["item_id"]).alias("item_id"), as_text(called["text"]).alias("text")).where("text is not null and item_id is not null")
+    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = -(-chars // block_chars) or 1
+    for k in range(parts):
+        found = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()
+        yield sorted((r.item_id, t) for r in found if (t := normalise(r.text)))
+
+
+def _matcher(shared) -> Matcher:
+    """One block's matcher, kept for the tasks of a Python worker."""
+    if shared.id not in _kept:
+        _kept.clear()
+        _kept[shared.id] = Matcher(*shared.value)
+    return _kept[shared.id]
+
+
+class _Block:
+    """A broadcast block with a name of its own: BLOCK_CHARS characters at most, but for one longer item."""
+
+    def __init__(self, docs: DataFrame, items: list[tuple[int, str]], per_edit: int):
+        self.id, self.sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((items, per_edit))
+
+    @property
+    def value(self):
+        return self.sent.value
+
+
+_kept: dict[str, Matcher] = {}
+
+
 def _search(docs: DataFrame, items: list[tuple[int, str]], per_edit: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)  # one block: BLOCK_CHARS characters
+    shared = _Block(docs, items, per_edit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, per_edit)
+        matcher = _matcher(shared)
         for batch in batches:
             out = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)) if text.is_valid for m in matcher.matches(normalise(text.as_py()))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 2 + [pa.int32()] * 4)], ["doc_id", "item_id", "distance", "budget", "start", "end"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, MATCHES)
+    return docs.mapInArrow(run, MATCHES)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -138,19 +185,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_EDIT, blo
     distance is the least of all places; start and end are the place's offsets in the
     normalised text.
     """
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")).alias("t"))
-    items = items.where(F.length("t") >= MIN_CHARS)
-    chars = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    blocks = -(-chars // block_chars) or 1
-    found = []
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        block = [(r.item_id, normalise(r.t)) for r in block]
-        found.append(_search(docs, sorted((i, t) for i, t in block if len(t) >= MIN_CHARS), per_edit))
-    return reduce(DataFrame.union, found)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_EDIT) -> DataFrame:
-    """The documents in which no item occurs."""
-    bad = matches(docs, benchmark, per_edit).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    plain, called = shielded(docs)
+    texts = plain.select(as_id(called["doc_id"]).alias("doc_id"), as_text(called["text"]).alias("text"))
+    return reduce(DataFrame.union, [_search(texts, items, per_edit) for items in blocks(benchmark, block_chars)])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows in whose text no item occurs; each row is read once and dropped where it is found."""
+    out, called = shielded(docs)
+    text, schema = called["text"], out.schema
+    for items in blocks(benchmark, block_chars):
+        shared = _Block(docs, items, per_edit)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(shared)
+            for batch in batches:
+                clean = [not x.is_valid or next(matcher.matches(normalise(str(x.as_py()))), None) is None for x in batch.column(text)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        out = out.mapInArrow(run, schema)
+    return out.toDF(*docs.columns)

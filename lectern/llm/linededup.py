@@ -13,8 +13,10 @@ the same line stands at an earlier place, so one copy of everything stays.
 
 Defined cases: lines are compared without outer white space; blank lines take no part, and go
 only between two lines of one deleted run; a null text stays null; a text of deleted lines only
-becomes empty; rows with a null doc_id stay as they are; rows that share a doc_id are judged
-alike, none a copy of another; all columns are kept.
+becomes empty; whole texts are read, however long; rows whose doc_id is null or no whole number
+stay as they are; rows that share a doc_id are judged alike, none a copy of another; an empty
+table gives an empty result; all columns are kept, whatever their names (n_lines, n_removed and
+n_spans are replaced if counts are asked for).
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialize
+from lectern.llm.common import as_id, as_text, materialize, shielded
 
 GRAM_WORDS, WINDOW_WORDS = 8, 24
 
@@ -95,7 +97,7 @@ def prints(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WI
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), F.col("text").cast("string"))
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id"), F.xxhash64("text").alias("version"), F.col("text"))
     return rows.mapInArrow(run, PRINTS)
 
 
@@ -130,8 +132,12 @@ def _without(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int,
 
 def dedup(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, counts: bool = False) -> DataFrame:
     """docs without repeated runs of lines; counts adds n_lines, n_removed and n_spans."""
-    runs = repeated_runs(docs, gram_words, window_words).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.expr("flatten(transform(runs, r -> array(r.a, r.b)))").alias("__runs"))
-    joined = docs.withColumn("__text_hash", F.xxhash64("text")).join(runs, (F.col("doc_id") == F.col("__id")) & (F.col("__text_hash") == F.col("__version")), "left")
+    numbers = ["n_lines", "n_removed", "n_spans"] if counts else []
+    plain, called = shielded(docs.select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c not in numbers]))
+    doc_id, text = as_id(called["doc_id"]), as_text(called["text"])
+    runs = repeated_runs(plain.select(doc_id.alias("doc_id"), text.alias("text")), gram_words, window_words)
+    runs = runs.select("doc_id", "version", F.expr("flatten(transform(runs, r -> array(r.a, r.b)))").alias("runs"))
+    joined = plain.withColumns({"id": doc_id, "hash": F.xxhash64(text)}).join(runs, (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("version")), "left")
 
     @F.pandas_udf("text string, n_lines long, n_removed long, n_spans long")
     def cut(texts, runs):
@@ -147,6 +153,7 @@ def dedup(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WIN
             out.append((left.decode() if spans else text, *numbers))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed", "n_spans"])
 
-    done = joined.withColumn("__cut", cut(F.col("text").cast("string"), "__runs"))
-    cols = [F.col("__cut.text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return done.select(*cols, *[F.col(f"__cut.{c}").alias(c) for c in ("n_lines", "n_removed", "n_spans") if counts])
+    done = joined.withColumn("cut", cut(text, "runs"))
+    cols = [F.col("cut.text") if c == called["text"] else F.col(c) for c in plain.columns]
+    names = [c for c in docs.columns if c not in numbers]
+    return done.select(*cols, *[F.col(f"cut.{c}") for c in numbers]).toDF(*names, *numbers)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import connected_components, materialize, mix64, text_slices
+from lectern.llm.common import as_id, as_text, connected_components, materialize, mix64, shielded, text_slices
 
 #: Fingerprints in a shard's tree, and in the block of queries that meets it.
 SHARD = 8192
@@ -69,7 +69,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
             made = _fingerprint(batch.column(1), shingle, tables).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[:, k]) for k in range(tables))], ["id", *names])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    plain, called = shielded(docs)
+    rows = plain.select(as_id(called[id_col]).alias("id"), as_text(called[text_col]).alias("text")).where("id is not null")
     return rows.mapInArrow(run, ", ".join(["id long", *(f"{n} long" for n in names)]))
 
 
@@ -262,7 +263,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, simi
     reaches ``similarity``. Texts without words are alike. Rows of
     one id are one document.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    plain, called = shielded(docs)
+    base = plain.select(as_id(called[id_col]).alias("id"), as_text(called[text_col]).alias("text")).where("id is not null")
     versions = base.groupBy("id").agg(F.min(F.xxhash64("text")).alias("version"))
     prints = fingerprints(base, shingle, "id", tables=tables).groupBy("id").agg(F.min(F.struct(*[f"fingerprint_{k}" for k in range(tables)])).alias("p"))
     prints = materialize(prints.join(versions, "id").select("id", "version", "p.*"), "simhash")
@@ -285,5 +287,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, simi
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
     """docs with only the smallest doc_id of each group of near duplicates; rows without an id stay."""
-    gone = similar_groups(docs, shingle, radius, similarity, tables).where("id <> group_id").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    plain, called = shielded(docs)
+    doc_id = as_id(called["doc_id"])
+    groups = similar_groups(plain.select(doc_id.alias("id"), as_text(called["text"]).alias("text")), shingle, radius, similarity, tables, "id")
+    gone = groups.where("id <> group_id").select("id")
+    return plain.join(gone, doc_id == F.col("id"), "left_anti").toDF(*docs.columns)
