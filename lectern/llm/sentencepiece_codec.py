@@ -13,8 +13,15 @@ Spaces become U+2581 and one more is put in front; characters outside the vocabu
 byte pieces, and so does a literal U+2581, which makes decoding exact. The vocabulary file's
 path is a parameter; its pieces are read on the driver and broadcast (a fixed vocabulary).
 
+The ids are those of the best path by the file's scores, which is unigram encoding. Of a file
+made for merges (BPE) they are the same pieces, but not always the same cut as its merges give.
+All paths are worked out here: words, between whose starts every path is cut, many at a time
+(``words``), and all that touches a chunk's border by itself (``forward``).
+
 Defined cases: a null text gives null ids and decodes to null; an empty text gives no ids;
-repeated rows are encoded alike; rows may have any id or none; other columns are kept.
+repeated rows are encoded alike; texts of any length are encoded whole; rows may have any id or
+none; an empty table gives an empty result; columns are kept whatever their names, but for those
+that the result adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -31,10 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import materialize
+from lectern.llm.common import as_text, materialize, shielded
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, FAN, CACHE, ROWS = 32_768, 256, 30_000, 500
+CHUNK, FAN, CACHE, WIDE = 32_768, 256, 60_000, 24
 
 SPACE, LITERAL = "▁", "\udc81"  # a lone surrogate is in no text
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -43,19 +50,27 @@ NONE = -np.inf
 
 @dataclass
 class Vocabulary:
-    """Pieces with their scores; bytes_of gives what a piece decodes to.
-
-    proto is the vocabulary as a model that is encoded by the sum of scores.
-    """
+    """Pieces with their scores; bytes_of gives what a piece decodes to."""
 
-    proto: bytes
     ids: dict[str, tuple[float, int]]
-    scores: list[float]  #: by id; a byte piece has its share of an unknown character's
     byte_ids: list[int]
     bytes_of: list[bytes]
     longest: int
     unknown: float
 
+    @cached_property
+    def hashed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """Hashes of the pieces' characters in order, scores, ids, where the hashes of each first bits begin, and the most that share them."""
+        made = sorted((int((hash_rows(codes([piece], len(piece)))[:, -1] * _MIX)[0]), score, k) for piece, (score, k) in self.ids.items())
+        if len({h for h, _, _ in made}) < len(made):
+            raise ValueError("two pieces share a hash")
+        h, score, k = zip(*made)
+        h = np.array(h, np.uint64)
+        counts = np.bincount((h >> SHIFT).astype(np.int64), minlength=1 << BITS)
+        most = int(counts.max())
+        first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int32)
+        return np.concatenate([h, np.zeros(most, np.uint64)]), np.array([*score, *[NONE] * most]), np.array([*k, *[-1] * most], np.int32), first, most
+
     @cached_property
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """All bytes, and where each piece's begin."""
@@ -64,11 +79,8 @@ class Vocabulary:
 
 def load(path: str = VOCABULARY) -> Vocabulary:
     import sentencepiece
-    from sentencepiece import sentencepiece_model_pb2
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    proto = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
-    proto.trainer_spec.model_type = sentencepiece_model_pb2.TrainerSpec.UNIGRAM
     ids: dict[str, tuple[float, int]] = {}
     byte_ids, bytes_of = [0] * 256, [b""] * model.get_piece_size()
     for k in range(model.get_piece_size()):
@@ -81,28 +93,37 @@ def load(path: str = VOCABULARY) -> Vocabulary:
             bytes_of[k] = piece.replace(SPACE, " ").encode()
             if SPACE in piece.lstrip(SPACE):
                 raise ValueError("a piece crosses a word's start; words can't be cut apart")
-    scores = [0.0] * len(bytes_of)
-    for score, k in ids.values():
-        scores[k] = score
-    return Vocabulary(proto.SerializeToString(), ids, scores, byte_ids, bytes_of, max(map(len, ids)), min(s for s, _ in ids.values()) - 10)
+    return Vocabulary(ids, byte_ids, bytes_of, max(map(len, ids)), min(s for s, _ in ids.values()) - 10)
 
 
 def escape(text: str) -> str:
     return SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)
 
 
-class Lattice:
-    """Viterbi over stretches of escaped text, with a cache of whole words.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+BITS = 20
+SHIFT = np.uint64(64 - BITS)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
-    Words of a plain form go to the library's Viterbi encoder in bulk; what it can't take,
-    and all that touches a chunk's border, is worked out here.
-    """
 
-    def __init__(self, vocabulary: Vocabulary):
-        import sentencepiece
+def codes(words: list[str], n: int) -> np.ndarray:
+    """The characters of words of length n, a row each."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
 
+
+def hash_rows(chars: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, … characters of each row, from which those of all stretches follow."""
+    out = np.zeros((len(chars), chars.shape[1] + 1), np.uint64)
+    for k in range(chars.shape[1]):
+        out[:, k + 1] = out[:, k] * _BASE + chars[:, k] + np.uint64(1)
+    return out
+
+
+class Lattice:
+    """Viterbi over stretches of escaped text, with a cache of whole words."""
+
+    def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=vocabulary.proto)
         self.forget()
 
     def forget(self) -> None:
@@ -110,21 +131,72 @@ class Lattice:
         self.flat, self.starts, self.sums = array("i"), array("q", [0]), array("d")
 
     def learn(self, words: set[str]) -> None:
-        """Put words into the cache."""
-        new = [w for w in words if w not in self.words]
-        plain = [w for w in new if w[0] == SPACE and len(w) > 1 and w[1] != SPACE and LITERAL not in w]
-        for w, ids in zip(plain, self.library.encode([w[1:] for w in plain], num_threads=1)):
-            self._add(w, ids)
-        for w in new:
+        """Put words into the cache: those of one length together, long ones one by one."""
+        by_length: dict[int, list[str]] = {}
+        for w in words:
             if w not in self.words:
-                self._add(w, self.pieces(w, self.forward(w, [0.0], len(w))[1], len(w))[0])
-
-    def _add(self, w: str, ids: list[int]) -> None:
+                by_length.setdefault(len(w), []).append(w)
+        for n, new in by_length.items():
+            if n > WIDE:
+                for w in new:
+                    self._add(w)
+            for a in range(0, len(new) if n <= WIDE else 0, 2000):
+                self._add_all(new[a : a + 2000], n)
+
+    def _add(self, w: str) -> None:
+        best, back = self.forward(w, [0.0], len(w))
+        self._put(w, self.pieces(w, back, len(w))[0], best[len(w)])
+
+    def _put(self, w: str, ids: list[int], total: float) -> None:
         self.words[w] = len(self.sums)
         self.flat.extend(ids)
         self.starts.append(len(self.flat))
-        scores = self.v.scores
-        self.sums.append(sum(scores[k] for k in ids))
+        self.sums.append(total)
+
+    def _add_all(self, words: list[str], n: int) -> None:
+        """The best paths of words of length n, all at once: the same sums in the same order as ``forward``."""
+        keys, scores, ids, begins, most = self.v.hashed
+        chars = codes(words, n)
+        h = np.ascontiguousarray(hash_rows(chars).T)
+        bytes_at = np.array(self.v.byte_ids, np.int32)
+        best, piece, back = np.full((n + 1, len(words)), NONE), np.full((n + 1, len(words)), -1, np.int32), np.zeros((n + 1, len(words)), np.int8)
+        best[0] = 0
+        odd = np.zeros(len(words), bool)  # with a character that is no piece and takes several bytes
+        power = _BASE ** np.arange(n + 1, dtype=np.uint64)
+        for e in range(1, n + 1):
+            for p in range(max(0, e - self.v.longest), e):
+                made = (h[e] - h[p] * power[e - p]) * _MIX
+                at = begins[(made >> SHIFT).view(np.int64)]
+                hit = keys[at] == made
+                for _ in range(most - 1):
+                    at = at + ~hit
+                    hit = keys[at] == made
+                total, made = np.where(hit, best[p] + scores[at], NONE), ids[at]
+                if p == e - 1 and not hit.all():
+                    none = np.flatnonzero(~hit)
+                    char = chars[none, p].astype(np.int64)
+                    total[none], made[none] = best[p, none] + self.v.unknown, bytes_at[char % 128]
+                    odd[none[char >= 128]] = True
+                better = total > best[e]
+                np.copyto(best[e], total, where=better)
+                np.copyto(piece[e], made, where=better)
+                np.copyto(back[e], p, where=better, casting="unsafe")
+        rows = np.flatnonzero(~odd)
+        at, columns = np.full(len(rows), n), []
+        while (at > 0).any():
+            columns.append(np.where(at > 0, piece[at, rows], -1))
+            at = np.where(at > 0, back[at, rows], 0)
+        if len(rows):
+            made = np.array(columns[::-1]).T
+            kept = made >= 0
+            first, base = len(self.sums), len(self.flat)
+            self.flat.frombytes(made[kept].astype(np.int32).tobytes())
+            self.starts.frombytes((base + np.cumsum(kept.sum(1))).astype(np.int64).tobytes())
+            self.sums.frombytes(best[n, rows].tobytes())
+            self.words.update(zip([words[k] for k in rows.tolist()], range(first, first + len(rows))))
+        for k in np.flatnonzero(odd).tolist():
+            start = back[:, k].tolist()
+            self._put(words[k], self.pieces(words[k], [-1, *start[1:]], n)[0], best[n, k])
 
     def forward(self, text: str, init: list[float], limit: int) -> tuple[list[float], list[int]]:
         """Best sum and first position of the last piece for each position of text; pieces start before limit.
@@ -367,43 +439,39 @@ def _encode_giants(giants: DataFrame, shared, chunk: int, n: int) -> DataFrame:
 def encode(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, verify: bool = False) -> DataFrame:
     """docs and a column ids: the pieces of column text.
 
-    verify adds a column exact: whether the ids, decoded again, are the very text. As documents
-    are long, the session's Arrow batches are set to ``ROWS`` rows at most.
+    verify adds a column exact: whether the ids, decoded again, are the very text.
     """
-    batch_rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    docs.sparkSession.conf.set(batch_rows, min(int(docs.sparkSession.conf.get(batch_rows)), ROWS))
     vocabulary = load(path)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a fixed vocabulary
     added = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("exact", T.BooleanType())] * verify
     names = [f.name for f in added]
-    kept = [f for f in docs.schema.fields if f.name not in names]
-    schema = T.StructType([*kept, *added])
+    plain, called = shielded(docs)
+    kept = [k for k, n in enumerate(docs.columns) if n not in names]
+    base = plain.select(*[f"c{k}" for k in kept], as_text(called["text"]).alias("text"))
+    schema = T.StructType([*base.schema.fields[:-1], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 100):
-                part = batch.slice(a, 100)
+            for a in range(0, batch.num_rows, 300):
+                part = batch.slice(a, 300)
                 texts = part.column("text").to_pylist()
                 ids, offs = _lattice(shared).encode([t or "" for t in texts])
                 null = pa.array([t is None for t in texts]) if None in texts else None
                 made = [pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()), mask=null)]
                 if verify:
                     made.append(pa.array([None if t is None else r == t.encode() for t, r in zip(texts, decode_ids(shared.value, ids, offs))], pa.bool_()))
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *made], [*(f.name for f in kept), *names])
+                yield pa.RecordBatch.from_arrays([*(part.column(f"c{k}") for k in kept), *made], [*(f"c{k}" for k in kept), *names])
 
-    base = docs.select(*[F.col(f"`{f.name}`") for f in kept])
     giant = F.coalesce(F.length("text") >= chunk, F.lit(False))
     short = base.where(~giant).mapInArrow(run, schema)
-    id_col = F.col("doc_id").cast("long") if "doc_id" in docs.columns else F.lit(0).cast("long")
-    key = [F.coalesce(id_col, F.lit(-1)).alias("doc"), F.xxhash64("text").alias("version")]
-    long = base.where(giant)
-    coded = _encode_giants(long.select(*key, "text").dropDuplicates(["doc", "version"]), shared, chunk, vocabulary.longest)
-    joined = long.select("*", *[k.alias(f"__{n}") for k, n in zip(key, ("doc", "version"))])
-    joined = joined.join(coded.withColumnsRenamed({"doc": "__doc", "version": "__version", "ids": "__ids"}), ["__doc", "__version"])
-    long = joined.select(*[F.col(f"`{f.name}`") for f in kept], F.col("__ids").alias("ids"))
+    # a long document is known by two hashes of its text, so equal ones are encoded once
+    key = {"doc": F.xxhash64("text", F.lit(1)), "version": F.xxhash64("text")}
+    long = base.where(giant).withColumns(key)
+    coded = _encode_giants(long.select("doc", "version", "text").dropDuplicates(["doc", "version"]), shared, chunk, vocabulary.longest)
+    long = long.join(coded, ["doc", "version"])
     if verify:
-        long = decode(long, path, "__decoded").withColumn("exact", F.col("__decoded") == F.col("text")).drop("__decoded")
-    return short.unionByName(long)
+        long = decode(long, path, "decoded").withColumn("exact", F.col("decoded") == F.col("text"))
+    return short.unionByName(long.select(*[f"c{k}" for k in kept], *names)).toDF(*[docs.columns[k] for k in kept], *names)
 
 
 def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, offs: np.ndarray) -> list[bytes]:
@@ -419,19 +487,20 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, offs: np.ndarray) -> lis
 def decode(coded: DataFrame, path: str = VOCABULARY, out_col: str = "decoded") -> DataFrame:
     """coded and a column out_col: the text of column ids (ids that are no UTF-8 are replaced)."""
     shared = coded.sparkSession.sparkContext.broadcast(load(path))  # a fixed vocabulary
-    kept = [f for f in coded.schema.fields if f.name != out_col]
-    schema = T.StructType([*kept, T.StructField(out_col, T.StringType())])
+    plain, called = shielded(coded)
+    kept = [k for k, n in enumerate(coded.columns) if n != out_col]
+    schema = T.StructType([*(plain.schema[k] for k in kept), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 100):
                 part = batch.slice(a, 100)
-                col = part.column("ids")
+                col = part.column(called["ids"])
                 lists = [None if not x.is_valid else x.values.to_numpy(zero_copy_only=False) for x in col]
                 sizes = [0 if x is None else len(x) for x in lists]
                 flat = np.concatenate([np.zeros(0, np.int64), *(x for x in lists if x is not None)]).astype(np.int64)
                 raw = decode_ids(shared.value, flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
                 texts = [None if x is None else r.decode("utf-8", "replace") for x, r in zip(lists, raw)]
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(texts, pa.string())], [*(f.name for f in kept), out_col])
+                yield pa.RecordBatch.from_arrays([*(part.column(f"c{k}") for k in kept), pa.array(texts, pa.string())], [*(f"c{k}" for k in kept), "decoded"])
 
-    return coded.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return plain.select(*[f"c{k}" for k in kept]).mapInArrow(run, schema).toDF(*[coded.columns[k] for k in kept], out_col)
