@@ -10,11 +10,16 @@ match with its lexicographic predecessor (phi, and its length less one a step);
 whose chains of matches of ``length`` bytes or more reach an earlier one are marked.
 
 Tasks first drop segments that repeat inside their own block, so a hot passage sends one row a
-block; buckets hold about ``PART_BYTES`` of text each.
-
-Defined cases: a null text counts as empty; matches never cross documents; bytes are those of
-UTF-8; rows that share a doc_id are judged as one document; rows without an id
-are neither copies nor originals; other columns are ignored.
+block; buckets hold about ``PART_BYTES`` of text each. A minimizer with more than ``HOT_SEGMENTS``
+distinct segments (a phrase in ever new surroundings) fills no bucket: it exceeds its share in
+some block, which says so; its segments are dealt out by their own hash, and their windows meet
+one by one, by the hash of the whole window, in a join that Spark splits.
+
+Defined cases: a null text counts as empty; whole texts are read, however long; matches never
+cross documents; bytes are those of UTF-8; of equal strings the first place stays, and rows that
+share a doc_id are judged as one document; rows whose id is null or no whole number are neither
+copies nor originals and come back with a null id; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import U64, gram_hashes, materialize, span_hasher, text_slices
+from lectern.llm.common import U64, as_id, as_text, gram_hashes, materialize, shielded, span_hasher, text_slices
 
 LENGTH, GRAM = 100, 32
 PART_BYTES, BLOCK_BYTES = 16_000_000, 16_000_000
+#: Distinct segments around one minimizer that one bucket takes, and hot minimizers that are broadcast.
+HOT_SEGMENTS, BROADCAST = 48_000, 50_000
 
-#: kind 0: a removed stretch; 1: a segment, with its minimizer, hash and the minimizer's place in it.
+#: kind 0: a removed stretch; 1: a segment, with its minimizer, hash and the minimizer's place in it,
+#: 2: one of a hot minimizer; 3: a hot minimizer.
 SEGMENTS = "kind int, doc long, version int, start long, size int, mini long, hash long, at int"
 _KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
 _NAMES = [x.split()[0] for x in SEGMENTS.split(", ")]
@@ -87,7 +95,9 @@ def _later(order_key: list[np.ndarray], mini, hashes) -> tuple[np.ndarray, np.nd
     return order, later
 
 
-def _segments_of(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _segments_of(docs: DataFrame, length: int, gram: int, share: float) -> DataFrame:
+    """share: the distinct segments around one minimizer that a byte of a block may have without its being hot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = rows = 0
@@ -104,6 +114,11 @@ def _segments_of(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 none = np.zeros(len(r), np.int64)
                 yield _batch(none, doc[of], version[of], a, b - a, none, none, none)
             kept = order[~later]
+            minis, n = np.unique(h[kept], return_counts=True)
+            hot = minis[n > max(1, share * size)].view(np.int64)
+            if len(hot):
+                none = np.zeros(len(hot), np.int64)
+                yield _batch(np.full(len(hot), 3, np.int32), none, none, none, none, hot, none, none)
             for a in range(0, len(kept), 100_000):
                 k = kept[a : a + 100_000]
                 yield _batch(np.ones(len(k), np.int32), doc[k], version[k], start[k], end[k] - start[k], h[k].view(np.int64), s[k].view(np.int64), mini[k] - start[k])
@@ -126,17 +141,18 @@ def _segments_of(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """One bucket's segments: those that copy an earlier one are removed (0); the first ones of minimizers with several stay (1)."""
+    """One bucket's segments: those that copy an earlier one are removed (0); the first ones of minimizers with several stay (1), and of hot ones (2)."""
+    kind = table["kind"].to_numpy()
     doc, version, start, size, mini, h, at = (table[c].to_numpy() for c in _NAMES[1:])
     order, later = _later([doc, start], mini, h)
     m, hs = mini[order], h[order]
     new = np.concatenate([[True], m[1:] != m[:-1]])
     group = np.cumsum(new) - 1
     variant = new | np.concatenate([[True], hs[1:] != hs[:-1]])
-    several = np.bincount(group, variant)[group] > 1
+    several = (np.bincount(group, variant)[group] > 1) | (kind[order] == 2)
     out = later | (several & variant)
     pick = order[out]
-    return pa.Table.from_batches([_batch((~later[out]).astype(np.int32), doc[pick], version[pick], start[pick], size[pick], mini[pick], h[pick], at[pick])])
+    return pa.Table.from_batches([_batch(np.where(later[out], 0, kind[pick]).astype(np.int32), doc[pick], version[pick], start[pick], size[pick], mini[pick], h[pick], at[pick])])
 
 
 class RunLengthIndex:
@@ -230,42 +246,63 @@ def _indexed(length: int):
     return run
 
 
-def _pieces(rows: DataFrame) -> DataFrame:
-    """(mini, doc, version, start, piece): the bytes of each document's asked stretches."""
+def _pieces(rows: DataFrame, length: int) -> DataFrame:
+    """(mini, doc, version, start, piece): the bytes of each document's asked stretches; of hot ones their windows' hashes as mini."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, version, asked, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "version", "asked")), batch.column("text")):
                 raw = text.as_buffer().to_pybytes()
                 for x in asked:
-                    for col, value in zip(out, (x["mini"], doc, version, x["start"], raw[x["start"] : x["start"] + x["size"]])):
-                        col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["mini", "doc", "version", "start", "piece"])
+                    piece = raw[x["start"] : x["start"] + x["size"]]
+                    if x["kind"] == 2:
+                        minis = gram_hashes(np.frombuffer(piece, np.uint8), length).view(np.int64).tolist()
+                        new = (minis, [doc] * len(minis), [version] * len(minis), range(x["start"], x["start"] + len(minis)), [None] * len(minis))
+                    else:
+                        new = ([x["mini"]], [doc], [version], [x["start"]], [piece])
+                    for col, values in zip(out, new):
+                        col.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["mini", "doc", "version", "start", "piece"])
 
     return rows.mapInArrow(run, "mini long, doc long, version int, start long, piece binary")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """(doc, version, start, size) of stretches of (doc, version, text) that are to go; they may overlap."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    made = materialize(_segments_of(docs, length, gram), "segments")
+    made = materialize(_segments_of(docs, length, gram, hot_segments / max(size, 1)), "segments")
     stretch = ["doc", "version", "start", "size"]
-    met = made.where("kind = 1").withColumn("bucket", F.pmod(F.xxhash64("mini"), F.lit(parts))).groupBy("bucket")
+    hot = made.where("kind = 3").select("mini", F.lit(True).alias("hot")).distinct()
+    count = hot.count()
+    hot = F.broadcast(hot) if count <= BROADCAST else hot
+    found = made.where("kind = 1")
+    if count:
+        found = found.join(hot, "mini", "left").withColumn("kind", F.when(F.col("hot"), 2).otherwise(1)).select(*_NAMES)
+    deal = F.when(F.col("kind") == 2, F.xxhash64("mini", "hash")).otherwise(F.xxhash64("mini"))
+    met = found.withColumn("bucket", F.pmod(deal, F.lit(parts))).groupBy("bucket")
     met = materialize(met.applyInArrow(lambda key, table: _meet(table.drop_columns(["bucket"])), SEGMENTS), "met")
-    asked = met.where("kind = 1").groupBy("doc", "version").agg(F.collect_list(F.struct("mini", "start", "size")).alias("asked"))
-    pieces = materialize(_pieces(docs.dropDuplicates(["doc", "version"]).join(asked, ["doc", "version"])), "pieces")
+    asked = met.where("kind > 0").groupBy("doc", "version").agg(F.collect_list(F.struct("kind", "mini", "start", "size")).alias("asked"))
+    pieces = materialize(_pieces(docs.dropDuplicates(["doc", "version"]).join(asked, ["doc", "version"]), length), "pieces")
     run = _indexed(length)
-    marked = pieces.groupBy(F.pmod(F.xxhash64("mini"), F.lit(parts)).alias("bucket")).applyInArrow(lambda key, table: run(table), "doc long, version int, start long, size int")
-    return made.where("kind = 0").select(*stretch).union(met.where("kind = 0").select(*stretch)).union(marked)
+    marked = pieces.where("piece is not null").groupBy(F.pmod(F.xxhash64("mini"), F.lit(parts)).alias("bucket")).applyInArrow(lambda key, table: run(table), "doc long, version int, start long, size int")
+    gone = made.where("kind = 0").select(*stretch).union(met.where("kind = 0").select(*stretch)).union(marked)
+    if count:
+        windows = pieces.where("piece is null")
+        first = windows.groupBy("mini").agg(F.min(F.struct("doc", "start")).alias("f"), F.count("*").alias("n")).where("n > 1")
+        later = windows.join(first, "mini").where("doc <> f.doc or start <> f.start")
+        gone = gone.union(later.select("doc", "version", "start", F.lit(length).alias("size")))
+    return gone
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept: binary) of each row of docs."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("version", F.hash("text"))
-    gone = repeats(base.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "version", "text"), length, gram)
+    plain, called = shielded(docs)
+    base = plain.select(as_id(called["doc_id"]).alias("doc_id"), F.coalesce(as_text(called["text"]), F.lit("")).alias("text")).withColumn("version", F.hash("text"))
+    gone = repeats(base.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "version", "text"), length, gram, hot_segments)
     gone = gone.groupBy("doc", "version").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
     joined = base.join(gone.withColumnsRenamed({"doc": "doc_id"}), ["doc_id", "version"], "left").select("doc_id", "text", F.col("gone.start").alias("starts"), F.col("gone.size").alias("sizes"))
 

@@ -241,6 +241,16 @@ def test_suffix_dedup_on_repetitive_texts(spark):
     check_suffix(spark, texts, length=30, gram=10)
 
 
+@pytest.mark.parametrize("hot_segments", [1, 12])
+def test_suffix_dedup_with_hot_minimizers(spark, real, hot_segments):
+    """A phrase shorter than a window in ever new surroundings, partly repeated, dealt out window by window."""
+    rng = random.Random(14)
+    phrase = "".join(rng.choice("abcdefgh ") for _ in range(80))
+    around = ["".join(rng.choice("klmnop ") for _ in range(60)) for _ in range(12)]
+    texts = [(k, rng.choice(around)[rng.randrange(30):] + phrase + rng.choice(around)[:rng.randrange(60)]) for k in range(150)]
+    check_suffix(spark, texts + [(1000 + d, t) for d, t in real[:40]], hot_segments=hot_segments)
+
+
 def test_run_length_index_finds_repeated_windows():
     rng = random.Random(4)
     texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 50))) for _ in range(30)]
