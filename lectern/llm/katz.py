@@ -13,9 +13,10 @@ pair), histories' sums to a partition by history, and documents' sums back to th
 documents they came from. What is shuffled are packed columns, one row for each block of
 documents and partition. Partitions hold about ``PART_BYTES`` of text each, whatever the input.
 
-Defined cases: a null text counts as empty, that is one end token; rows of one doc_id are
-scored each, rows without one are left out; a null training flag counts as false; without training documents all tokens are
-unknown and both scores 0; other columns are ignored.
+Defined cases: a null text counts as empty, that is one end token; whole texts are scored,
+however long; rows of one doc_id are scored each, rows whose id is null or no whole number are
+left out; a null training flag counts as false; an empty table gives an empty result; without training documents all tokens are
+unknown and both scores 0; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialize, mix64, span_hashes, text_slices, token_spans
+from lectern.llm.common import as_id, as_text, materialize, mix64, span_hashes, text_slices, token_spans
 
 K, ABOVE = 5, 0.5
 PART_BYTES, BLOCK_TOKENS = 16_000_000, 1_000_000
@@ -292,7 +293,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     The model learns from the rows where train holds; base_score is the add-one unigram's.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    docs = docs.select(as_id(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), as_text(text_col).alias("text")).where("doc_id is not null")
     words = materialize(counts_of_words(docs), "words")
     n = words.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in range(1, K + 2)], F.count_if(F.col("c") > K), F.count_if(F.col("c") > 0), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     counts, (above, types, total, size) = list(n[: K + 1]), n[K + 1 :]

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import U64, as_id, as_text, gram_hashes, materialize, shielded, span_hasher, text_slices
 
 LENGTH, GRAM = 100, 32
-PART_BYTES, BLOCK_BYTES = 16_000_000, 16_000_000
+PART_BYTES, BLOCK_BYTES = 8_000_000, 12_000_000
 #: Distinct segments around one minimizer that one bucket takes, and hot minimizers that are broadcast.
 HOT_SEGMENTS, BROADCAST = 48_000, 50_000
 

@@ -24,45 +24,6 @@ def real(spark, sf_dir):
 # Line dedup
 
 
-def plain_lines(docs, gram=linededup.GRAM_WORDS, window=linededup.WINDOW_WORDS):
-    """{doc_id: text} by dictionaries: first place of each selected gram, then extension line by line."""
-    kept = {d: linededup.split_lines((t or "").encode()) for d, t in docs}
-    prints = {d: linededup.fingerprints(lines, gram, window) for d, (lines, _) in kept.items()}
-    first = {}
-    for d in sorted(prints):
-        for h, i, n, _, _ in prints[d]:
-            first.setdefault(h, (d, i))
-    out = {}
-    for d, t in docs:
-        lines, at = kept[d]
-        gone = set()
-        for h, i, n, before, after in prints[d]:
-            e, j = first[h]
-            if (e, j) == (d, i):
-                continue
-            other = kept[e][0]
-            a = 0
-            while a < len(before) and j - a - 1 >= 0 and lines[i - a - 1] == other[j - a - 1] and a < len(next(p for p in prints[e] if p[1] == j)[3]):
-                a += 1
-            b = 0
-            while b < len(after) and j + n + b < len(other) and lines[i + n + b] == other[j + n + b] and b < len(next(p for p in prints[e] if p[1] == j)[4]):
-                b += 1
-            gone |= set(range(i - a, i + n + b))
-        raw = (t or "").split("\n")
-        drop = {at[k] for k in gone}
-        for k in gone:
-            if k + 1 in gone:
-                drop |= set(range(at[k], at[k + 1]))
-        out[d] = None if t is None else "\n".join(x for k, x in enumerate(raw) if k not in drop)
-    return out
-
-
-def test_line_dedup_matches_brute_force(spark, real):
-    texts = real + [(9001, None), (9002, ""), (9003, "\n\n"), (9004, real[3][1]), (9005, "new first line\n\n" + real[3][1] + "\nlast")]
-    got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert got == plain_lines(texts)
-
-
 def test_line_dedup_guarantee(spark):
     """Of any run of a window's words that stands earlier, some part goes; one copy of every line stays."""
     rng = random.Random(5)
