@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.exprs import size_text
-from lectern.sources.files import written
+from lectern.sources.files import numbered
 
 # Fixed value: keys of one delete call.
 BATCH = 1000
@@ -31,15 +30,10 @@ def merge(old: DataFrame, new: DataFrame) -> DataFrame:
 def purge_plan(entries: DataFrame, prefix: str, batch: int = BATCH) -> DataFrame:
     """(batch, key) of the entries below a key prefix, in delete calls of bounded size.
 
-    Keys are dealt out by ranges and written once; each range is numbered by itself, from the
-    number of keys in the ranges before it.
+    Keys are numbered range by range, so no task holds them all.
     """
-    keys = entries.where(F.col("key").startswith(prefix)).select("key").distinct().repartitionByRange("key")
-    keys = written(keys.withColumn("part", F.spark_partition_id()), "purge")
-    sizes = keys.groupBy("part").agg(F.count("*").alias("n"))  # one row a range
-    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    place = F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("key")) - 1
-    return keys.join(before, "part").select(F.floor(place / batch).cast("int").alias("batch"), "key")
+    keys = entries.where(F.col("key").startswith(prefix)).select("key").distinct()
+    return numbered(keys, "key").select(F.floor(F.col("number") / batch).cast("int").alias("batch"), "key")
 
 
 def summary(entries: DataFrame) -> DataFrame:

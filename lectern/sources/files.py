@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,3 +98,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, key: str, name: str = "number") -> DataFrame:
+    """df with a column name: each row's place by key, from 0 on; rows of equal keys in any order.
+
+    Rows are dealt out by ranges of key and written once; each range is numbered by itself,
+    from the number of rows in the ranges before it, so no task holds more than a range.
+    """
+    rows = written(df.repartitionByRange(key).withColumn("__part", F.spark_partition_id()), "numbered")
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a range
+    before = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    place = F.col("__before") + F.row_number().over(W.partitionBy("__part").orderBy(key)) - 1
+    return rows.join(before, "__part").withColumn(name, place).drop("__part", "__before")
