@@ -168,6 +168,31 @@ def test_copies_are_found_and_others_left_alone(spark):
     assert images.copies(df.limit(0)).count() == 0
 
 
+def test_turned_and_resized_copies_under_wide_ids(spark):
+    """Quarter turns and half sizes; ids beyond 2**43 and columns of any name."""
+    half = lambda a: a.reshape(a.shape[0] // 2, 2, a.shape[1] // 2, 2).mean((1, 3))
+    rows, least = [], 1 << 60
+    for k in range(12):
+        base = images.picture(k, 192)
+        rows += [(least + 10 * k + q, bytearray(images.to_pgm(x)), "x", 5) for q, x in enumerate((base, np.rot90(base), half(base)))]
+    df = spark.createDataFrame([*rows, (None, rows[0][1], "x", 5)], "image_id long, media binary, a string, b long").toDF("image_id", "media", "a.b", "number")
+    out = {r.image_id: r for r in images.copies(df).collect()}
+    assert len(out) == len(rows)
+    right = sum(r.class_id == least + (i - least) // 10 * 10 for i, r in out.items())
+    assert right >= 0.9 * len(rows) and all((r.class_id - least) // 10 == (i - least) // 10 for i, r in out.items())
+
+
+def test_a_stamp_on_every_picture_hides_no_copy(spark):
+    """Corners that all pictures share, far more often than NEAR."""
+    rows = []
+    for k in range(40):
+        base = images.picture(k, 128)
+        base[:40, :40] = images.picture(999, 40)
+        rows += [(10 * k, bytearray(images.to_pgm(base))), (10 * k + 1, bytearray(images.to_pgm(base[:, :118])))]
+    out = {r.image_id: r for r in images.copies(spark.createDataFrame(rows, "image_id long, media binary"), votes=12).collect()}
+    assert sum(out[10 * k + 1].class_id == out[10 * k].class_id for k in range(40)) >= 36
+
+
 def test_pictures_from_vectors(spark, sf_dir):
     df = images.from_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(8))
     got = df.collect()
