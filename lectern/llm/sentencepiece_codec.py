@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from lectern.llm.common import as_text, materialize, shielded
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, FAN, CACHE, WIDE = 32_768, 256, 60_000, 24
+CHUNK, FAN, CACHE, WIDE, AHEAD = 32_768, 256, 60_000, 24, 32
 
 SPACE, LITERAL = "▁", "\udc81"  # a lone surrogate is in no text
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -130,6 +130,17 @@ class Lattice:
         self.words: dict[str, int] = {}
         self.flat, self.starts, self.sums = array("i"), array("q", [0]), array("d")
 
+    def ready(self, found: list[list[str]]) -> None:
+        """Put the words of several texts into the cache, which is emptied first where it is full."""
+        if len(self.words) > CACHE:
+            self.forget()
+        self.learn(set().union(*found))
+
+    def words_inside(self, body: str) -> list[str]:
+        """The words of a chunk between its first and last word start."""
+        first, last = self.cuts(body)
+        return WORD.findall(body[first:last]) if first >= 0 else []
+
     def learn(self, words: set[str]) -> None:
         """Put words into the cache: those of one length together, long ones one by one."""
         by_length: dict[int, list[str]] = {}
@@ -234,10 +245,8 @@ class Lattice:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets by text)."""
-        if len(self.words) > CACHE:
-            self.forget()
         found = [WORD.findall(escape(text)) if text else [] for text in texts]
-        self.learn(set().union(*found))
+        self.ready(found)
         index, number = array("q"), self.words.__getitem__
         for words in found:
             index.extend(map(number, words))
@@ -251,11 +260,11 @@ class Lattice:
 
     def cuts(self, body: str) -> tuple[int, int]:
         """First and last word start inside a chunk, at which every path is cut; (-1, -1) if it has none."""
-        first = last = -1
-        for m in re.finditer(f"(?<=[^{SPACE}]){SPACE}", body):
-            first = m.start() if first < 0 else first
-            last = m.start()
-        return first, last
+        found = re.search(f"(?<=[^{SPACE}]){SPACE}", body)
+        if not found:
+            return -1, -1
+        last = len(body[: body.rfind(SPACE) + 1].rstrip(SPACE))
+        return found.start(), last
 
     def matrix(self, body: str, ahead: str) -> np.ndarray:
         """Best sums of a chunk from each entry state to each exit state."""
@@ -401,9 +410,14 @@ def _encode_giants(giants: DataFrame, shared, chunk: int, n: int) -> DataFrame:
     chunks = materialize(_chunks(giants, chunk, n), "chunks").repartition("doc", "version", "k")
     # one row a chunk; the bodies are dealt out, however long their document
 
-    def texts(batch: pa.RecordBatch) -> Iterator[tuple[str, str]]:
-        for body, ahead in zip(batch.column("body").to_pylist(), batch.column("ahead").to_pylist()):
-            yield body.decode("utf-8", "surrogatepass"), ahead.decode("utf-8", "surrogatepass")
+    def texts(batch: pa.RecordBatch, lattice: Lattice | None = None) -> Iterator[tuple[str, str]]:
+        """The chunks of a batch; a lattice learns the words of AHEAD chunks at once."""
+        for a in range(0, batch.num_rows, AHEAD):
+            part = batch.slice(a, AHEAD)
+            made = [(body.decode("utf-8", "surrogatepass"), ahead.decode("utf-8", "surrogatepass")) for body, ahead in zip(part.column("body").to_pylist(), part.column("ahead").to_pylist())]
+            if lattice:
+                lattice.ready([lattice.words_inside(body) for body, _ in made])
+            yield from made
 
     def keyed(batch: pa.RecordBatch, values: list, kind: pa.DataType, name: str) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "version", "k")), pa.array(values, kind)], ["doc", "version", "k", name])
@@ -411,7 +425,7 @@ def _encode_giants(giants: DataFrame, shared, chunk: int, n: int) -> DataFrame:
     def matrices(batches):
         for batch in batches:
             lattice = _lattice(shared)
-            yield keyed(batch, [lattice.matrix(*t).tobytes() for t in texts(batch)], pa.binary(), "m")
+            yield keyed(batch, [lattice.matrix(*t).tobytes() for t in texts(batch, lattice)], pa.binary(), "m")
 
     def maps(batches):
         for batch in batches:
@@ -423,7 +437,7 @@ def _encode_giants(giants: DataFrame, shared, chunk: int, n: int) -> DataFrame:
     def ids(batches):
         for batch in batches:
             lattice, out = _lattice(shared), []
-            for t, state, end in zip(texts(batch), batch.column("state").to_pylist(), batch.column("end").to_pylist()):
+            for t, state, end in zip(texts(batch, lattice), batch.column("state").to_pylist(), batch.column("end").to_pylist()):
                 out.append(lattice.traced(*t, np.frombuffer(state).tolist(), [int(np.frombuffer(end, np.int64)[0])])[0][0])
             yield keyed(batch, out, pa.list_(pa.int32()), "ids")
 
