@@ -96,21 +96,24 @@ def f12_code_fences(spark, sf_dir):
 OK = "request_id % 4 <> 2"
 
 
-@query(f"""select request_id, case when {OK} then 'q' || request_id else query end as original_query, {OK} as success, pos, text, label, type from outputs,
-    (values (0, 'probe_0', 'a', 'one '), (1, 'u', '探针3', 'two')) p(pos, type, label, text0), lateral (select case when pos = 0 then 'one ' || request_id else 'two' end) x(text) where {OK}
-    union all select request_id, query, false, null, null, null, null from outputs where not {OK}""", "outputs")
+PROBES = f"""select request_id, 0 as pos, 'one ' || request_id as text, 'a' || request_id % 3 as label, 'probe_0' as type from outputs where {OK} and request_id % 7 > 0
+    union all select request_id, 1, 'two ' || request_id, '探针3', 'u' || request_id % 5 from outputs where {OK} and request_id % 7 > 0"""
+
+
+@query(f"select request_id, case when {OK} then 'q' || request_id else query end as original_query, {OK} as success, pos, text, label, type from outputs left join ({PROBES}) using (request_id)", "outputs")
 def f13_parse_expansions(spark, sf_dir):
     out = research.parse_expansions(table(spark, sf_dir, "outputs").withColumnRenamed("query", "query"))
     return out.select("request_id", "original_query", "success", F.posexplode_outer("probes").alias("pos", "p")).select("request_id", "original_query", "success", "pos", "p.text", "p.label", "p.type")
 
 
-@query(f"""select request_id, 0 as pos, case when {OK} then 'k' || request_id else query end as keyword, case when {OK} then 'r' else '基于用户原始输入' end as reason, case when {OK} then 'low' else 'high' end as priority from outputs""", "outputs")
+@query(f"""select request_id, 0 as pos, case when {OK} then 'k' || request_id else query end as keyword, case when {OK} then 'r' || request_id % 3 else '基于用户原始输入' end as reason, case when not {OK} then 'high' when request_id % 2 = 0 then 'low' else 'medium' end as priority from outputs
+    union all select request_id, 1, 'z' || request_id, null, 'Niche' from outputs where {OK} and request_id % 3 = 0""", "outputs")
 def f14_parse_keywords(spark, sf_dir):
     return research.parse_keywords(table(spark, sf_dir, "outputs").withColumnRenamed("query", "input"))
 
 
-@query(f"""select request_id, case when {OK} and request_id % 3 = 0 then 'other' else 'search' end as intent, case when {OK} then least(1.0, request_id % 5 + 0.5)::double else 0.5::double end as confidence,
-    case when {OK} then 'why' else 'LLM 分类失败，回落到默认检索' end as reason, case when {OK} then 'llm' else 'rule' end as source from outputs""", "outputs")
+@query(f"""select request_id, case when {OK} and request_id % 3 = 0 then 'other' else 'search' end as intent, case when {OK} then case request_id % 5 when 0 then 0.0 when 1 then 0.5 else 1.0 end::double else 0.5::double end as confidence,
+    case when {OK} then 'why ' || request_id else 'LLM 分类失败，回落到默认检索' end as reason, case when {OK} then 'llm' else 'rule' end as source from outputs""", "outputs")
 def f15_parse_intent(spark, sf_dir):
     out = table(spark, sf_dir, "outputs").select("request_id", dialogue.parse_intent(F.col("raw_output"), F.col("query")).alias("v"))
     return out.select("request_id", "v.intent", "v.confidence", "v.reason", "v.source")
@@ -431,7 +434,7 @@ def k4_filter_ids(spark, sf_dir):
 
 
 @query(f"""select request_id, query_pos, query from (select request_id, 0 as query_pos, case when {OK} then 'q' || request_id else query end as query from outputs
-    union all select request_id, 1, 'one ' || request_id from outputs where {OK} union all select request_id, 2, 'two' from outputs where {OK})""", "outputs")
+    union all select request_id, pos + 1, text from ({PROBES}))""", "outputs")
 def r1_search_texts(spark, sf_dir):
     return retrieval.search_texts(research.parse_expansions(table(spark, sf_dir, "outputs")))
 
@@ -681,7 +684,7 @@ def a8_combine(spark, sf_dir):
     return research.combine(table(spark, sf_dir, "analyses"))
 
 
-@query(f"select request_id, case when {OK} then '- k' || request_id || ' (low)' else '- ' || query || ' (high)' end as text from outputs", "outputs")
+@query(f"select request_id, case when {OK} then '- k' || request_id || case when request_id % 2 = 0 then ' (low)' else ' (medium)' end || case when request_id % 3 = 0 then chr(10) || '- z' || request_id || ' (Niche)' else '' end else '- ' || query || ' (high)' end as text from outputs", "outputs")
 def a9_keyword_lines(spark, sf_dir):
     return research.keyword_lines(research.parse_keywords(table(spark, sf_dir, "outputs").withColumnRenamed("query", "input")))
 

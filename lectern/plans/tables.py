@@ -53,7 +53,8 @@ DERIVED = {
         CASE WHEN conv_id % 3 = 0 THEN 'draft' ELSE ' ' END AS draft, 'try ' || CAST(turn AS STRING) AS suggested_query FROM [conversations]""",
     "outputs": f"""SELECT conv_id AS request_id, 'query ' || CAST(conv_id AS STRING) AS query,
         CASE conv_id % 4 WHEN 0 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 1 THEN body WHEN 2 THEN 'broken ' || body ELSE '```' || chr(10) || body || '```' END AS raw_output
-        FROM (SELECT DISTINCT conv_id, {_JSON.format("'<\"original_query\":\"q' || CAST(conv_id AS STRING) || '\",\"expanded_probes\":[<\"type\":\"\",\"label\":\"a\",\"text\":\"one ' || CAST(conv_id AS STRING) || '\">,<\"type\":\"t\",\"text\":\" \">,<\"type\":\"u\",\"label\":\"\",\"text\":\"two\">],\"keywords\":[<\"keyword\":\"k' || CAST(conv_id AS STRING) || '\",\"reason\":\"r\",\"priority\":\"low\">],\"intent\":\"' || CASE WHEN conv_id % 3 = 0 THEN 'other' ELSE 'deep_search' END || '\",\"confidence\":' || CAST(conv_id % 5 AS STRING) || '.5,\"reason\":\"why\">'")} AS body FROM [conversations]) d""",
+        FROM (SELECT conv_id, {_JSON.format("""'<"original_query":"q' || id || '","expanded_probes":[' || CASE WHEN conv_id % 7 = 0 THEN '' ELSE '<"type":"","label":"a' || CAST(conv_id % 3 AS STRING) || '","text":"one ' || id || '">,<"type":"t","text":" ">,<"type":"u' || CAST(conv_id % 5 AS STRING) || '","label":"","text":"two ' || id || '">' END || '],"keywords":[<"keyword":"k' || id || '","reason":"r' || CAST(conv_id % 3 AS STRING) || '","priority":"' || CASE WHEN conv_id % 2 = 0 THEN 'low' ELSE 'medium' END || '">' || CASE WHEN conv_id % 3 = 0 THEN ',<"keyword":"z' || id || '","priority":"Niche">' ELSE '' END || '],"intent":"' || CASE WHEN conv_id % 3 = 0 THEN 'other' ELSE 'deep_search' END || '","confidence":' || CAST(conv_id % 5 - 1 AS STRING) || '.5,"reason":"why ' || id || '">'""")} AS body
+        FROM (SELECT DISTINCT conv_id, CAST(conv_id AS STRING) AS id FROM [conversations]) c) d""",
     "responses": f"""SELECT CAST(floor(vec_id / 4) AS BIGINT) AS request_id, CAST(vec_id % 4 AS INT) AS query_pos, CASE vec_id % 4
         WHEN 0 THEN {_JSON.format("'<\"results\":[<\"book_id\":' || CAST(vec_id AS STRING) || ',\"title\":\"T' || CAST(vec_id AS STRING) || '\",\"rating\":8.5,\"similarity_score\":0.5>,<\"id\":\" \",\"author\":\"A\",\"call_no\":\"I1\",\"summary\":\"s\">],\"context_plain_text\":\"x\">'")}
         WHEN 1 THEN {_JSON.format("'<\"context_plain_text\":\"【B' || CAST(vec_id AS STRING) || '】good - 8.5分' || chr(92) || 'n ' || chr(92) || 'nother line\">'")} WHEN 2 THEN 'no json' ELSE {_JSON.format("'<\"metadata\":<>>'")} END AS body FROM [embeddings]""",
