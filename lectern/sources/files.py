@@ -93,6 +93,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lectern/{label}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what was written to a scratch path and is read no more."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    where = jvm.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read back, which cuts its lineage."""
     path = scratch(df.sparkSession, label)
