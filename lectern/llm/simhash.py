@@ -31,6 +31,8 @@ from lectern.llm.common import as_id, as_text, connected_components, materialize
 
 #: Fingerprints in a shard's tree, and in the block of queries that meets it.
 SHARD = 8192
+#: Values that one node of a tree holds at most.
+LEAF = 64
 #: For verified similarity: bits a candidate may differ by, and independent fingerprints. At a
 #: similarity of 0.8, 0.85 and 0.9 these make 97, 99.9 and 99.99 % of pairs candidates.
 RADIUS, TABLES = 7, 14
@@ -93,13 +95,19 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
 
 
 class BKTree:
-    """Distinct 64-bit values; each child hangs below its parent at their Hamming distance."""
+    """Distinct 64-bit values; each child hangs below its parent at their Hamming distance.
+
+    A child with LEAF values or fewer below it holds them together.
+    """
 
     def __init__(self, values: np.ndarray):
-        self.values, self.children = values, {}
+        self.values, self.children, self.leaves = values, {}, {}
         stack = [np.arange(len(values))] if len(values) else []
         while stack:
             here = stack.pop()
+            if len(here) <= LEAF:
+                self.leaves[int(here[0])] = here
+                continue
             root, rest = int(here[0]), here[1:]
             below = {}
             if len(rest):
@@ -117,6 +125,12 @@ class BKTree:
         stack = [(0, np.arange(len(queries)))] if len(self.values) else []
         while stack:
             node, asking = stack.pop()
+            if node in self.leaves:
+                leaf = self.leaves[node]
+                near = np.bitwise_count(queries[asking] ^ self.values[leaf][:, None]) <= radius
+                for k in np.flatnonzero(near.any(1)):
+                    yield int(leaf[k]), asking[near[k]]
+                continue
             far = np.bitwise_count(queries[asking] ^ self.values[node]).astype(np.int16)
             near = asking[far <= radius]
             if len(near):
