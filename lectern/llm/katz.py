@@ -46,6 +46,8 @@ ORDER, K, ABOVE = 3, 5, 0.5
 BLOCK_TOKENS, PART_TOKENS = 600_000, 1_500_000
 #: A history is frequent with more than one in HOT of all tokens, and a sixth of a partition.
 HOT = 20_000
+#: Shares in which blocks are joined with their answers, and partitions asked, of orders above two.
+TURNS, ROUNDS = 4, 2
 END = np.uint64(0xE0D)
 
 ASKED = "part long, block long, payload binary"
@@ -134,13 +136,15 @@ class Block:
         self.flag = self.train.astype(bool)[self.doc]
         self.words = int(self.tok.max()) + 1
         self.number = {1: self.tok}
+        self.history, self.word, self.first = {}, {}, {}
 
     def columns(self) -> list[np.ndarray]:
         return [self.ids, self.train, self.sizes, self.tok.astype(np.uint64), *(x for k in sorted(self.known) for x in self.known[k])]
 
     def grams(self, order: int) -> None:
         """Number the distinct n-grams up to order: of each its history, word, and first place; number holds each token's."""
-        self.number, self.history, self.word, self.first = {1: self.tok}, {}, {}, {}
+        if order in self.number:
+            return
         for k in range(2, order + 1):
             at = np.flatnonzero(self.place >= k - 2)
             past = np.where(self.place[at] == 0, self.words, self.tok[at - 1]) if k == 2 else self.number[k - 1][at - 1]
@@ -398,25 +402,26 @@ def _answer_grams(k: int, model: Model, parts: int, last: bool):
     return run
 
 
-def _exchange(blocks: DataFrame, ask, answer, parts: int, label: str) -> tuple[DataFrame, str]:
-    """The answers to all blocks, with the tables that stay, written by kind."""
-    spark = blocks.sparkSession
-    path = scratch(spark, label)
-    asked = _ask(blocks, ask).repartition(parts, "part")
-    _write(asked.groupBy("part").applyInArrow(answer, MADE), path)
-    return _read(spark, path), path
+def _exchange(blocks: DataFrame, ask, answer, parts: int, label: str, rounds: int = 1) -> tuple[DataFrame, list[str]]:
+    """The answers to all blocks, with the tables that stay, written by kind; one share of the partitions a round, so that less is shuffled at once."""
+    spark, paths = blocks.sparkSession, []
+    for turn in range(rounds):
+        mine = lambda columns, turn=turn: (x for x in ask(columns) if (x[0] or 0) % rounds == turn)
+        paths.append(scratch(spark, label))
+        _write(_ask(blocks, mine).repartition(parts, "part").groupBy("part").applyInArrow(answer, MADE), paths[-1])
+    return reduce(DataFrame.union, [_read(spark, p) for p in paths]), [f"{p}/kind=r" for p in paths]
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def _write(df: DataFrame, path: str) -> None:
-    """Written by kind; what was shuffled for it goes at once."""
+def _write(df: DataFrame, path: str, by_kind: bool = True) -> None:
+    """Written, by kind; what was shuffled for it goes at once."""
     spark = df.sparkSession
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.partitionBy("kind").parquet(path)
+        (df.write.partitionBy("kind") if by_kind else df.write).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
@@ -438,16 +443,17 @@ def _joined(blocks: DataFrame, answers: DataFrame, finish, schema: str) -> DataF
     return both.groupBy("key").applyInArrow(run, schema)
 
 
-def _settled(blocks: DataFrame, answers: DataFrame, finish, label: str, old: list[str]) -> tuple[DataFrame, list[str]]:
-    """Blocks with their answers joined, half of them at a time, so that less is shuffled at once; what they replace is deleted."""
+def _settled(blocks: DataFrame, answers: DataFrame, finish, label: str, old: list[str], schema: str = MADE) -> tuple[DataFrame, list[str]]:
+    """finish of blocks with their answers, some of them at a time, so that less is shuffled at once; what it replaces is deleted."""
     spark, paths = blocks.sparkSession, []
-    for half in range(2):
-        mine = lambda df, half=half: df.where(F.pmod(F.xxhash64("key"), F.lit(2)) == half)
+    for turn in range(TURNS):
+        mine = lambda df, turn=turn: df.where(F.pmod(F.xxhash64("key"), F.lit(TURNS)) == turn)
         paths.append(scratch(spark, label))
-        _write(_joined(mine(blocks), mine(answers), finish, MADE), paths[-1])
+        _write(_joined(mine(blocks), mine(answers), finish, schema), paths[-1], schema == MADE)
     for path in old:
         discard(spark, path)
-    return reduce(DataFrame.union, [_read(spark, p) for p in paths]), paths
+    read = _read if schema == MADE else lambda spark, path: spark.read.schema(schema).parquet(path)
+    return reduce(DataFrame.union, [read(spark, p) for p in paths]), paths
 
 
 RESULT = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -486,18 +492,18 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             known[0][mine], known[1][mine], known[2][mine] = c, a, at.astype(np.uint64) * np.uint64(parts) + np.uint64(part)
         return _rows([("b", key, pack(*columns, *known, np.zeros(0)), None, None)])
 
-    blocks, old = _settled(blocks, answers, words, "katz-words", [*old, f"{made}/kind=r"])
+    blocks, old = _settled(blocks, answers, words, "katz-words", [*old, *made])
     for k in range(2, order + 1):
         last = k == order
-        answers, made = _exchange(blocks, _ask_grams(k, model, parts, last), _answer_grams(k, model, parts, last), parts, f"katz-{k}")
+        answers, made = _exchange(blocks, _ask_grams(k, model, parts, last), _answer_grams(k, model, parts, last), parts, f"katz-{k}", ROUNDS if k > 2 else 1)
         n = answers.where("kind = 'n'").agg(*[F.coalesce(F.sum(F.col("n")[r]), F.lit(0)) for r in range(K + 1)]).first()
         model.stars[k] = discounted(n)
         sums = answers.where("kind = 's'").groupBy("key").agg(*[F.sum(F.col("n")[r]) for r in range(K + 1)], F.sum("s")).orderBy("key").collect()  # HOT rows at most
         columns = [np.array(x) for x in zip(*sums)] if sums else [np.zeros(0)] * (K + 3)
         model.sums[k] = (columns[0], columns[1:-1], columns[-1])
         if last:
-            return _joined(blocks, answers, _finish(k, model, parts, True), RESULT)
-        blocks, old = _settled(blocks, answers, _finish(k, model, parts, False), f"katz-{k}-blocks", [*old, f"{made}/kind=r"])
+            return _settled(blocks, answers, _finish(k, model, parts, True), "katz-scores", [*old, *made], RESULT)[0]
+        blocks, old = _settled(blocks, answers, _finish(k, model, parts, False), f"katz-{k}-blocks", [*old, *made])
     return _joined(blocks, answers.limit(0), lambda key, columns, got: Block(columns).scores(1, model), RESULT)
 
 
