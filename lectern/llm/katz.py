@@ -43,7 +43,7 @@ from lectern.llm.common import as_id, as_text, mix64, span_hashes, text_slices,
 from lectern.sources.files import discard, scratch
 
 ORDER, K, ABOVE = 3, 5, 0.5
-BLOCK_TOKENS, PART_TOKENS = 600_000, 1_500_000
+BLOCK_TOKENS, PART_TOKENS = 400_000, 1_500_000
 #: A history is frequent with more than one in HOT of all tokens, and a sixth of a partition.
 HOT = 20_000
 #: Shares in which blocks are joined with their answers, and partitions asked, of orders above two.
