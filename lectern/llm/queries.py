@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, html_text, images, katz, linededup, sentencepiece_codec, simhash, suffix_dedup, toxicity, url_filter
+from lectern.llm import collocations, decontaminate, html_text, images, katz, licenses, linededup, sentencepiece_codec, simhash, suffix_dedup, toxicity, url_filter, whitening
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,5 +73,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_katz, op4_html_text, op5_image_copies, op6_suffix_dedup, op7_simhash, op8_toxicity, op9_sentencepiece, op10_decontaminate)}
-ORACLES = {"op2_url_filter": url_filter.ORACLE_SQL}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first four whitened components."""
+    out = whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence phrases, their places, and the licences whose templates stand in it."""
+    out = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 most cohesive phrases of two to five words."""
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_katz, op4_html_text, op5_image_copies, op6_suffix_dedup, op7_simhash, op8_toxicity, op9_sentencepiece, op10_decontaminate, op11_whitening, op12_licenses, op13_collocations)}
+ORACLES = {"op2_url_filter": url_filter.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
