@@ -12,6 +12,9 @@ from lectern.operators.retrieval import ordered_lines
 # Limits of uploads and snippets, and the texts shown for what is missing.
 MAX_FILES, MAX_BYTES, SNIPPETS = 5, 5 * 1024 * 1024, 8
 NO_SNIPPET, TOPIC, TOPIC_TITLE, TOPIC_URL = "暂无摘要", "DuckDuckGo", "DuckDuckGo 结果 ", "https://duckduckgo.com"
+# Title, url and snippet (around the query) of a search that failed, and of one that could not be made.
+DOWN = ("网络连接问题", "https://duckduckgo.com", '无法连接到外部搜索服务。关于"', '"的搜索暂时不可用，请检查网络连接或稍后重试。')
+GONE = ("搜索服务暂时不可用", "", '无法完成对"', '"的搜索，请稍后重试。')
 SEPARATOR = "\n\n---\n\n"
 #: engine: (default title, default url, whether empty text counts as missing)
 ENGINES = {"duckduckgo": (TOPIC_TITLE, TOPIC_URL, False), "jina": ("搜索结果 ", "", True)}
@@ -135,13 +138,20 @@ def enrich_content(snippets: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def fallback_union(primary: DataFrame, secondary: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each query's rows of the first engine that has any, else one placeholder row."""
+    """Each query's rows of the first engine that has any.
+
+    queries: (request_id, query, failed, broken). Two engines without rows leave a query empty,
+    unless the second one failed: then there is one row that says so, or, if broken (it could not
+    even say so), the row of a service that can't be reached.
+    """
     both = primary.withColumn("__p", F.lit(0)).unionByName(secondary.withColumn("__p", F.lit(1)))
     best = both.withColumn("__best", F.min("__p").over(W.partitionBy("request_id"))).where("__p = __best").drop("__p", "__best")
-    none = queries.join(both.select("request_id").distinct(), "request_id", "left_anti")
-    blank = {"pos": F.lit(0), "title": F.col("query"), "snippet": F.lit(NO_SNIPPET), "engine": F.lit("none")}
-    row = [blank[f.name].cast(f.dataType).alias(f.name) if f.name in blank else F.col(f.name) if f.name == "request_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in primary.schema.fields]
-    return best.unionByName(none.select(*row))
+    lost = queries.where("failed or broken").join(both.select("request_id").distinct(), "request_id", "left_anti")
+    said = lambda texts: F.concat(F.lit(texts[0]), F.col("query"), F.lit(texts[1]))
+    pick = lambda down, gone: F.when(F.coalesce("broken", F.lit(False)), gone).otherwise(down)
+    made = {"pos": F.lit(0), "engine": F.lit("duckduckgo"), "title": pick(F.lit(DOWN[0]), F.lit(GONE[0])), "url": pick(F.lit(DOWN[1]), F.lit(GONE[1])), "snippet": pick(said(DOWN[2:]), said(GONE[2:]))}
+    row = [made[f.name].cast(f.dataType).alias(f.name) if f.name in made else F.col(f.name) if f.name == "request_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in primary.schema.fields]
+    return best.unionByName(lost.select(*row))
 
 
 def top_snippets(snippets: DataFrame, k: int = SNIPPETS) -> DataFrame:
@@ -159,13 +169,14 @@ def snippet_text(snippets: DataFrame) -> DataFrame:
 def combine(parts: DataFrame, by: str = "request_id") -> DataFrame:
     """(by, text, chars, snippets): analyses that are not blank, in order, failures by their message.
 
-    parts: (by, pos, analysis, error, n_snippets).
+    parts: (by, pos, analysis, error, n_snippets). chars is the length of what is joined, without
+    separators: trimmed analyses, and failures' messages.
     """
-    said = first_text("analysis", "error")
-    kept = F.when(~is_blank(said), F.struct(F.col("pos").alias("o"), said.alias("l")))
+    said = trimmed(first_text("analysis", "error"))
+    kept = F.when(said != "", F.struct(F.col("pos").alias("o"), said.alias("l")))
     rows = F.sort_array(F.collect_list(kept))
     text = F.array_join(F.transform(rows, lambda r: r["l"]), SEPARATOR)
-    return parts.groupBy(by).agg(text.alias("text"), F.coalesce(F.sum(F.length("analysis")), F.lit(0)).alias("chars"), F.sum("n_snippets").alias("snippets"))
+    return parts.groupBy(by).agg(text.alias("text"), F.coalesce(F.sum(F.length(said)), F.lit(0)).alias("chars"), F.sum("n_snippets").alias("snippets"))
 
 
 def keyword_lines(keywords: DataFrame) -> DataFrame:

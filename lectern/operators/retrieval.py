@@ -6,25 +6,20 @@ is data: query_pos and pos carry it, and every sort ends with them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.exprs import first_number, first_text, is_blank, number_text, trimmed
+from lectern.operators.textsearch import Index, document_weights, report_queries, text_search, text_vectors
+from lectern.operators.vectorsearch import batch_search
+from lectern.sources.files import written
 
 # Thresholds and sizes of the searches.
 SIMILARITY, AUTO_SIMILARITY, AUTO_ANY, MAX_BOOKS = 0.42, 0.42, 0.4, 8
 TOP_K, SIMPLE_TOP_K, MIN_RATING, PER_QUERY, FINAL = 8, 10, 6.0, 12, 8
 # The plain-text line of a book.
 LINE = r"^【(.+?)】(.+?)\s*-\s*([\d.]+)分$"
-#: Query vectors sent to the tasks at once.
-QUERY_BLOCK = 4096
-#: Corpus rows scored at once.
-TILE = 1024
 
 KEEP_SCORE = ("final_score", "similarity_score", "rating")  # which of two equal books stays
 SORT_SCORE = ("final_score", "similarity_score")
@@ -46,63 +41,6 @@ def search_texts(expansions: DataFrame) -> DataFrame:
     return expansions.select("request_id", F.posexplode(texts).alias("query_pos", "query"))
 
 
-def batch_search(queries: DataFrame, corpus: DataFrame, top_k: int = TOP_K, min_rating: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
-    """(request_id, query_pos, vec_id, similarity_score, rating, pos): each query's most similar books (R2, P10).
-
-    queries: (request_id, query_pos, embedding); corpus: (vec_id, embedding, rating). The
-    corpus is scanned once a block of queries; each batch keeps its local top k by cosine,
-    ties to the smaller vec_id, and a window by query keeps the final k. Null and zero
-    vectors match nothing.
-    """
-    if min_rating is not None:
-        corpus = corpus.where(F.col("rating") >= min_rating)  # before anything is scored
-    corpus = corpus.where("embedding is not null").select("vec_id", "embedding", F.col("rating").cast("double").alias("rating"))
-    count = queries.count()
-    blocks = -(-count // block) or 1
-    found = None
-    for k in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("request_id", "query_pos"), F.lit(blocks)) == k).where("embedding is not null").collect()
-        vectors = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1)
-        sizes = np.linalg.norm(vectors, axis=1)
-        asked = np.flatnonzero(sizes > 0)
-        request, place = np.array([r.request_id for r in rows], np.int64), np.array([r.query_pos for r in rows], np.int32)
-        shared = corpus.sparkSession.sparkContext.broadcast((request[asked], place[asked], vectors[asked] / sizes[asked, None]))  # one block of queries
-        part = corpus.mapInPandas(_scorer(shared, top_k), "request_id long, query_pos int, vec_id long, similarity_score double, rating double")
-        found = part if found is None else found.unionByName(part)
-    best = W.partitionBy("request_id", "query_pos").orderBy(F.desc("similarity_score"), "vec_id")
-    return found.withColumn("pos", F.row_number().over(best) - 1).where(F.col("pos") < top_k)
-
-
-def _scorer(shared, top_k: int):
-    def best(found: list[tuple]) -> list[tuple]:
-        """The top k of each query, as one tuple of columns."""
-        query, vec, score, rating = (np.concatenate(c) for c in zip(*found))
-        order = np.lexsort((vec, -score, query))
-        query, vec, score, rating = query[order], vec[order], score[order], rating[order]
-        rank = np.arange(len(query)) - np.searchsorted(query, query)
-        return [(query[rank < top_k], vec[rank < top_k], score[rank < top_k], rating[rank < top_k])]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        request, place, matrix = shared.value
-        for pdf in batches:
-            found: list[tuple] = []
-            for a in range(0, len(pdf) if len(matrix) else 0, TILE):
-                part = pdf.iloc[a : a + TILE]
-                vectors = np.stack(part.embedding.to_numpy()).astype(np.float64)
-                norm = np.linalg.norm(vectors, axis=1)
-                keep = np.flatnonzero(norm > 0)
-                if not len(keep):
-                    continue
-                scores = np.round(matrix @ (vectors[keep] / norm[keep, None]).T, 9)
-                least = np.partition(scores, -top_k, axis=1)[:, -top_k] if len(keep) > top_k else np.full(len(scores), -np.inf)
-                query, j = np.nonzero(scores >= least[:, None])  # with all that tie for the last place
-                found = best([*found, (query, part.vec_id.to_numpy()[keep[j]], scores[query, j], part.rating.to_numpy()[keep[j]])])
-            for query, vec, score, rating in found:
-                yield pd.DataFrame({"request_id": request[query], "query_pos": place[query], "vec_id": vec, "similarity_score": score, "rating": rating})
-
-    return run
-
-
 def multi_query(queries: DataFrame, corpus: DataFrame, per_query_top_k: int = PER_QUERY, final_top_k: int = FINAL) -> DataFrame:
     """(request_id, vec_id, fused_score, pos): searches of one request fused by reciprocal rank."""
     hits = batch_search(queries, corpus, per_query_top_k)
@@ -111,6 +49,18 @@ def multi_query(queries: DataFrame, corpus: DataFrame, per_query_top_k: int = PE
     return fused.withColumn("pos", F.row_number().over(best) - 1).where(F.col("pos") < final_top_k)
 
 
+def report_search(topics: DataFrame, corpus: DataFrame, id: str = "id", text: str = "text", per_query_top_k: int = PER_QUERY, final_top_k: int = FINAL) -> DataFrame:
+    """(request_id, vec_id, fused_score, pos): books for research reports, by their abstracts and keywords.
+
+    topics: as research.report_topics gives them; corpus: ids (whole numbers) and texts of books.
+    Both become vectors by one idf of the corpus. Reports without a known term find nothing.
+    """
+    weights = written(document_weights(corpus, id, text), "weights")
+    books = text_vectors(corpus, weights, id, text=text).select(F.col(id).alias("vec_id"), "embedding", F.lit(None).cast("double").alias("rating"))
+    queries = text_vectors(report_queries(topics), weights, "request_id", "query_pos", text="query")
+    return multi_query(queries, books, per_query_top_k, final_top_k)
+
+
 # Fields of a hit and the names it may arrive under, first one first.
 TEXT_FIELDS = {
     "subtitle": ("subtitle", "豆瓣副标题"), "translator": ("translator", "豆瓣译者"), "publisher": ("publisher",), "publish_year": ("publishYear", "豆瓣出版年份"),
@@ -251,6 +201,19 @@ def expanded_search(expansions: DataFrame, embed, corpus: DataFrame, top_k: int
     return merged, outcome.groupBy("request_id").agg(F.coalesce(F.bool_or(F.col("n") > 0), F.lit(False)).alias("success"))
 
 
+def expanded_text_search(expansions: DataFrame, index: Index, top_k: int = SIMPLE_TOP_K, min_rating: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(merged books, outcome by request) of expansions, by their texts over an index of texts.
+
+    A request succeeds if any of its probes finds a book; one whose probes are all blank does not.
+    """
+    queries = search_texts(expansions)
+    hits = text_search(queries, index, top_k, min_rating)
+    hits = hits.select("request_id", "query_pos", "pos", F.col("id").alias("vec_id"), "similarity_score", F.lit(None).cast("double").alias("rating"))
+    found = hits.select("request_id").distinct().withColumn("found", F.lit(True))
+    outcome = queries.select("request_id").distinct().join(found, "request_id", "left").select("request_id", F.coalesce("found", F.lit(False)).alias("success"))
+    return merge_probes(as_books(hits)), outcome
+
+
 def as_books(found: DataFrame) -> DataFrame:
     """Search results as hits: titles and authors from the id, the rest empty."""
     vec = F.col("vec_id").cast("string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions import exprs as X
-from lectern.operators import archive, curation, dialogue, manifest, research, retrieval
+from lectern.operators import archive, curation, dialogue, manifest, research, retrieval, textsearch
 from lectern.plans.tables import duck, given, hits, sheet, table
 from lectern.sources import files
 from lectern.streaming import progress
@@ -456,6 +456,68 @@ def r3_multi_query(spark, sf_dir):
     return out.select("request_id", "vec_id", F.round("fused_score", 6).alias("fused_score"), "pos")
 
 
+TERMS = lambda text: f"regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')"
+BM25 = f"""tf as (select doc_id, term, count(*) tf from (select doc_id, unnest({TERMS('text')}) term from documents) group by 1, 2),
+    sizes as (select doc_id, coalesce(len({TERMS('text')}), 0) size from documents), mean as (select count(*) n, sum(size)::double / count(*) mean from sizes), df as (select term, count(*) df from tf group by 1),
+    impacts as (select doc_id, term, floor(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * (tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * size / mean))) * 1000000)::bigint impact from tf join sizes using (doc_id) join df using (term), mean)"""
+
+
+def _found(queries: str, k: int, rated: str = "true") -> str:
+    """The SQL of a text search: queries (request_id, query_pos, query) against documents."""
+    return f"""with {BM25}, asked as (select request_id, query_pos, term, count(*) w from (select request_id, query_pos, unnest({TERMS('query')}) term from ({queries})) group by 1, 2, 3)
+    select request_id, query_pos, doc_id as id, score, row_number() over (partition by request_id, query_pos order by score desc, doc_id) - 1 as pos from (select request_id, query_pos, doc_id, sum(impact * w)::bigint score from asked join impacts using (term) where {rated} group by 1, 2, 3) qualify pos < {k}"""
+
+
+@query(f"select request_id, query_pos, id, score::double / 1000000 as similarity_score, pos from ({_found('select * from text_searches', 8)})", "text_searches")
+def r2_text_search(spark, sf_dir):
+    """The whole texts of every hundredth document as queries over all documents."""
+    index = textsearch.build_index(given(spark, sf_dir, "documents"), "doc_id")
+    return textsearch.text_search(table(spark, sf_dir, "text_searches"), index)
+
+
+PROBED = "select request_id, row_number() over (partition by request_id order by probe) - 1 as query_pos, text as query from document_probes where probe = 0 or (request_id % 4 <> 1 and trim(coalesce(text, '')) <> '')"
+MERGED_TEXTS = f"""select *, row_number() over (partition by request_id order by score desc, query_pos, pos) as rank from (select *, row_number() over (partition by request_id, id order by score desc, query_pos, pos) n,
+    first_value(query_pos) over (partition by request_id, id order by query_pos, pos) fq, first_value(pos) over (partition by request_id, id order by query_pos, pos) fp from ({_found(PROBED, 10, 'doc_id % 100 >= 60')})) where n = 1""".replace("order by score desc, query_pos, pos) as rank", "order by score desc, fq, fp) as rank")
+
+
+def _text_expansions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Merged books and outcomes of expansions whose queries are texts of documents."""
+    part = lambda k: F.max(F.when(F.col("probe") == k, F.col("text")))
+    probe = lambda k: F.struct(F.lit("p").alias("type"), F.lit("l").alias("label"), part(k).alias("text"))
+    expansions = table(spark, sf_dir, "document_probes").groupBy("request_id").agg(part(0).alias("original_query"), F.array(probe(1), probe(2)).alias("probes")).withColumn("success", F.expr("request_id % 4 <> 1"))
+    index = textsearch.build_index(table(spark, sf_dir, "rated_documents"), "doc_id", rating="rating")
+    return retrieval.expanded_text_search(expansions, index, min_rating=retrieval.MIN_RATING)
+
+
+@query(f"select request_id, query_pos, pos, id::varchar as id, rank, score::double / 1000000 as similarity_score from ({MERGED_TEXTS})", "document_probes")
+def r8_text_search(spark, sf_dir):
+    """Expanded searches whose original queries and probes are whole texts."""
+    return _text_expansions(spark, sf_dir)[0].select("request_id", "query_pos", "pos", "id", "rank", "similarity_score")
+
+
+@query(f"select request_id, max(id) is not null as success from (select distinct request_id from ({PROBED})) left join ({_found(PROBED, 10, 'doc_id % 100 >= 60')}) using (request_id) group by 1", "document_probes")
+def r8_search_outcome(spark, sf_dir):
+    return _text_expansions(spark, sf_dir)[1]
+
+
+ABSTRACT = "# 交叉主题分析报告\n\n## 共同母题\n\n- 名称: N\n\n- 关键词: "
+WEIGHTS = f"weights as (select term, floor(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * 1000)::bigint idf from (select term, count(distinct doc_id) df from (select doc_id, unnest({TERMS('text')}) term from documents) group by 1), (select count(*) n from documents))"
+VECTORS = lambda keys, rows, text: f"""select {keys}, list(v order by j) as embedding from (select {keys}, j, sum(tf * idf * (1 - 2 * (((strpos('0123456789abcdef', substr(md5(term), 1 + j // 4, 1)) - 1) >> (j % 4)) & 1)))::double v
+    from (select {keys}, term, count(*) tf from (select {keys}, unnest({TERMS(text)}) term from ({rows})) group by all) join weights using (term), (select unnest(range(0, 64))::int j) group by all) group by all"""
+
+
+@query(f"""select request_id, vec_id, round(fused_score, 6) as fused_score, pos from (with {WEIGHTS}, books as ({VECTORS('doc_id', 'select doc_id, text from documents', 'text')}),
+    asked as ({VECTORS('request_id, query_pos', "select request_id, 0 as query_pos, abstract as query from abstracts where abstract <> '' union all select request_id, k, split_part(abstract, ' ', k) from abstracts, (select unnest([1, 2]) k) where split_part(abstract, ' ', k) <> ''", 'query')}),
+    near as (select request_id, doc_id as vec_id, row_number() over (partition by request_id, query_pos order by round(list_cosine_similarity(a.embedding, b.embedding), 9) desc, doc_id) - 1 pos from asked a, books b where list_sum(list_transform(a.embedding, lambda x: abs(x))) > 0 and list_sum(list_transform(b.embedding, lambda x: abs(x))) > 0 qualify pos < 12)
+    select *, row_number() over (partition by request_id order by fused_score desc, vec_id) - 1 pos from (select request_id, vec_id, round(sum(1.0::double / (pos + 61)), 9) fused_score from near group by 1, 2)) where pos < 8""", "abstracts")
+def r3_report_search(spark, sf_dir):
+    """Reports on conversations as Markdown, parsed, and the documents nearest to their abstracts and keywords."""
+    first = lambda k: F.split_part("abstract", F.lit(" "), F.lit(k))
+    markdown = F.concat(F.lit(ABSTRACT), first(1), F.lit(", "), first(2), F.lit("\n\n- 摘要: "), F.col("abstract"), F.lit("\n\n## 深度洞察\n"))
+    topics = research.report_topics(table(spark, sf_dir, "abstracts").select("request_id", markdown.alias("markdown")))
+    return retrieval.report_search(topics, given(spark, sf_dir, "documents"), "doc_id").select("request_id", "vec_id", F.round("fused_score", 6).alias("fused_score"), "pos")
+
+
 @query(f"select request_id, query_pos, pos, {DEDUPE_KEY} as dedupe_key from hits", "hits")
 def r4_dedupe_key(spark, sf_dir):
     return hits(spark, sf_dir).select("request_id", "query_pos", "pos", retrieval.dedupe_key().alias("dedupe_key"))
@@ -656,14 +718,16 @@ def k5_enrich_content(spark, sf_dir):
 
 
 ASKED = "select request_id * 3 + keyword_pos as request_id, pos, title from snippets"  # a search a keyword
+LOST = f"select distinct request_id, 'query ' || request_id as query from ({ASKED})"
 
 
-@query(f"""select request_id, pos, title, case request_id % 4 when 0 then 'first' else 'second' end as engine from ({ASKED}) where request_id % 4 < 2
-    union all select distinct request_id, 0, 'query ' || request_id, 'none' from ({ASKED}) where request_id % 4 > 1""", "snippets")
+@query(f"""select request_id, pos, title, case request_id % 5 when 0 then 'first' else 'second' end as engine, 'u' || pos as url, 's' as snippet from ({ASKED}) where request_id % 5 < 2
+    union all select request_id, 0, '网络连接问题', 'duckduckgo', 'https://duckduckgo.com', '无法连接到外部搜索服务。关于"' || query || '"的搜索暂时不可用，请检查网络连接或稍后重试。' from ({LOST}) where request_id % 5 = 3
+    union all select request_id, 0, '搜索服务暂时不可用', 'duckduckgo', '', '无法完成对"' || query || '"的搜索，请稍后重试。' from ({LOST}) where request_id % 5 = 4""", "snippets")
 def r10_fallback_union(spark, sf_dir):
-    df = table(spark, sf_dir, "snippets").select((F.col("request_id") * 3 + F.col("keyword_pos")).alias("request_id"), "pos", "title")
-    queries = df.select("request_id").distinct().withColumn("query", F.concat(F.lit("query "), F.col("request_id").cast("string")))
-    first, second = df.where("request_id % 4 = 0").withColumn("engine", F.lit("first")), df.where("request_id % 4 < 2").withColumn("engine", F.lit("second"))
+    df = table(spark, sf_dir, "snippets").select((F.col("request_id") * 3 + F.col("keyword_pos")).alias("request_id"), "pos", "title", F.concat(F.lit("u"), F.col("pos").cast("string")).alias("url"), F.lit("s").alias("snippet"))
+    queries = df.select("request_id").distinct().select("request_id", F.concat(F.lit("query "), F.col("request_id").cast("string")).alias("query"), (F.col("request_id") % 5 != 2).alias("failed"), (F.col("request_id") % 5 == 4).alias("broken"))
+    first, second = df.where("request_id % 5 = 0").withColumn("engine", F.lit("first")), df.where("request_id % 5 < 2").withColumn("engine", F.lit("second"))
     return research.fallback_union(first, second, queries)
 
 
@@ -678,8 +742,8 @@ def a7_snippet_text(spark, sf_dir):
     return research.snippet_text(table(spark, sf_dir, "snippets"))
 
 
-@query("""select request_id, coalesce(string_agg(said, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pos) filter (trim(said) <> ''), '') as text, coalesce(sum(length(analysis)), 0)::bigint as chars, sum(n_snippets)::bigint as snippets
-    from (select *, coalesce(nullif(analysis, ''), error) said from analyses) group by 1""", "analyses")
+@query("""select request_id, coalesce(string_agg(said, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pos) filter (said <> ''), '') as text, coalesce(sum(length(said)), 0)::bigint as chars, sum(n_snippets)::bigint as snippets
+    from (select *, TRIMMED said from (select *, coalesce(nullif(analysis, ''), error) raw from analyses)) group by 1""".replace("TRIMMED", TRIM("raw")), "analyses")
 def a8_combine(spark, sf_dir):
     return research.combine(table(spark, sf_dir, "analyses"))
 
@@ -764,8 +828,8 @@ NTH = lambda column, k: f"try_cast(regexp_extract({column}, '([0-9]+)/([0-9]+)',
 SAID = "coalesce(details, message)"
 
 
-@query(f"""select session_id, coalesce(max({NTH(SAID, 1)}) filter (phase = 'search'), 0) as searched, coalesce(max({NTH(SAID, 1)}) filter (phase = 'analysis'), 0) as analysed,
-    coalesce(greatest(max({NTH(SAID, 2)}) filter (phase in ('search', 'analysis')), max(try_cast(regexp_extract(message, '([0-9]+) 个', 1) as bigint)) filter (phase = 'keyword')), 0) as total from ({EVENTS}) group by 1""", "frames")
+@query(f"""select session_id, coalesce(max({NTH(SAID, 1)}) filter (phase = 'search'), 0) as searched, coalesce(max({NTH(SAID, 1)}) filter (phase in ('analysis', 'document-analysis')), 0) as analysed,
+    coalesce(greatest(max({NTH(SAID, 2)}) filter (phase in ('search', 'analysis', 'document-analysis')), max(try_cast(regexp_extract(message, '([0-9]+) 个', 1) as bigint)) filter (phase = 'keyword')), 0) as total from ({EVENTS}) group by 1""", "frames")
 def x6_counters(spark, sf_dir):
     return progress.counters(_events(spark, sf_dir))
 

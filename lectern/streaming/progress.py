@@ -61,19 +61,20 @@ def session_phase(events: DataFrame, gap: str | None = None, delay: str = "10 mi
 
 
 def counters(events: DataFrame, gap: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """(session_id, searched, analysed, total): keywords done and in all, as the progress logs say.
+    """(session_id, searched, analysed, total): keywords, or documents, done and in all, as the progress logs say.
 
-    Logs report n of total in their details, or else at the end of their message; a session
-    whose logs report none has zeros.
+    Logs report n of total in their details, or else at the end of their message; sessions on
+    uploaded documents have no search, their documents count as analysed. A session whose logs
+    report none has zeros.
     """
     logs, keys = _by(events, ["session_id"], gap, delay)
     said = F.concat_ws(" ", "details", "message")
 
     def most(phase: str, pattern: str, k: int) -> Column:
-        return F.max(F.when(F.col("phase") == phase, F.regexp_extract(said, pattern, k).try_cast("long")))
+        return F.max(F.when(F.col("phase").isin(*phase.split()), F.regexp_extract(said, pattern, k).try_cast("long")))
 
-    total = F.greatest(most("search", SEARCHED, 2), most("analysis", ANALYSED, 2), most("keyword", KEYWORDS, 1))
-    made = {"searched": most("search", SEARCHED, 1), "analysed": most("analysis", ANALYSED, 1), "total": total}
+    total = F.greatest(most("search", SEARCHED, 2), most("analysis document-analysis", ANALYSED, 2), most("keyword", KEYWORDS, 1))
+    made = {"searched": most("search", SEARCHED, 1), "analysed": most("analysis document-analysis", ANALYSED, 1), "total": total}
     return logs.groupBy(*keys).agg(*[F.coalesce(c, F.lit(0).cast("long")).alias(n) for n, c in made.items()])
 
 

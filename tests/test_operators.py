@@ -81,7 +81,7 @@ def test_batch_search_is_exact_in_blocks(spark):
     corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rating double")
     queries = corpus.where("vec_id % 20 = 0 and embedding is not null").select(F.col("vec_id").alias("request_id"), F.lit(0).alias("query_pos"), "embedding")
     a = sorted(retrieval.batch_search(queries, corpus, 5, 3.0).collect())
-    b = sorted(retrieval.batch_search(queries, corpus.repartition(5), 5, 3.0, block=1).collect())
+    b = sorted(retrieval.batch_search(queries, corpus.repartition(5), 5, 3.0).collect())
     assert a == b and len(a) == 15 and all(r.rating >= 3 for r in a)
 
 
