@@ -1,16 +1,17 @@
 """Phrase collocation mining by direct-address tiling.
 
 Words are counted, and the frequent ones get ids by frequency rank. A task turns its texts into
-ids and counts pairs of neighbours: ranks (i, j) belong to the tile (i // 256, j // 256), a tile
-that holds many of the pairs at hand is counted in a dense array with one bincount, all other
-pairs are sorted as coordinates and their runs measured. Spark adds the counts up by pair. The
-frequent pairs are ranked by frequency in turn and take the place of the left word, so that the
-same step counts phrases of three words, then of four and five.
-
-Bounds, whatever the input: HELD ids by rank, the rest keep a 62-bit hash as id; one bit a
+ids and counts pairs of neighbours: ranks (i, j) belong to the tile (i // SIDE, j // SIDE); a tile
+with many of the pairs at hand is counted in a dense array with one bincount, a thin one as sorted
+coordinates. Tasks send one packed row a tile; these are added up in shares, then all shares by
+part of a tile. The frequent pairs are ranked by frequency in turn and take the place of the left
+word, so that the same step counts phrases of three words, then of four and five.
+
+Bounds, whatever the input: HELD ids by rank, other words and phrases keep a 62-bit hash as id,
+and pairs with such an id are added up as sorted coordinates in TILES buckets by hash; one bit a
 frequent phrase in a table of 2**BITS bits tells which ids may be frequent (a clash of bits lets
-a rare one be counted too, and its own count then drops it). Both are broadcast, 9 MB a level.
-No task holds more than PAIRS pairs; Spark joins, counts and ranks all else by key.
+a rare one be counted too, and its own count then drops it). Both are broadcast, 9 MB a level. A
+task holds PAIRS pairs, or one tile's cells, or the distinct pairs of one part of a bucket.
 """
 
 from __future__ import annotations
@@ -21,22 +22,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lectern.llm.common import U64, materialize, pair_hash, span_hasher, text_slices
+from lectern.llm.common import U64, materialize, mix64, pair_hash, span_hasher, text_slices
 
 #: Words of the longest phrase; least occurrences of a phrase; phrases returned for each language.
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: A phrase goes if a longer one around it has this share of its occurrences, in hundredths.
 COVER = 100
-#: Ids by rank (a tile's side squared); tables of 2**BITS bits; pairs and words a task holds at most.
-SIDE = 256
-HELD, BITS, PAIRS, WORDS = SIDE * SIDE, 26, 1 << 21, 1 << 19
-#: Pairs from which a tile is counted densely.
-DENSE = SIDE * SIDE // 8
+#: Ids by rank; tables of 2**BITS bits; pairs and words a task holds at most.
+HELD, BITS, PAIRS, WORDS = 1 << 16, 26, 1 << 21, 1 << 19
+#: Ranks of a tile's side; the tiles of ranked pairs, and as many buckets of other pairs.
+SIDE = 1024
+TILES, CELLS = (HELD // SIDE) ** 2, SIDE * SIDE
+#: Pairs from which a tile is counted densely; parts of a tile, and shares of what tasks found in one, that are added up apart.
+DENSE, PARTS, SHARES = CELLS // 16, 16, 32
 _BIT, _MASK = U64(1 << 62), U64((1 << 62) - 1)
 
 _SOFT, _HARD = np.zeros(256, bool), np.zeros(256, bool)
@@ -122,39 +126,141 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(merged())
 
 
-def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values of a sorted array and how often each stands in it."""
-    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    return key[at], np.diff(np.r_[at, len(key)])
+def added(cell: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells of a tile and their sums: many by bincount over the whole tile, few as sorted coordinates."""
+    if len(cell) >= DENSE:
+        sums = np.bincount(cell, n, CELLS).astype(np.int64)  # exact: sums in a task stay below 2**53
+        at = np.flatnonzero(sums)
+        return at.astype(np.uint32), sums[at]
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    new = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+    return cell[new], np.diff(np.r_[new, len(cell)]) if n is None else np.add.reduceat(n[order], new) if len(new) else n[order]
+
+
+def added_pairs(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of ids and their sums, as sorted coordinates."""
+    if not len(left):
+        return left, right, n
+    order = np.lexsort((right, left))
+    left, right = left[order], right[order]
+    new = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+    return left[new], right[new], np.add.reduceat(n[order], new)
 
 
-def count_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct pairs of two arrays of ids and their numbers: dense tiles by bincount, the rest as sorted coordinates."""
+#: One row a tile and task: cells and their counts; in a bucket, both ids and the counts.
+TILE_ROWS = "tile int, share int, part int, a binary, b binary, n binary"
+Packed = tuple[int, int, np.ndarray, np.ndarray, np.ndarray]  # tile, part, cells or left ids, right ids, counts
+
+
+def count_pairs(left: np.ndarray, right: np.ndarray) -> Iterator[Packed]:
+    """The pairs of two arrays of ids, counted by tile; pairs with an id beyond the ranks by bucket."""
     ranked = (left < HELD) & (right < HELD)
     a, b = left[ranked].astype(np.uint32), right[ranked].astype(np.uint32)
-    tile = (a // SIDE * SIDE + b // SIDE).astype(np.uint16)
-    cell = (a % SIDE * SIDE + b % SIDE).astype(np.uint16)
-    size = np.bincount(tile, minlength=HELD)
+    tile = (a // SIDE * (HELD // SIDE) + b // SIDE).astype(np.uint16)
     order = np.argsort(tile, kind="stable")  # uint16: a radix sort
-    tile, cell = tile[order], cell[order]
-    first = np.r_[0, np.cumsum(size)]
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    for t in np.flatnonzero(size >= DENSE):
-        counted = np.bincount(cell[first[t] : first[t + 1]], minlength=HELD)
-        at = np.flatnonzero(counted)
-        parts.append((at + t * HELD, counted[at]))
-    thin = size[tile] < DENSE
-    parts.append(runs(np.sort(tile[thin].astype(np.uint32) << 16 | cell[thin])))
-    key, n = (np.concatenate(x).astype(np.int64) for x in zip(*parts))
-    tile, cell = key // HELD, key % HELD
-    left, right = left[~ranked], right[~ranked]
-    order = np.lexsort((right, left))
-    left, right = left[order], right[order]
-    new = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])]) if len(left) else np.zeros(0, np.int64)
-    return (
-        np.r_[tile // SIDE * SIDE + cell // SIDE, left[new]], np.r_[tile % SIDE * SIDE + cell % SIDE, right[new]],
-        np.r_[n, np.diff(np.r_[new, len(left)])],
-    )
+    cell = (a % SIDE * SIDE + b % SIDE)[order]
+    first = np.r_[0, np.cumsum(np.bincount(tile, minlength=TILES))]
+    for t in np.flatnonzero(np.diff(first)):
+        yield int(t), 0, *_cells(*added(cell[first[t] : first[t + 1]]))
+    left, right, n = added_pairs(left[~ranked], right[~ranked], np.ones(np.count_nonzero(~ranked), np.int64))
+    bucket = (pair_hash(left.astype(U64), right.astype(U64)) % U64(TILES)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    first = np.r_[0, np.cumsum(np.bincount(bucket, minlength=TILES))]
+    for t in np.flatnonzero(np.diff(first)):
+        at = order[first[t] : first[t + 1]]
+        yield TILES + int(t), 0, left[at], right[at], n[at]
+
+
+def _cells(cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return cell, np.zeros(0, np.int64), n
+
+
+def _packed(rows: Iterator[tuple[int, Packed]]) -> Iterator[pa.RecordBatch]:
+    """Rows of TILE_ROWS, some megabytes at a time."""
+    names, held, size = ["tile", "share", "part", "a", "b", "n"], [], 0
+
+    def out():
+        columns = list(zip(*held))
+        return pa.record_batch([*(pa.array(c, pa.int32()) for c in columns[:3]), *(pa.array(c, pa.binary()) for c in columns[3:])], names)
+
+    for share, (tile, part, a, b, n) in rows:
+        wide = a.astype(np.uint32 if tile < TILES else np.int64)
+        held.append((tile, share, part, wide.tobytes(), b.tobytes(), n.astype(np.int64).tobytes()))
+        size += 8 * len(n) + len(held[-1][3])
+        if size > 4_000_000:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each (tile, part) of rows sorted by them: its sums, added up as the rows come."""
+    now, held, size = None, [], 0
+
+    def summed():
+        a, b, n = (np.concatenate(x) for x in zip(*held))
+        if now[0] < TILES:
+            cell, n = added(a, n)
+            return cell, b, n
+        return added_pairs(a, b, n)
+
+    for batch in batches:
+        tile, part = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        for k in range(len(batch)):
+            key = (int(tile[k]), int(part[k]))
+            if key != now:
+                if held:
+                    yield *now, *summed()
+                now, held, size = key, [], 0
+            kinds = (np.uint32 if key[0] < TILES else np.int64, np.int64, np.int64)
+            held.append(tuple(np.frombuffer(batch.column(3 + c)[k].as_buffer(), kind) for c, kind in enumerate(kinds)))
+            size += len(held[-1][2])
+            if size > 2 * PAIRS:
+                held = [summed()]
+                size = len(held[0][2])
+    if held:
+        yield *now, *summed()
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What tasks found in a share of a tile, added up and cut into parts by cell."""
+
+    def rows():
+        for tile, _, a, b, n in _unpacked(batches):
+            part = (a // (CELLS // PARTS) if tile < TILES else mix64(a.astype(U64)) % U64(PARTS)).astype(np.int64)
+            for p in np.unique(part):
+                at = part == p
+                yield 0, (tile, int(p), a[at], b[at] if tile >= TILES else b, n[at])
+
+    return _packed(rows())
+
+
+PAIR_ROWS = "left long, right long, n long"
+
+
+def _frequent(least: int):
+    """The sums of parts of tiles to the pairs with a count of least and more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile, _, a, b, n in _unpacked(batches):
+            at = np.flatnonzero(n >= least)
+            if not len(at):
+                continue
+            left, right = a[at].astype(np.int64), b[at] if tile >= TILES else None
+            if tile < TILES:
+                left, right = tile // (HELD // SIDE) * SIDE + left // SIDE, tile % (HELD // SIDE) * SIDE + left % SIDE
+            yield pa.record_batch([pa.array(left), pa.array(right), pa.array(n[at])], ["left", "right", "n"])
+
+    return run
+
+
+def frequent_pairs(tiles: DataFrame, least: int) -> DataFrame:
+    """(left, right, n) of rows of TILE_ROWS: first shares of a tile are added up, then the parts of all shares."""
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    merged = tiles.repartition(parts, "tile", "share").sortWithinPartitions("tile", "share").mapInArrow(_merged, TILE_ROWS)
+    return merged.repartition(parts, "tile", "part").sortWithinPartitions("tile", "part").mapInArrow(_frequent(least), PAIR_ROWS)
 
 
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -193,24 +299,20 @@ def level_of(frequent: DataFrame) -> Level:
 
 
 def _counted(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Pairs counted a bounded number at a time."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def out() -> Iterator[pa.RecordBatch]:
-        left, right, n = count_pairs(*(np.concatenate(x) for x in zip(*held)))
-        held.clear()
-        for a in range(0, len(left), 100_000):
-            yield pa.record_batch([pa.array(x[a : a + 100_000].astype(np.int64)) for x in (left, right, n)], ["left", "right", "n"])
-
-    for pair in pairs:
-        held.append(pair)
-        if sum(len(x) for x, _ in held) > PAIRS:
-            yield from out()
-    if held:
-        yield from out()
+    """Pairs counted a bounded number at a time, as rows of TILE_ROWS."""
 
+    def rows():
+        held, size, share = [], 0, TaskContext.get().partitionId()
+        for pair in pairs:
+            held.append(pair)
+            size += len(pair[0])
+            if size > PAIRS:
+                yield from ((share % SHARES, x) for x in count_pairs(*(np.concatenate(x) for x in zip(*held))))
+                held, size, share = [], 0, share + 1
+        if held:
+            yield from ((share % SHARES, x) for x in count_pairs(*(np.concatenate(x) for x in zip(*held))))
 
-PAIR_ROWS = "left long, right long, n long"
+    return _packed(rows())
 
 
 def _pairs_of_texts(shared):
@@ -311,13 +413,12 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", lo
     found, shorter, stretches = [words.withColumn("n_words", F.lit(1))], word_ids, None
     for size in range(2, longest + 1):
         if size == 2:
-            pairs = rows.mapInArrow(_pairs_of_texts(shared[0]), PAIR_ROWS)
+            tiles = rows.mapInArrow(_pairs_of_texts(shared[0]), TILE_ROWS)
         else:
             if size == 3:
                 stretches = materialize(rows.mapInArrow(_runs_of_texts(*shared), "ids binary"), "stretches")
-            pairs = stretches.mapInArrow(_pairs_of_runs(shared[1:]), PAIR_ROWS)
-        pairs = pairs.groupBy("left", "right").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        pairs = pairs.mapInArrow(_keyed, PAIR_ROWS + ", key long")
+            tiles = stretches.mapInArrow(_pairs_of_runs(shared[1:]), TILE_ROWS)
+        pairs = frequent_pairs(tiles, least).mapInArrow(_keyed, PAIR_ROWS + ", key long")
         head = shorter.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"))
         tail = word_ids.select(F.col("id").alias("right"), F.col("phrase").alias("tail"))
         named = pairs.join(head, "left").join(tail, "right")
