@@ -11,6 +11,7 @@ from lectern.operators import archive, curation, dialogue, manifest, research, r
 from lectern.plans.tables import duck, given, hits, sheet, table
 from lectern.sources import files
 from lectern.streaming import progress
+from lectern.streaming.current import CurrentState
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -839,6 +840,36 @@ def a14_ratio(spark, sf_dir):
     return progress.ratio(progress.latest_by_phase(_events(spark, sf_dir))).select("session_id", F.round("ratio", 6).cast("double").alias("ratio"))
 
 
+def _streamed(spark: SparkSession, sf_dir: str, fold, keys: list[str]) -> DataFrame:
+    """The frames written as files, read as a stream in several batches, folded, and merged into a table of the current state."""
+    root = files.scratch(spark, "frames")
+    table(spark, sf_dir, "frames").select("session_id", "seq", "ts", "line").repartition(4).write.parquet(f"{root}/in")
+    own = spark.newSession()  # so that the state store is named for this stream only
+    own.conf.set(*progress.STATE_STORE)
+    out = fold(progress.decode(own.readStream.schema(progress.FRAMES).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")))
+    state = CurrentState(f"{root}/current", keys)
+    out.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(state.merge).start().awaitTermination()
+    return state.read(spark, out.schema)
+
+
+@query(ORACLES["x2_latest_by_phase"])
+def x2_current_state(spark, sf_dir):
+    """The latest log of each phase as a table that a stream keeps."""
+    return _streamed(spark, sf_dir, progress.latest_by_phase, ["session_id", "phase"]).withColumn("details", F.coalesce("details", F.lit("\0")))
+
+
+@query(ORACLES["x4_assemble_draft"])
+def x4_current_drafts(spark, sf_dir):
+    """Drafts assembled by a stream with state, kept as a table."""
+    return _streamed(spark, sf_dir, lambda e: progress.assemble_draft_stream(e, "3650 days"), ["session_id"])
+
+
+@query(ORACLES["x5_session_phase"])
+def x5_current_phase(spark, sf_dir):
+    """The state of each session as a table that a stream keeps."""
+    return _streamed(spark, sf_dir, progress.session_phase, ["session_id"])
+
+
 @query(f"select session_id, seq, type from ({EVENTS})", "frames")
 def s6_read_frames(spark, sf_dir):
     """Frames written as files, read as a stream until none is left, and decoded."""

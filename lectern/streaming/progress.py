@@ -8,11 +8,12 @@ closed windows goes; without it (batch) by session only.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 EVENT = "type string, phase string, status string, message string, details string, content string, draftMarkdown string"
 # The state that an event puts its session in; events of the later states are those of the reader's own actions.
@@ -93,31 +94,64 @@ def assemble_draft(events: DataFrame) -> DataFrame:
     return out.select("session_id", F.coalesce("whole", "made").alias("text"), (~F.col("complete")).alias("streaming"), "complete")
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Chunks are kept by seq, so a late one falls into place; a timeout drops the session."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    seqs, chunks, whole, whole_seq = state.get if state.exists else ([], [], None, -1)
-    kept = dict(zip(seqs, chunks))
-    latest = 0
-    for pdf in batches:
-        for r in pdf.itertuples():
+#: The state store that the stream of drafts needs, as a setting of its session.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+DRAFT = "session_id long, text string, streaming boolean, complete boolean"
+
+
+class DraftProcessor(StatefulProcessor):
+    """A session's draft: chunks are appended to a list as they come, so a batch writes its own chunks only.
+
+    Chunks carry their seq, so that a late one falls into its place and a repeated one counts
+    once; the text that completes a draft replaces them, and they are dropped.
+    """
+
+    def __init__(self, idle: int, ttl: int | None):
+        self.idle, self.ttl = idle, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.chunks = handle.getListState("chunks", "seq long, content string", self.ttl)
+        self.whole = handle.getValueState("whole", "seq long, content string", self.ttl)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        had = self.whole.get()
+        new, whole, latest = [], had, 0
+        for r in rows:
             latest = max(latest, int(r.ts.timestamp() * 1000))
             if r.type == "draft-chunk":
-                kept[r.seq] = r.content or ""
-            elif r.type == "draft-complete" and r.seq > whole_seq:
-                whole, whole_seq = r.draftMarkdown or "", int(r.seq)
-    order = sorted(kept)
-    state.update(([int(k) for k in order], [kept[k] for k in order], whole, whole_seq))
-    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 3_600_000)
-    text = whole if whole is not None else "".join(kept[k] for k in order)
-    yield pd.DataFrame({"session_id": [key[0]], "text": [text], "streaming": [whole is None], "complete": [whole is not None]})
-
-
-def assemble_draft_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """The same of a stream, in update mode; sessions idle for an hour of event time are dropped."""
+                new.append(Row(seq=r.seq, content=r.content or ""))
+            elif r.type == "draft-complete" and (whole is None or r.seq > whole[0]):
+                whole = Row(seq=r.seq, content=r.draftMarkdown or "")
+        if whole is None:
+            if new:
+                self.chunks.appendList(new)
+            text = "".join(content for _, content in sorted({c[0]: c[1] for c in self.chunks.get()}.items()))
+        else:
+            if whole is not had:
+                self.whole.update(whole)
+                self.chunks.clear()
+            text = whole[1]
+        if self.ttl is None:  # by event time: the session goes when it has been idle
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(max(latest, timerValues.getCurrentWatermarkInMs()) + self.idle)
+        yield Row(session_id=key[0], text=text, streaming=whole is None, complete=whole is not None)
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        self.chunks.clear()
+        self.whole.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def assemble_draft_stream(events: DataFrame, delay: str = "10 minutes", idle: int = 3_600_000, ttl: int | None = None) -> DataFrame:
+    """The same of a stream, in update mode; sessions idle for so many milliseconds of event time are dropped.
+
+    With ttl, state is dropped by the clock instead: what has not been written for so many
+    milliseconds goes. The session must name STATE_STORE before the query starts.
+    """
     drafts = events.where("type like 'draft-%'").withWatermark("ts", delay)
-    return drafts.groupBy("session_id").applyInPandasWithState(
-        _fold, "session_id long, text string, streaming boolean, complete boolean", "seqs array<long>, chunks array<string>, whole string, whole_seq long", "update", GroupStateTimeout.EventTimeTimeout
-    )
+    return drafts.groupBy("session_id").transformWithState(DraftProcessor(idle, ttl), DRAFT, "Update", "eventTime" if ttl is None else "processingTime")

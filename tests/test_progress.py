@@ -3,7 +3,18 @@
 import datetime as dt
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from lectern.streaming import progress
+from lectern.streaming.current import CurrentState
+
+
+@pytest.fixture(autouse=True)
+def state_store(spark):
+    spark.conf.set(*progress.STATE_STORE)
+    yield
+    spark.conf.unset(progress.STATE_STORE[0])
 
 T0 = dt.datetime(2025, 1, 1)
 
@@ -91,6 +102,80 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     assert drafts == {r.session_id: r.asDict() for r in progress.assemble_draft(events).collect()}
 
 
+def start(spark, path, out, fold=progress.assemble_draft_stream, **options):
+    stream = progress.decode(spark.readStream.schema(progress.FRAMES).parquet(f"{path}/in"))
+    return fold(stream, **options).writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(out).start()
+
+
+def test_drafts_go_on_after_a_restart(spark, tmp_path):
+    """A query stopped amid a draft and started again from its checkpoint."""
+    events = [{"type": "draft-start"}, *({"type": "draft-chunk", "content": f"{k} " * 50} for k in range(20)), {"type": "draft-complete", "draftMarkdown": "done"}]
+    df, seen = frames(spark, *events), []
+    for first, last in ((0, 8), (8, 9), (9, 21), (21, 22)):
+        df.where(f"seq >= {first} and seq < {last}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        start(spark, tmp_path, lambda b, n: seen.extend(r.asDict() for r in b.collect())).awaitTermination()
+    want = ["".join(f"{k} " * 50 for k in range(n)) for n in (7, 8, 20)]
+    assert [r["text"] for r in seen] == [*want, "done"] and [r["complete"] for r in seen] == [False] * 3 + [True]
+
+
+def test_late_and_repeated_chunks(spark, tmp_path):
+    df, seen = frames(spark, *({"type": "draft-chunk", "content": x} for x in "abcd")), []
+    for part in (df.where("seq in (0, 3)"), df.where("seq in (1, 3)"), df.where("seq = 2")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        start(spark, tmp_path, lambda b, n: seen.extend(r.text for r in b.collect())).awaitTermination()
+    assert seen == ["ad", "abd", "abcd"]
+
+
+def test_idle_drafts_are_dropped(spark, tmp_path):
+    late = T0 + dt.timedelta(hours=5)
+    rows = [(1, 0, T0, "a"), (2, 1, late, "x"), (2, 2, late + dt.timedelta(hours=5), "y"), (1, 3, late + dt.timedelta(hours=6), "b")]
+    seen = []
+    for session, seq, ts, text in rows:
+        line = "data: " + json.dumps({"type": "draft-chunk", "content": text})
+        spark.createDataFrame([(session, seq, ts, line)], progress.FRAMES).write.mode("append").parquet(str(tmp_path / "in"))
+        start(spark, tmp_path, lambda b, n: seen.extend((r.session_id, r.text) for r in b.collect()), delay="1 minute").awaitTermination()
+    assert seen == [(1, "a"), (2, "x"), (2, "xy"), (1, "b")]  # the first had been idle when time went on; the second was still there when its next chunk came
+
+
+def test_current_state_is_idempotent(spark, tmp_path):
+    kind = "k long, name string, v long"
+    rows = lambda *r: spark.createDataFrame(list(r), kind)
+    table = CurrentState(str(tmp_path / "table"), ["k", "name"], "v", buckets=4)
+    read = lambda: sorted(map(tuple, table.read(spark, kind).collect()), key=repr)
+    assert read() == []
+    first = rows((1, "a", 1), (1, None, 2), (2, "b", 3), (2, "b", 4))
+    table.merge(first, 0)
+    assert read() == [(1, "a", 1), (1, None, 2), (2, "b", 4)]
+    table.merge(rows((9, "z", 9)), 0)  # played again: nothing changes
+    assert read() == [(1, "a", 1), (1, None, 2), (2, "b", 4)]
+    table.merge(rows((1, None, 5), (3, "c", 6)), 1)
+    want = [(1, "a", 1), (1, None, 5), (2, "b", 4), (3, "c", 6)]
+    assert read() == want
+    rows((7, "broken", 7)).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(str(tmp_path / "table/data/version=2"))  # a batch that broke off before its commit
+    assert read() == want
+    table.merge(rows((1, "a", 8)), 2)
+    assert read() == [(1, "a", 8), *want[1:]]
+    table.merge(rows(), 3)
+    table.merge(rows((1, "a", 0)), 1)
+    assert read() == [(1, "a", 8), *want[1:]]
+    for n in range(4, 8):
+        table.merge(rows((n, "n", n)), n)
+    assert len(read()) == 8 and len(list((tmp_path / "table/commits").iterdir())) == 2
+
+
+def test_current_state_of_a_stream(spark, sf_dir):
+    from lectern.plans import queries
+
+    got = {(r.session_id, r.phase): r.status for r in queries.x2_current_state(spark, sf_dir).collect()}
+    assert got == {(r.session_id, r.phase): r.status for r in queries.x2_latest_by_phase(spark, sf_dir).collect()}
+
+
+def test_document_sessions_are_counted(spark):
+    logs = [said("document-analysis", "running", "正在分析文档内容..."), said("document-analysis", "running", "文档分析完成: a.md (1/3)", "已完成 1/3 个文档分析"), said("document-analysis", "running", "文档分析失败: b.md (2/3)")]
+    at = lambda n: tuple(progress.counters(progress.decode(frames(spark, *logs[:n]))).first())[1:]
+    assert [at(n) for n in (1, 2, 3)] == [(0, 0, 0), (0, 1, 3), (0, 2, 3)]
+
+
 def test_windowed_state_is_bounded(spark, sf_dir):
     """With a gap the fold groups by session window too, so a watermark can drop it."""
     from lectern.plans.tables import table
