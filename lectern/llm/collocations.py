@@ -35,12 +35,14 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 #: A phrase goes if a longer one around it has this share of its occurrences, in hundredths.
 COVER = 100
 #: Ids by rank; tables of 2**BITS bits; pairs and words a task holds at most.
-HELD, BITS, PAIRS, WORDS = 1 << 16, 26, 1 << 21, 1 << 19
+HELD, BITS, PAIRS, WORDS = 1 << 16, 26, 1 << 20, 1 << 18
 #: Ranks of a tile's side; the tiles of ranked pairs, and as many buckets of other pairs.
 SIDE = 1024
 TILES, CELLS = (HELD // SIDE) ** 2, SIDE * SIDE
 #: Pairs from which a tile is counted densely; parts of a tile, and shares of what tasks found in one, that are added up apart.
 DENSE, PARTS, SHARES = CELLS // 16, 16, 32
+#: Entries of a packed row; bytes of text that a task turns into ids at once.
+ROW, SLICE = 16_384, 1_000_000
 _BIT, _MASK = U64(1 << 62), U64((1 << 62) - 1)
 
 _SOFT, _HARD = np.zeros(256, bool), np.zeros(256, bool)
@@ -88,7 +90,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """For each slice of the texts: bytes, starts, ends, row of the batch, piece and id of each word, and the batch."""
     for batch in batches:
         seeds = _seeds(batch.column(1))
-        for first, _, data, offs in text_slices(batch.column(0)):
+        for first, _, data, offs in text_slices(batch.column(0), SLICE):
             starts, ends, row, piece = tokens(data, offs)
             if len(starts):
                 yield data, starts, ends, row + first, piece, _word_ids(data, starts, ends, seeds[row + first]), batch
@@ -148,7 +150,7 @@ def added_pairs(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.
     return left[new], right[new], np.add.reduceat(n[order], new)
 
 
-#: One row a tile and task: cells and their counts; in a bucket, both ids and the counts.
+#: A tile's counts in a task, in rows of bounded size: cells and their counts; in a bucket, both ids and the counts.
 TILE_ROWS = "tile int, share int, part int, a binary, b binary, n binary"
 Packed = tuple[int, int, np.ndarray, np.ndarray, np.ndarray]  # tile, part, cells or left ids, right ids, counts
 
@@ -186,11 +188,12 @@ def _packed(rows: Iterator[tuple[int, Packed]]) -> Iterator[pa.RecordBatch]:
 
     for share, (tile, part, a, b, n) in rows:
         wide = a.astype(np.uint32 if tile < TILES else np.int64)
-        held.append((tile, share, part, wide.tobytes(), b.tobytes(), n.astype(np.int64).tobytes()))
-        size += 8 * len(n) + len(held[-1][3])
-        if size > 4_000_000:
-            yield out()
-            held, size = [], 0
+        for k in range(0, len(n), ROW):
+            held.append((tile, share, part, wide[k : k + ROW].tobytes(), b[k : k + ROW].tobytes(), n[k : k + ROW].astype(np.int64).tobytes()))
+            size += 8 * len(n[k : k + ROW]) + len(held[-1][3])
+            if size > 2_000_000:
+                yield out()
+                held, size = [], 0
     if held:
         yield out()
 
@@ -217,7 +220,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.
             kinds = (np.uint32 if key[0] < TILES else np.int64, np.int64, np.int64)
             held.append(tuple(np.frombuffer(batch.column(3 + c)[k].as_buffer(), kind) for c, kind in enumerate(kinds)))
             size += len(held[-1][2])
-            if size > 2 * PAIRS:
+            if size > 4 * PAIRS:
                 held = [summed()]
                 size = len(held[0][2])
     if held:
