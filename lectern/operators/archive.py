@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -76,12 +76,19 @@ def year_stats(collections: DataFrame) -> DataFrame:
     return collections.groupBy("year").agg(F.count("*").alias("issues"), F.sum("book_count").alias("books"))
 
 
-def year_index(collections: DataFrame) -> DataFrame:
-    """(year, months, sleeping_beauties, subjects): ids, months and sleeping beauties newest first, subjects by name."""
-    listed = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("collection_id")))
-    return collections.groupBy("year").agg(
-        F.sort_array(listed("month"), asc=False).alias("months"), F.sort_array(listed("sleeping_beauty"), asc=False).alias("sleeping_beauties"), F.sort_array(listed("subject")).alias("subjects")
-    )
+def year_index(collections: DataFrame, collation: str = "UNICODE") -> DataFrame:
+    """(year, months, sleeping_beauties, subjects): ids, months and sleeping beauties newest first, subjects by name.
+
+    Ids are ordered by a collation, as readers expect it of names in several scripts (``zh``
+    orders Chinese by sound); ids that it takes for equal are ordered by their bytes.
+    """
+    keyed = F.struct(F.collate("collection_id", collation).alias("k"), F.col("collection_id").alias("id"))
+
+    def listed(kind: str, newest: bool) -> Column:
+        rows = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, keyed)), asc=not newest)
+        return F.transform(rows, lambda r: r["id"])
+
+    return collections.groupBy("year").agg(listed("month", True).alias("months"), listed("sleeping_beauty", True).alias("sleeping_beauties"), listed("subject", False).alias("subjects"))
 
 
 def latest(collections: DataFrame) -> DataFrame:
@@ -121,6 +128,30 @@ def shuffle(books: DataFrame, seed: str = "shuffle") -> DataFrame:
     return books.withColumn("shuffle_key", seeded_random(F.concat_ws("-", F.lit(seed), "collection_id", "barcode")))
 
 
+#: Places of a stored shuffle in one folder.
+STRETCH = 100_000
+
+
+def store_shuffle(books: DataFrame, path: str, seed: str = "shuffle", stretch: int = STRETCH) -> None:
+    """Write books in a seeded order, place by place, so that any page can be read by itself (T5).
+
+    Books of equal keys are ordered by collection and barcode. Each range of keys is numbered by
+    itself; places lie in folders of ``stretch`` places each.
+    """
+    from lectern.sources.files import numbered
+
+    rows = shuffle(books, seed).withColumn("__order", F.struct("shuffle_key", "collection_id", "barcode"))
+    rows = numbered(rows, "__order", "place").drop("__order").withColumn("stretch", F.floor(F.col("place") / stretch))
+    rows.repartitionByRange("stretch", "place").sortWithinPartitions("place").write.partitionBy("stretch").parquet(path)
+
+
+def shuffled_page(spark: SparkSession, path: str, page: int, size: int, stretch: int = STRETCH) -> DataFrame:
+    """The books of a page, from 0 on, of a stored shuffle; only the folders of its places are read."""
+    first, end = page * size, (page + 1) * size
+    rows = spark.read.parquet(path).where(F.col("stretch").between(first // stretch, max(first, end - 1) // stretch))
+    return rows.where((F.col("place") >= first) & (F.col("place") < end)).drop("stretch").orderBy("place")
+
+
 def nav_years(collections: DataFrame, announced: DataFrame) -> DataFrame:
     """All years, existing and announced, newest first."""
     return collections.select("year").union(announced.select("year")).distinct().orderBy(F.desc("year"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,6 +41,16 @@ def valid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(~ok), rows.where(ok)
 
 
+def counted(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """(rows with a barcode, observed numbers of valid and rejected rows) in one pass.
+
+    The numbers are there once a job has read the rows whole: counts.get["rejected"].
+    """
+    counts = Observation()
+    none = F.coalesce(F.col(BARCODE).cast("string"), F.lit("")).isin("", "0")
+    return rows.observe(counts, F.count_if(~none).alias("valid"), F.count_if(none).alias("rejected")).where(~none), counts
+
+
 def project(rows: DataFrame) -> DataFrame:
     """The published fields, empty ones null, with the catalogue link."""
     have = [F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in FIELDS]
@@ -91,6 +101,18 @@ def metrics(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("reduction", F.round((1 - F.try_divide("json_after", "json_before")) * 100, 1))
 
 
+def measured(df: DataFrame, *columns: str) -> tuple[DataFrame, Observation]:
+    """df, and its rows and their JSON bytes (of the columns named) as observed by the job that reads it."""
+    size = Observation()
+    return df.observe(size, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*columns)))), F.lit(0)).alias("json")), size
+
+
+def reduction(before: Observation, after: Observation) -> dict:
+    """What metrics gives, from two observations of one job."""
+    a, b = before.get, after.get
+    return {"rows_before": a["rows"], "json_before": a["json"], "rows_after": b["rows"], "json_after": b["json"], "reduction": round((1 - b["json"] / a["json"]) * 100, 1) if a["json"] else None}
+
+
 def build(rows: DataFrame, files: DataFrame, public_base: str = "") -> DataFrame:
     """The published books of all collections at once: approved, valid, projected, with assets."""
     ok, _ = valid(approved(rows))
@@ -106,6 +128,39 @@ def heat_bands(returns: DataFrame, hot: float = 0.9, cool: float = 0.5, id_col:
     return banded.select(id_col, "n", band.alias("band")).where("band <> 'hot'")
 
 
+#: Size of a stored sketch: larger is more exact (a rank error of about 1.3 % at 200, 0.4 % at 800).
+SKETCH = 800
+
+
+def monthly_returns(returns: DataFrame, id_col: str = "barcode", at: str = "returned_at") -> DataFrame:
+    """(month, id, n): returns of each book in each month."""
+    return returns.groupBy(F.date_format(at, "yyyy-MM").alias("month"), id_col).agg(F.count("*").alias("n"))
+
+
+def heat_sketches(monthly: DataFrame, size: int = SKETCH) -> DataFrame:
+    """(month, sketch): a quantile sketch of the books' counts of each month, to be stored; a month counted later adds a row."""
+    return monthly.groupBy("month").agg(F.kll_sketch_agg_bigint("n", size).alias("sketch"))
+
+
+def heat_cuts(sketches: DataFrame, first: str, last: str, hot: float = 0.9, cool: float = 0.5) -> DataFrame:
+    """(hot, cool): the two quantiles of the monthly counts of a period, merged from its months' sketches; null for a period without any."""
+    merged = sketches.where(F.col("month").between(first, last)).agg(F.when(F.count("*") > 0, F.kll_merge_agg_bigint("sketch")).alias("s"))
+    at = lambda q: F.when(F.col("s").isNotNull(), F.kll_sketch_get_quantile_bigint("s", F.lit(q)))
+    return merged.select(at(hot).alias("hot"), at(cool).alias("cool"))
+
+
+def period_bands(monthly: DataFrame, sketches: DataFrame, first: str, last: str, hot: float = 0.9, cool: float = 0.5, id_col: str = "barcode") -> DataFrame:
+    """(id, n, band) of a period: a book's mean returns a month against the period's monthly counts.
+
+    Months without a return count as none in the mean. Hot books are left out, as in heat_bands.
+    """
+    months = F.months_between(F.to_date(F.lit(f"{last}-01")), F.to_date(F.lit(f"{first}-01"))) + 1
+    totals = monthly.where(F.col("month").between(first, last)).groupBy(id_col).agg(F.sum("n").alias("n"))
+    banded = totals.join(F.broadcast(heat_cuts(sketches, first, last, hot, cool)))  # one row
+    mean = F.col("n") / months
+    return banded.select(id_col, "n", F.when(mean > F.col("hot"), "hot").when(mean >= F.col("cool"), "normal").otherwise("cooled").alias("band")).where("band <> 'hot'")
+
+
 def class_of(call_number: Column) -> Column:
     return F.upper(F.substring(F.ltrim(call_number), 1, 1))
 

@@ -83,32 +83,38 @@ def _numbered(title: str, pos: Column) -> Column:
     return F.concat(F.lit(title), (pos + 1).cast("string"))
 
 
+def _nesting(body: Column) -> Column:
+    """How deep arrays nest in a JSON text, strings left out; never more than it names Topics, and one."""
+    brackets = F.regexp_replace(F.regexp_replace(body, r'"(\\.|[^"\\])*"', ""), r"[^\[\]]", "")
+    step = lambda s, c: F.struct((s["now"] + F.when(c == "[", 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c == "[", 1).otherwise(-1)).alias("most"))
+    deepest = F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"])
+    return F.least(deepest, F.regexp_count(body, F.lit('"Topics"')) + 1)
+
+
 def flatten_topics(responses: DataFrame, k: int) -> DataFrame:
     """(request_id, pos, title, url, snippet): the first k leaves of nested Topics, related ones before results.
 
-    responses: (request_id, body: JSON with RelatedTopics and Results). Each level of nesting
-    is one step, until no body has another; a topic whose Topics is no array is a leaf.
+    responses: (request_id, body: JSON with RelatedTopics and Results). One aggregate finds how
+    deep topics nest, while this is called; then each row passes once through as many steps, in
+    which topics give way to what they hold and leaves stay. A topic whose Topics is no array is a leaf.
     """
-    v = responses.withColumn("v", F.try_parse_json("body"))
-
-    def listed(name: str, rank: int) -> DataFrame:
-        part = _exploded(v.select("request_id", F.try_variant_get("v", f"$.{name}", "variant").alias("list")), "list")
-        return part.select("request_id", F.array(F.lit(rank), F.col("pos").cast("int")).alias("path"), F.col("value").alias("item"))
-
-    inner = F.try_variant_get("item", "$.Topics", "variant")
-    nested = F.coalesce(F.schema_of_variant(inner).startswith("ARRAY"), F.lit(False))
-    level, leaves = listed("RelatedTopics", 0), None
-    while True:
-        here = level.where(~nested)
-        leaves = here if leaves is None else leaves.unionByName(here)
-        below = level.where(nested)
-        if below.isEmpty():
-            break
-        level = _exploded(below.select("request_id", "path", inner.alias("list")), "list").select("request_id", F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), F.col("value").alias("item"))
-    related = leaves.select("request_id", "path", F.coalesce(_said("Text"), _said("FirstURL"), F.lit(TOPIC)).alias("title"), F.coalesce(_said("FirstURL"), F.lit(TOPIC_URL)).alias("url"), F.coalesce(_said("Result"), _said("Text"), F.lit(NO_SNIPPET)).alias("snippet"))
-    results = listed("Results", 1).select("request_id", "path", F.coalesce(_said("Text"), _numbered(TOPIC_TITLE, F.col("path")[1])).alias("title"), F.coalesce(_said("FirstURL"), F.lit(TOPIC_URL)).alias("url"), F.coalesce(_said("Result"), F.lit(NO_SNIPPET)).alias("snippet"))
+    depth = responses.agg(F.max(_nesting(F.col("body")))).first()[0] or 0
+    v = responses.select("request_id", F.try_parse_json("body").alias("v")).where("v is not null")
+    listed = lambda name: F.coalesce(F.try_variant_get("v", f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
+    ranked = lambda name, rank: F.transform(listed(name), lambda x, i: F.struct(F.array(F.lit(rank), i).alias("path"), x.alias("item")))
+    rows = v.select("request_id", F.explode(F.concat(ranked("RelatedTopics", 0), ranked("Results", 1))).alias("e")).select("request_id", "e.*")
+    inner = F.try_variant_get("item", "$.Topics", "array<variant>")
+    nested = F.coalesce(F.schema_of_variant(F.try_variant_get("item", "$.Topics", "variant")).startswith("ARRAY"), F.lit(False)) & (F.col("path")[0] == 0)
+    for _ in range(depth - 1):
+        rows = rows.select("request_id", "path", F.posexplode(F.when(nested, inner).otherwise(F.array("item"))).alias("pos", "item"))
+        rows = rows.select("request_id", F.concat("path", F.array("pos")).alias("path"), "item")
+    related = F.col("path")[0] == 0
+    rows = rows.where(~nested).select(
+        "request_id", "path", F.coalesce(_said("Text"), F.when(related, F.coalesce(_said("FirstURL"), F.lit(TOPIC))), _numbered(TOPIC_TITLE, F.col("path")[1])).alias("title"),
+        F.coalesce(_said("FirstURL"), F.lit(TOPIC_URL)).alias("url"), F.coalesce(_said("Result"), F.when(related, _said("Text")), F.lit(NO_SNIPPET)).alias("snippet"),
+    )
     first = W.partitionBy("request_id").orderBy("path")
-    return related.unionByName(results).withColumn("pos", F.row_number().over(first) - 1).where(F.col("pos") < k).select("request_id", "pos", "title", "url", "snippet")
+    return rows.withColumn("pos", F.row_number().over(first) - 1).where(F.col("pos") < k).select("request_id", "pos", "title", "url", "snippet")
 
 
 def parse_tool_items(items: DataFrame) -> DataFrame:

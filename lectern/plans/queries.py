@@ -170,9 +170,10 @@ def p1_approved(spark, sf_dir):
 
 @query("select coalesce(barcode, '') in ('', '0') as rejected, count(*) as n from curation where pass = '通过' group by 1", "curation")
 def p2_valid(spark, sf_dir):
-    ok, bad = curation.valid(curation.approved(sheet(spark, sf_dir)))
-    both = ok.select(F.lit(False).alias("rejected")).union(bad.select(F.lit(True)))
-    return both.groupBy("rejected").agg(F.count("*").alias("n"))
+    """The numbers observed while the valid rows are written."""
+    ok, counts = curation.counted(curation.approved(sheet(spark, sf_dir)))
+    ok.write.parquet(files.scratch(spark, "valid"))
+    return spark.createDataFrame([(False, counts.get["valid"]), (True, counts.get["rejected"])], "rejected boolean, n long").where("n > 0")
 
 
 @query(f"select collection_path, barcode, nullif(title, '') as title, nullif(call_number, '') as call_number, case when trim(call_number) <> '' then {LINKED} end as link, isbn from curation where {VALID}", "curation")
@@ -211,8 +212,11 @@ JSON_SIZE = lambda cols: "sum(2 + greatest(0, " + " + ".join(f"coalesce({len(c)
 @query(f"""select rows_before, json_before, rows_after, json_after, round((1 - json_after / json_before) * 100, 1) as reduction from
     (select count(*) rows_before, {JSON_SIZE(["barcode", "title", "author"])} json_before from curation), (select count(*) rows_after, {JSON_SIZE(["barcode", "title"])} json_after from curation where pass = '通过')""", "curation")
 def a12_build_metrics(spark, sf_dir):
-    rows = table(spark, sf_dir, "curation")
-    return curation.metrics(rows.select("barcode", "title", "author"), rows.where("pass = '通过'").select("barcode", "title"))
+    """Both sizes observed by the one job that writes the published rows."""
+    rows, before = curation.measured(table(spark, sf_dir, "curation").select("pass", "barcode", "title", "author"), "barcode", "title", "author")
+    kept, after = curation.measured(rows.where("pass = '通过'"), "barcode", "title")
+    kept.write.parquet(files.scratch(spark, "published"))
+    return spark.createDataFrame([curation.reduction(before, after)], "rows_before long, json_before long, rows_after long, json_after long, reduction double")
 
 
 @query("select collection_path, barcode, nullif(title, '') as title, pass from curation".replace("barcode,", "nullif(barcode, '') as barcode,"), "curation")
@@ -239,6 +243,15 @@ def c1_heat_bands(spark, sf_dir):
     return curation.heat_bands(table(spark, sf_dir, "returns"))
 
 
+@query()
+def c1_period_bands(spark, sf_dir):
+    """Bands of half a year of returns, its cuts merged from the months' stored sketches; close to exact, so without SQL."""
+    monthly = curation.monthly_returns(given(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("barcode"), F.col("l_shipdate").alias("returned_at")))
+    monthly = files.written(monthly, "monthly-returns")
+    sketches = files.written(curation.heat_sketches(monthly), "heat-sketches")
+    return curation.period_bands(monthly, sketches, "1996-01", "1996-06")
+
+
 CLASS = "upper(substr(ltrim(call_number), 1, 1))"
 
 
@@ -366,6 +379,14 @@ def t5_shuffle(spark, sf_dir):
     return out.select("collection_id", "barcode", F.round("shuffle_key", 6).alias("shuffle_key"))
 
 
+@query(f"""select collection_id, barcode, place from (select *, row_number() over (order by {FRACTION(chr(39) + 'shuffle-' + chr(39) + ' || collection_id || ' + chr(39) + '-' + chr(39) + ' || barcode')}, collection_id, barcode) - 1 as place from books) where place >= 150 and place < 200""", "books")
+def t5_page(spark, sf_dir):
+    """The fourth page of fifty of a stored shuffle."""
+    path = files.scratch(spark, "shuffle")
+    archive.store_shuffle(table(spark, sf_dir, "books"), path, stretch=1000)
+    return archive.shuffled_page(spark, path, 3, 50, 1000).select("collection_id", "barcode", "place")
+
+
 @query("select collection_id as source_id, barcode from books", "books")
 def u1_all_books(spark, sf_dir):
     books = archive.with_identity(table(spark, sf_dir, "books"))

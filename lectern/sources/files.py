@@ -73,6 +73,30 @@ def read_companions(spark: SparkSession, root: str, pattern: str = "*.md") -> Da
     return files.select(_identity(path).alias("collection_id"), F.regexp_extract(path, r"([^/]+)$", 1).alias("file_name"), F.col("value").alias("content")).where("collection_id is not null")
 
 
+def listed_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, size, modified) of all files below root, by their paths from there; no content is read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    full = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    return files.select(F.substring("path", len(full) + 2, 1 << 20).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def asset_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(collection_path, path, size, modified) of the source files of books: {collection_path}/{barcode}/…, as K2 and K3 take them.
+
+    path starts with the book's folder; files of its pic/ folder belong to it too. Files that stand in no book's folder are left out.
+    """
+    parts = r"^(.+)/([^/]+/(?:pic/)?[^/]+)$"
+    cut = lambda k: F.regexp_extract("path", r"^(.+?)/([^/]+/pic/[^/]+|[^/]+/[^/]+)$", k)
+    files = listed_files(spark, root, pattern).where(F.col("path").rlike(parts))
+    return files.select(cut(1).alias("collection_path"), cut(2).alias("path"), "size", "modified")
+
+
+def font_files(spark: SparkSession, root: str, pattern: str = "*.{ttf,otf,woff,woff2}") -> DataFrame:
+    """(filename, size, modified) of the font files in a folder, as K6 and K7 take them."""
+    return listed_files(spark, root, pattern).withColumnRenamed("path", "filename").where(~F.col("filename").contains("/"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

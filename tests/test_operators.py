@@ -206,3 +206,87 @@ def test_search_equals_brute_force_with_ties(spark):
             score = np.round(vectors @ vectors[q] / np.where(norm > 0, norm, 1) / norm[q], 9)
             best = sorted((-s, k) for k, s in enumerate(score) if norm[k] > 0)[:5]
             assert [got[q, p] for p in range(5)] == [k for _, k in best]
+
+
+def test_failed_searches_have_their_row(spark):
+    row = "request_id long, pos int, title string, url string, snippet string, engine string"
+    first = spark.createDataFrame([(1, 0, "a", "u", "s", "jina")], row)
+    second = spark.createDataFrame([(1, 0, "b", "u", "s", "duckduckgo"), (2, 0, "c", "u", "s", "duckduckgo")], row)
+    queries = spark.createDataFrame([(1, "q1", True, False), (2, "q2", True, True), (3, "q3", False, False), (4, "q4", True, False), (5, "q5", True, True), (6, "q6", None, None)], "request_id long, query string, failed boolean, broken boolean")
+    out = {r.request_id: r for r in research.fallback_union(first, second, queries).collect()}
+    assert sorted(out) == [1, 2, 4, 5] and (out[1].title, out[2].title) == ("a", "c")  # two engines that find nothing leave nothing
+    assert (out[4].title, out[4].url, out[4].snippet, out[4].engine) == ("网络连接问题", "https://duckduckgo.com", '无法连接到外部搜索服务。关于"q4"的搜索暂时不可用，请检查网络连接或稍后重试。', "duckduckgo")
+    assert (out[5].title, out[5].url, out[5].snippet) == ("搜索服务暂时不可用", "", '无法完成对"q5"的搜索，请稍后重试。')
+
+
+def test_combined_length_is_that_of_the_text(spark):
+    parts = spark.createDataFrame([(1, 2, " bb ", None, 3), (1, 0, "a", None, 1), (1, 1, None, "failed", None), (1, 3, "   ", None, 0), (2, 0, None, None, 0)], "request_id long, pos int, analysis string, error string, n_snippets int")
+    out = {r.request_id: (r.text, r.chars, r.snippets) for r in research.combine(parts).collect()}
+    assert out == {1: ("a\n\n---\n\nfailed\n\n---\n\nbb", 9, 4), 2: ("", 0, 0)}
+
+
+def test_listed_folders_feed_the_asset_joins(spark, tmp_path):
+    for name in ("2025/2025-01/b1/b1.png", "2025/2025-01/b1/b1-S.png", "2025/2025-01/b1/pic/cover.jpg", "2025/subject/新 书/b 2/b 2.png", "2025/metadata.json", "top.txt", "2025/2025-01/b3/notes.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * 5)
+    found = files.asset_files(spark, str(tmp_path))
+    assert "content" not in found.columns and {r.size for r in found.collect()} == {5}
+    assert {(r.collection_path, r.path) for r in found.collect()} == {("2025/2025-01", "b1/b1.png"), ("2025/2025-01", "b1/b1-S.png"), ("2025/2025-01", "b1/pic/cover.jpg"), ("2025/subject/新 书", "b 2/b 2.png"), ("2025/2025-01", "b3/notes.md")}
+    records = {r.barcode: r for r in curation.asset_records(found, "http://cdn").collect()}
+    assert records["b1"].cardImageUrl == "http://cdn/content/2025/2025-01/b1/b1.png" and records["b1"].coverImageUrl.endswith("b1/pic/cover.jpg") and records["b 2"].originalImageUrl
+    books = spark.createDataFrame([("2025/2025-01", b) for b in ("b1", "b3", "b9")], "collection_path string, `书目条码` string")
+    assert [r["书目条码"] for r in curation.missing_assets(books, found).collect()] == ["b9"]
+    fonts = tmp_path / "fonts"
+    fonts.mkdir()
+    for name in ("a.ttf", "b.otf", "c.txt"):
+        (fonts / name).write_bytes(b"y")
+    scan, done = files.font_files(spark, str(fonts)), spark.createDataFrame([("a.ttf",), ("gone.otf",)], "filename string")
+    assert [r.filename for r in manifest.new_items(scan, done).collect()] == ["b.otf"] and [r.filename for r in manifest.still_present(done, scan).collect()] == ["a.ttf"]
+
+
+def test_counts_are_observed_in_one_pass(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "a"), ("0", "b"), ("", None), (None, "d"), ("5", None)], "`书目条码` string, title string")
+    ok, counts = curation.counted(rows)
+    sized, before = curation.measured(ok, "书目条码", "title")
+    kept, after = curation.measured(sized.where("title is not null"), "title")
+    kept.write.parquet(str(tmp_path / "out"))
+    assert counts.get == {"valid": 2, "rejected": 3}
+    assert curation.reduction(before, after) == {"rows_before": 2, "json_before": 36, "rows_after": 1, "json_after": 13, "reduction": 63.9}
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+
+
+def test_bands_of_a_period_from_stored_sketches(spark):
+    rows = spark.range(60_000).select((F.col("id") % 3000).alias("barcode"), F.expr("date_add(date'2025-01-01', cast(pow(id % 3000, 2) * (id div 3000 + 1) % 181 as int))").alias("returned_at"))
+    rows = rows.unionByName(rows.where("barcode % 7 < 3")).unionByName(rows.where("barcode % 11 = 0"))
+    monthly = curation.monthly_returns(rows).cache()
+    sketches = curation.heat_sketches(monthly)
+    assert sketches.count() == 6
+    for first, last in (("2025-02", "2025-02"), ("2025-01", "2025-06")):
+        n = sorted(r.n for r in monthly.where(F.col("month").between(first, last)).collect())
+        cut = curation.heat_cuts(sketches, first, last).first()
+        for q, value in ((0.9, cut.hot), (0.5, cut.cool)):
+            below, upto = sum(x < value for x in n) / len(n), sum(x <= value for x in n) / len(n)
+            assert below - 0.02 <= q <= upto + 0.02
+    bands = {r.barcode: r for r in curation.period_bands(monthly, sketches, "2025-01", "2025-06").collect()}
+    assert {r.band for r in bands.values()} == {"normal", "cooled"} and len(bands) < 3000
+    assert curation.heat_cuts(sketches, "2030-01", "2030-02").first().hot is None
+
+
+def test_names_in_order_of_their_readers(spark):
+    ids = ["2025-subject-" + n for n in ("b", "A", "a", "B", "é", "张", "李", "阿")]
+    rows = spark.createDataFrame([(i, "2025", "subject") for i in ids], "collection_id string, year string, kind string")
+    names = lambda c: [x[13:] for x in archive.year_index(rows, c).first().subjects]
+    assert names("UNICODE")[:5] == ["a", "A", "b", "B", "é"]
+    assert names("zh")[:3] == ["阿", "李", "张"]  # by sound, before Latin names
+    assert archive.year_index(rows).schema["subjects"].dataType.simpleString() == "array<string>"
+
+
+def test_pages_of_a_shuffle(spark, tmp_path):
+    books = spark.range(1000).select(F.lit("2025-01").alias("collection_id"), F.col("id").cast("string").alias("barcode"))
+    archive.store_shuffle(books, str(tmp_path / "s"), stretch=100)
+    pages = [archive.shuffled_page(spark, str(tmp_path / "s"), k, 70, 100) for k in range(16)]
+    got = [r.barcode for p in pages for r in p.collect()]
+    want = [r.barcode for r in archive.shuffle(books).orderBy("shuffle_key", "collection_id", "barcode").collect()]
+    assert got == want and len(got) == 1000
+    plan = pages[3]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(stretch" in plan and "(stretch" in plan.split("PartitionFilters")[1].split("]")[0]  # the folder of places 210 to 279 only
