@@ -9,8 +9,10 @@ the contiguous region of the highest total; the region widens to the innermost c
 around it, or, where that is the whole page, to the page's parts that it touches. All text of
 it is returned, block by block, without the furniture inside.
 
-No name can veto the page itself: ``main`` is never furniture, and where the names leave less
-than ``LEAST`` of the words, the largest element they took away is given back.
+No name can veto the page itself. ``main`` is never furniture, nor is a form around an article.
+Elements that a name took away are weighed once, largest first: one that only the prior took is
+given back if it has ``MORE`` times the words left beside it, one that the labelled pages speak
+against, that names readers' remarks, or that is a form, if next to nothing (``LEAST``) is left.
 
 Defined cases: a null page counts as empty; a page without words gives an empty text; unclosed
 and stray tags, quotes and comments are tolerated, in linear time and memory whatever the
@@ -26,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 from html import unescape
 from math import log
 
@@ -36,12 +39,13 @@ from pyspark.sql import types as T
 
 #: Pages that the weights are fitted on, and the longest taken.
 SAMPLE, SAMPLE_BYTES = 500, 100_000
-#: Share of a page's words that names must leave; words of a name seen before it has a weight.
-LEAST, SEEN = 0.05, 20
+#: Share of a page's words that names must leave, times the words left that the prior may take at most; words of a name seen before it has a weight.
+LEAST, MORE, SEEN = 0.05, 3, 20
 
-RAW = frozenset("script style template noscript iframe svg textarea select object math".split())
+RAW = frozenset("script style template noscript iframe svg textarea select object annotation annotation-xml".split())
 CONTAINERS = frozenset("article main section div td body html head nav header footer aside form".split())
-NEVER = frozenset("head nav footer aside form button dialog menu".split())
+NEVER = frozenset("head nav footer aside button dialog menu".split())
+READERS = frozenset("comment comments reply replies respond disqus".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr th caption blockquote pre br hr figure figcaption address title fieldset legend option details summary button dialog menu".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 #: The prior: names of furniture, names of place and form that say nothing, and words that turn a name into a remark on the page.
@@ -50,8 +54,7 @@ NEUTRAL = frozenset("left right top bottom inner outer box list item items block
 REMARK = frozenset("has no with without is show hide js layout".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_NAMED = re.compile(r"(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _STOP = re.compile(r"[\"'>]")
 
 
@@ -64,13 +67,29 @@ class Weights:
     linked: float = 0.2  #: of a word in a link
 
 
+def attributes(rest: str) -> tuple[list[str], bool]:
+    """The class, id and role of a tag, lower-cased, and whether it is hidden: by the attribute of that name, to readers, or by its own style."""
+    named, hidden = [], False
+    for m in _ATTRIBUTE.finditer(rest):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name in ("class", "id", "role"):
+            named.append(value)
+        elif name == "hidden" or (name == "aria-hidden" and value.strip() == "true"):
+            hidden = True
+        elif name == "style":
+            rules = (rule.partition(":") for rule in value.split(";"))
+            hidden = hidden or any(k.strip() == "display" and v.split()[:1] == ["none"] for k, _, v in rules)
+    return named, hidden
+
+
 class Page:
     """A page as runs (text, tag, node, new block, in a link) over a tree of its containers in the order they open."""
 
     def __init__(self, html: str):
         self.runs: list[tuple[str, str, int, bool, bool]] = []
         self.tag, self.parent, self.names, self.hidden, self.last = [""], [0], [[]], [False], [0]
-        stack, open_now = [0], Counter()
+        stack, boxes = [0], [0]  # open nodes, and the places of containers among them
+        places: dict[str, list[int]] = {}  # of open nodes by tag
         block, link = True, False
         for kind, name, rest in tokens(html):
             if kind == "text":
@@ -81,22 +100,22 @@ class Page:
             self.runs.append(("", name, stack[-1], block, link))
             link = name == "a" and kind == "open" if name == "a" or name in CONTAINERS else link
             if kind == "close":
-                if open_now[name]:
-                    at = len(stack) - 1
-                    while self.tag[stack[at]] != name and (name in CONTAINERS or self.tag[stack[at]] not in CONTAINERS):
-                        at -= 1
-                    if self.tag[stack[at]] == name:
-                        for node in stack[at:]:
-                            self.last[node] = len(self.tag) - 1
-                            open_now[self.tag[node]] -= 1
-                        del stack[at:]
+                at = places[name][-1] if places.get(name) else -1
+                if at > 0 and (name in CONTAINERS or at > boxes[-1]):
+                    for node in stack[at:]:
+                        self.last[node] = len(self.tag) - 1
+                        places[self.tag[node]].pop()
+                    del stack[at:]
+                    while boxes[-1] >= at:
+                        boxes.pop()
             elif name not in VOID and not rest.endswith("/"):
-                named = ["".join(x).lower() for x in _NAMED.findall(rest)] if "=" in rest else []
+                named, hidden = attributes(rest) if rest and not rest.isspace() else ([], False)
                 names = [[w for w in re.split(r"[^a-z0-9]+", one) if w] for x in named for one in x.split()]
-                hidden = bool(rest and _HIDDEN.search(rest))
                 if name in CONTAINERS or names or hidden or name in NEVER:
+                    places.setdefault(name, []).append(len(stack))
+                    if name in CONTAINERS:
+                        boxes.append(len(stack))
                     stack.append(len(self.tag))
-                    open_now[name] += 1
                     for column, value in ((self.tag, name), (self.parent, stack[-2]), (self.names, names), (self.hidden, hidden), (self.last, 0)):
                         column.append(value)
         for node in stack:
@@ -119,20 +138,41 @@ class Page:
         for k in range(n - 1, 0, -1):
             words[self.parent[k]] += words[k]
         article = self.inside(frozenset(("article", "main")))
+        around = [False] * n  # of each node, whether an article stands in it
+        for k in range(n - 1, 0, -1):
+            around[self.parent[k]] |= around[k] or self.tag[k] in ("article", "main")
         fixed = [t in NEVER or h or (t == "header" and not article[self.parent[k]]) for k, (t, h) in enumerate(zip(self.tag, self.hidden))]
-        by_name = [t not in ("html", "body", "main") and any(named_so(x, weights) for x in names) for t, names in zip(self.tag, self.names)]
-        while True:
-            out, left, taken = [False] * n, words[0], None
-            for k in range(1, n):
-                above = out[self.parent[k]]
-                out[k] = above or fixed[k] or by_name[k]
-                if out[k] and not above:
-                    left -= words[k]
-                    if by_name[k] and not fixed[k] and (taken is None or words[k] > words[taken]):
-                        taken = k
-            if taken is None or left > LEAST * words[0] or not words[taken]:
-                return out
-            by_name[taken] = False
+        doubt = [0.0] * n  # of nodes that a name takes: the words left, in units of its own, up to which it is given back
+        for k in range(1, n):
+            if self.tag[k] == "form":
+                doubt[k] = 0.0 if around[k] else LEAST / (1 - LEAST)
+            if self.tag[k] not in ("html", "body", "main"):
+                for one in self.names[k]:
+                    if named_so(one, weights):
+                        sure = any(w in READERS or w in weights.names for w in one)
+                        given = LEAST / (1 - LEAST) if sure else 1 / MORE
+                        doubt[k] = min(doubt[k], given) if doubt[k] else given
+        taken = [fixed[k] or doubt[k] > 0 for k in range(n)]
+        above, below, own = [0] * n, {}, words[:]  # the nearest node around that is taken, those right below each, words outside of them
+        for k in range(1, n):
+            p = self.parent[k]
+            above[k] = p if taken[p] else above[p]
+            if taken[k]:
+                below.setdefault(above[k], []).append(k)
+                own[above[k]] -= words[k]
+        left, rank = own[0], [(-words[k], k) for k in below.get(0, ()) if not fixed[k]]
+        heapify(rank)
+        while rank:
+            _, k = heappop(rank)
+            if words[k] and left <= doubt[k] * words[k]:
+                taken[k], left = False, left + own[k]
+                for x in below.get(k, ()):
+                    if not fixed[x]:
+                        heappush(rank, (-words[x], x))
+        out = [False] * n
+        for k in range(1, n):
+            out[k] = out[self.parent[k]] or taken[k]
+        return out
 
 
 def named_so(words: list[str], weights: Weights) -> bool:
