@@ -9,8 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from lectern.sources.files import scratch
+from lectern.sources.files import numbered, scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text handled at once inside a task; a longer document is handled alone.
@@ -45,9 +46,38 @@ def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names), called
 
 
-def as_id(name: str) -> Column:
-    """A column as an id: a whole number, null where it is none."""
-    return F.col(name).try_cast("long")
+def with_number(df: DataFrame, name: str) -> tuple[DataFrame, Column, DataFrame | None]:
+    """df, a whole number for each id in column name, and the table (own, number) that names the ids again.
+
+    Whole numbers stand for themselves (then df is as it was and there is no table). Ids of any
+    other type, such as texts and fractions, are numbered in their order, so that smaller ids
+    have smaller numbers; df gets a column ``number``. Null ids have no number.
+    """
+    if isinstance(df.schema[name].dataType, IntegralType):
+        return df, F.col(name).cast("long"), None
+    own = numbered(df.select(F.col(name).alias("own")).where("own is not null").distinct(), "own", "number")
+    own = materialize(own.select("own", "number"), "ids")
+    return df.join(own.select(F.col("own").alias("__own"), "number"), F.col(name) == F.col("__own"), "left").drop("__own"), F.col("number"), own
+
+
+def own_ids(df: DataFrame, own: DataFrame | None, *columns: str) -> DataFrame:
+    """df with the ids themselves in place of their numbers in these columns."""
+    if own is None:
+        return df
+    order = df.columns
+    for k, c in enumerate(columns):
+        df = df.join(own.select(F.col("number").alias(c), F.col("own").alias(f"__own{k}")), c, "left").drop(c).withColumnRenamed(f"__own{k}", c)
+    return df.select(*order)
+
+
+def same_ids(a: DataFrame, x: str, b: DataFrame, y: str) -> tuple[Column, Column]:
+    """Column x of a and column y of b as ids that can be compared: whole numbers if both are, else as they are or as texts."""
+    kinds = a.schema[x].dataType, b.schema[y].dataType
+    if all(isinstance(k, IntegralType) for k in kinds):
+        return F.col(x).cast("long"), F.col(y).cast("long")
+    if kinds[0] == kinds[1]:
+        return F.col(x), F.col(y)
+    return F.col(x).cast("string"), F.col(y).cast("string")
 
 
 def as_text(name: str) -> Column:

@@ -12,8 +12,8 @@ Defined cases: null texts count as empty and match nothing; whole texts are sear
 long; items shorter than ``PER_EDIT`` may not differ and count where they stand as whole words;
 items without text or id are left out; items of equal text are all reported; of several places
 the one of least distance is reported, of equal ones the first; repeated document rows are each
-reported and each judged by their own text, with or without an id (null where it is no whole
-number); empty tables give no matches; ``decontaminate`` keeps all columns whatever their names,
+reported and each judged by their own text, with or without an id, of any
+type; items without one are left out; empty tables give no matches; ``decontaminate`` keeps all columns whatever their names,
 ``matches`` ignores other columns.
 """
 
@@ -28,19 +28,21 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lectern.llm.common import as_id, as_text, shielded
+from lectern.llm.common import as_text, shielded
 
 PER_EDIT, BLOCK_CHARS = 20, 1_000_000
 
-MATCHES = "doc_id long, item_id long, distance int, budget int, start int, end int"
+FOUND = "distance int, budget int, start int, end int"
 
 
 def normalise(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def pieces(item: str, per_edit: int = PER_EDIT) -> list[tuple[int, str]]:
+def pieces(item: str, per_edit: int = PER_EDIT) -> list[tuple[object, str]]:
     """(offset, piece): the item cut into error budget plus one pieces, as even as can be."""
     n = len(item) // per_edit + 1
     cuts = [len(item) * k // n for k in range(n + 1)]
@@ -85,7 +87,7 @@ def whole_words(text: str, a: int, b: int) -> bool:
 class Matcher:
     """The pieces of one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], per_edit: int):
+    def __init__(self, items: list[tuple[object, str]], per_edit: int):
         self.per_edit = per_edit
         self.items = [(i, t, len(t) // per_edit) for i, t in items]
         self.found: ahocorasick.Automaton | None = ahocorasick.Automaton()
@@ -133,10 +135,10 @@ class Matcher:
                 yield item, best[0], budget, best[1], best[2]
 
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
     """The items (id, normalised text), about block_chars characters at a time, by a hash of their id."""
     plain, called = shielded(benchmark)
-    items = plain.select(as_id(called["item_id"]).alias("item_id"), as_text(called["text"]).alias("text")).where("text is not null and item_id is not null")
+    items = plain.select(F.col(called["item_id"]).alias("item_id"), as_text(called["text"]).alias("text")).where("text is not null and item_id is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = -(-chars // block_chars) or 1
     for k in range(parts):
@@ -155,7 +157,7 @@ def _matcher(shared) -> Matcher:
 class _Block:
     """A broadcast block with a name of its own: BLOCK_CHARS characters at most, but for one longer item."""
 
-    def __init__(self, docs: DataFrame, items: list[tuple[int, str]], per_edit: int):
+    def __init__(self, docs: DataFrame, items: list[tuple[object, str]], per_edit: int):
         self.id, self.sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((items, per_edit))
 
     @property
@@ -166,17 +168,19 @@ class _Block:
 _kept: dict[str, Matcher] = {}
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], per_edit: int) -> DataFrame:
+def _search(docs: DataFrame, items: list[tuple[object, str]], per_edit: int, item: T.DataType) -> DataFrame:
     shared = _Block(docs, items, per_edit)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", item), *T.StructType.fromDDL(FOUND).fields])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(shared)
         for batch in batches:
             out = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)) if text.is_valid for m in matcher.matches(normalise(text.as_py()))]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 2 + [pa.int32()] * 4)], ["doc_id", "item_id", "distance", "budget", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], schema.names)
 
-    return docs.mapInArrow(run, MATCHES)
+    return docs.mapInArrow(run, schema)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -186,8 +190,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_EDIT, blo
     normalised text.
     """
     plain, called = shielded(docs)
-    texts = plain.select(as_id(called["doc_id"]).alias("doc_id"), as_text(called["text"]).alias("text"))
-    return reduce(DataFrame.union, [_search(texts, items, per_edit) for items in blocks(benchmark, block_chars)])
+    texts = plain.select(F.col(called["doc_id"]).alias("doc_id"), as_text(called["text"]).alias("text"))
+    item = benchmark.schema["item_id"].dataType
+    return reduce(DataFrame.union, [_search(texts, items, per_edit, item) for items in blocks(benchmark, block_chars)])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -20,8 +20,7 @@ broadcast; histories that occur in one block only are worked out there. What is
 columns, one row for each block and partition.
 
 Defined cases: a null text counts as empty, that is one end token; whole texts are scored,
-however long; rows of one doc_id are scored each, rows whose id is null or no whole number are
-left out; a null training flag counts as false; an empty table gives an empty result; without
+however long; rows of one doc_id are scored each, with ids of any type or none; a null training flag counts as false; an empty table gives an empty result; without
 training documents all tokens are unknown and both scores 0; other columns are ignored,
 whatever their names.
 """
@@ -39,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_id, as_text, mix64, span_hashes, text_slices, token_spans
+from lectern.llm.common import as_text, mix64, own_ids, span_hashes, text_slices, token_spans, with_number
 from lectern.sources.files import discard, scratch
 
 ORDER, K, ABOVE = 3, 5, 0.5
@@ -456,6 +455,8 @@ def _settled(blocks: DataFrame, answers: DataFrame, finish, label: str, old: lis
     return reduce(DataFrame.union, [read(spark, p) for p in paths]), paths
 
 
+#: Stands for a null id while texts are scored.
+NO_ID = -(1 << 63)
 RESULT = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -465,8 +466,15 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     The model learns from the rows where train holds; base_score is the add-one unigram's.
     hot_at: tokens beyond which a history counts as frequent.
     """
+    docs = docs.select(F.col(id_col).alias("own"), F.coalesce(train, F.lit(False)).alias("train"), as_text(text_col).alias("text"))
+    docs, number, own = with_number(docs, "own")
+    out = _scored(docs.select(F.coalesce(number, F.lit(NO_ID)).alias("doc_id"), "train", "text"), order, hot_at)
+    return own_ids(out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))), own, "doc_id")
+
+
+def _scored(docs: DataFrame, order: int, hot_at: int | None) -> DataFrame:
+    """The same of (doc_id: long, train, text)."""
     spark = docs.sparkSession
-    docs = docs.select(as_id(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), as_text(text_col).alias("text")).where("doc_id is not null")
     path = scratch(spark, "katz-blocks")
     _write(_blocks(docs), path)
     blocks, old = _read(spark, path), [path]

@@ -13,8 +13,8 @@ the same line stands at an earlier place, so one copy of everything stays.
 
 Defined cases: lines are compared without outer white space; blank lines take no part, and go
 only between two lines of one deleted run; a null text stays null; a text of deleted lines only
-becomes empty; whole texts are read, however long; rows whose doc_id is null or no whole number
-stay as they are; rows that share a doc_id are judged alike, none a copy of another; an empty
+becomes empty; whole texts are read, however long; rows whose doc_id is null
+stay as they are; ids are of any type with an order; rows that share a doc_id are judged alike, none a copy of another; an empty
 table gives an empty result; all columns are kept, whatever their names (n_lines, n_removed and
 n_spans are replaced if counts are asked for).
 """
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_id, as_text, materialize, shielded
+from lectern.llm.common import as_text, materialize, shielded, with_number
 
 GRAM_WORDS, WINDOW_WORDS = 8, 24
 
@@ -134,7 +134,8 @@ def dedup(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WIN
     """docs without repeated runs of lines; counts adds n_lines, n_removed and n_spans."""
     numbers = ["n_lines", "n_removed", "n_spans"] if counts else []
     plain, called = shielded(docs.select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c not in numbers]))
-    doc_id, text = as_id(called["doc_id"]), as_text(called["text"])
+    columns, text = plain.columns, as_text(called["text"])
+    plain, doc_id, _ = with_number(plain, called["doc_id"])
     runs = repeated_runs(plain.select(doc_id.alias("doc_id"), text.alias("text")), gram_words, window_words)
     runs = runs.select("doc_id", "version", F.expr("flatten(transform(runs, r -> array(r.a, r.b)))").alias("runs"))
     joined = plain.withColumns({"id": doc_id, "hash": F.xxhash64(text)}).join(runs, (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("version")), "left")
@@ -154,6 +155,6 @@ def dedup(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WIN
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed", "n_spans"])
 
     done = joined.withColumn("cut", cut(text, "runs"))
-    cols = [F.col("cut.text") if c == called["text"] else F.col(c) for c in plain.columns]
+    cols = [F.col("cut.text") if c == called["text"] else F.col(c) for c in columns]
     names = [c for c in docs.columns if c not in numbers]
     return done.select(*cols, *[F.col(f"cut.{c}") for c in numbers]).toDF(*names, *numbers)

@@ -10,9 +10,9 @@ radius. A cell returns a spanning forest of its links, never the pairs.
 Defined cases: a null text counts as empty; no words give fingerprint zero, linked like any
 other; fewer words than a shingle give one shingle of all words; whole texts are read, however
 long; equal fingerprints are one tree node, so copies cost nothing; a bit that is set in just
-half the shingles is 0; an empty table gives an empty result; rows whose id is null or no whole
-number have no links: ``fingerprints``, ``near_duplicates`` and ``similar_groups`` leave them
-out, ``keep_one`` keeps them, and keeps all columns whatever their names; the others ignore
+half the shingles is 0; an empty table gives an empty result; ids are of any type with an order;
+rows whose id is null link nothing: ``near_duplicates`` gives them the class of their fingerprint
+if another row has one, ``similar_groups`` leaves them out, ``keep_one`` keeps them, and keeps all columns whatever their names; the others ignore
 further columns.
 """
 
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_id, as_text, connected_components, materialize, mix64, shielded, text_slices
+from lectern.llm.common import as_text, connected_components, materialize, mix64, own_ids, shielded, text_slices, with_number
 
 #: Fingerprints in a shard's tree, and in the block of queries that meets it.
 SHARD = 8192
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[:, k]) for k in range(tables))], ["id", *names])
 
     plain, called = shielded(docs)
-    rows = plain.select(as_id(called[id_col]).alias("id"), as_text(called[text_col]).alias("text")).where("id is not null")
+    rows = plain.select(F.col(called[id_col]).cast("long").alias("id"), as_text(called[text_col]).alias("text"))
     return rows.mapInArrow(run, ", ".join(["id long", *(f"{n} long" for n in names)]))
 
 
@@ -274,11 +274,14 @@ def links(nodes: DataFrame, radius: int = 4, shard: int = SHARD, join=_forest, s
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id): component_id is the smallest id that links reach, itself included."""
-    prints = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    nodes = prints.groupBy("fingerprint").agg(F.min("id").alias("id"))
+    plain, called = shielded(docs)
+    plain, number, own = with_number(plain, called[id_col])
+    prints = materialize(fingerprints(plain.select(number.alias("id"), as_text(called[text_col]).alias("text")), shingle, "id", "text"), "simhash")
+    nodes = prints.where("id is not null").groupBy("fingerprint").agg(F.min("id").alias("id"))
     found = connected_components(links(nodes, radius, size=prints.count()), "simhash-links").withColumnRenamed("node", "first")
     classes = nodes.withColumnRenamed("id", "first").join(found, "first", "left")
-    return prints.join(classes, "fingerprint").select("id", "fingerprint", F.coalesce("component", "first").alias("component_id"))
+    out = prints.join(classes, "fingerprint", "left").select("id", "fingerprint", F.coalesce("component", "first").alias("component_id"))
+    return own_ids(out, own, "id", "component_id")
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -307,7 +310,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, simi
     one id are one document.
     """
     plain, called = shielded(docs)
-    base = plain.select(as_id(called[id_col]).alias("id"), as_text(called[text_col]).alias("text")).where("id is not null")
+    plain, number, own = with_number(plain, called[id_col])
+    base = plain.select(number.alias("id"), as_text(called[text_col]).alias("text")).where("id is not null")
     versions = base.groupBy("id").agg(F.min(F.xxhash64("text")).alias("version"))
     prints = fingerprints(base, shingle, "id", tables=tables).groupBy("id").agg(F.min(F.struct(*[f"fingerprint_{k}" for k in range(tables)])).alias("p"))
     prints = materialize(prints.join(versions, "id").select("id", "version", "p.*"), "simhash")
@@ -325,13 +329,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, simi
     common = F.size(F.array_intersect("x", "y"))
     held = both.where(((F.size("x") == 0) & (F.size("y") == 0)) | (common >= similarity * (F.size("x") + F.size("y") - common)))
     verified = copies.union(held.select("a", "b"))
-    return connected_components(verified, "near-duplicates").select(F.col("node").alias("id"), F.col("component").alias("group_id"))
+    return own_ids(connected_components(verified, "near-duplicates").select(F.col("node").alias("id"), F.col("component").alias("group_id")), own, "id", "group_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
     """docs with only the smallest doc_id of each group of near duplicates; rows without an id stay."""
     plain, called = shielded(docs)
-    doc_id = as_id(called["doc_id"])
+    columns = plain.columns
+    plain, doc_id, _ = with_number(plain, called["doc_id"])
     groups = similar_groups(plain.select(doc_id.alias("id"), as_text(called["text"]).alias("text")), shingle, radius, similarity, tables, "id")
     gone = groups.where("id <> group_id").select("id")
-    return plain.join(gone, doc_id == F.col("id"), "left_anti").toDF(*docs.columns)
+    return plain.join(gone, doc_id == F.col("id"), "left_anti").select(*columns).toDF(*docs.columns)

@@ -17,8 +17,8 @@ one by one, by the hash of the whole window, in a join that Spark splits.
 
 Defined cases: a null text counts as empty; whole texts are read, however long; matches never
 cross documents; bytes are those of UTF-8; of equal strings the first place stays, and rows that
-share a doc_id are judged as one document; rows whose id is null or no whole number are neither
-copies nor originals and come back with a null id; an empty table gives an empty result; other
+share a doc_id are judged as one document; rows whose id is null are neither
+copies nor originals; ids are of any type with an order; an empty table gives an empty result; other
 columns are ignored, whatever their names.
 """
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import U64, as_id, as_text, gram_hashes, materialize, shielded, span_hasher, text_slices
+from lectern.llm.common import U64, as_text, gram_hashes, materialize, shielded, span_hasher, text_slices, with_number
 
 LENGTH, GRAM = 100, 32
 PART_BYTES, BLOCK_BYTES = 8_000_000, 12_000_000
@@ -301,10 +301,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_segment
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept: binary) of each row of docs."""
     plain, called = shielded(docs)
-    base = plain.select(as_id(called["doc_id"]).alias("doc_id"), F.coalesce(as_text(called["text"]), F.lit("")).alias("text")).withColumn("version", F.hash("text"))
+    plain, number, _ = with_number(plain, called["doc_id"])
+    kind = plain.schema[called["doc_id"]].dataType.simpleString()
+    base = plain.select(number.alias("doc_id"), F.col(called["doc_id"]).alias("own"), F.coalesce(as_text(called["text"]), F.lit("")).alias("text")).withColumn("version", F.hash("text"))
     gone = repeats(base.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "version", "text"), length, gram, hot_segments)
     gone = gone.groupBy("doc", "version").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
-    joined = base.join(gone.withColumnsRenamed({"doc": "doc_id"}), ["doc_id", "version"], "left").select("doc_id", "text", F.col("gone.start").alias("starts"), F.col("gone.size").alias("sizes"))
+    joined = base.join(gone.withColumnsRenamed({"doc": "doc_id"}), ["doc_id", "version"], "left").select("own", "text", F.col("gone.start").alias("starts"), F.col("gone.size").alias("sizes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,6 +324,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_segments:
                 out.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
             cols = list(zip(*out)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

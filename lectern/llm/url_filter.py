@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_id, as_text, ascii_lower, materialize, shielded
+from lectern.llm.common import as_text, ascii_lower, materialize, same_ids, shielded
 
 #: (verdict, rule): a host, then the start of a path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -111,7 +111,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, least: fl
     plain, called = shielded(pages)
     url = as_text(called["url"])
     said, of = shielded(outcomes)
-    known = reputations(plain.select(as_id(called["page_id"]).alias("page_id"), url.alias("url")), said.select(as_id(of["page_id"]).alias("page_id"), F.col(of["good"]).alias("good")), suffixes)
+    own, theirs = same_ids(plain, called["page_id"], said, of["page_id"])
+    known = reputations(plain.select(own.alias("page_id"), url.alias("url")), said.select(theirs.alias("page_id"), F.col(of["good"]).alias("good")), suffixes)
     rows = plain.withColumns({"host": host_of(url), "path": path_of(url)})
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     out = rows.join(known, "host").withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("posterior_bound") >= least, "allow").otherwise("block"))})
