@@ -46,7 +46,7 @@ BLOCK_TOKENS, PART_TOKENS = 400_000, 1_500_000
 #: A history is frequent with more than one in HOT of all tokens, and a sixth of a partition.
 HOT = 20_000
 #: Shares in which blocks are joined with their answers, and partitions asked, of orders above two.
-TURNS, ROUNDS = 4, 2
+TURNS, ROUNDS = 4, 3
 END = np.uint64(0xE0D)
 
 ASKED = "part long, block long, payload binary"
@@ -87,6 +87,36 @@ def tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield out, np.repeat(np.arange(first, last), n + 1)
 
 
+def numbered(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of a column, the first place of each, and each row's number among them."""
+    if not len(a):
+        return a, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(a)
+    rising = a[order]
+    new = np.concatenate([[True], rising[1:] != rising[:-1]])
+    at, back = np.flatnonzero(new), np.empty(len(a), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return rising[at], np.minimum.reduceat(order, at), back
+
+
+def ranks(a: np.ndarray) -> np.ndarray:
+    """Of each value of a column of different ones, how many are smaller."""
+    out = np.empty(len(a), np.int64)
+    out[np.argsort(a)] = np.arange(len(a))
+    return out
+
+
+def sorted_by(*keys: np.ndarray) -> np.ndarray:
+    """The order of rows by whole columns from zero on, the first one first; by one sort if a row's values fit 63 bits."""
+    bits = [int(k.max(initial=0)).bit_length() for k in keys]
+    if sum(bits) > 63:
+        return np.lexsort(keys[::-1])
+    code = keys[0].astype(np.int64)
+    for k, b in zip(keys[1:], bits[1:]):
+        code = code << b | k.astype(np.int64)
+    return np.argsort(code)
+
+
 def discounted(n: list[int]) -> np.ndarray:
     """r* of the counts 1 to K, from n[r], how many types have count r, for r = 1 to K + 1."""
     r = np.arange(1, K + 1)
@@ -147,7 +177,7 @@ class Block:
         for k in range(2, order + 1):
             at = np.flatnonzero(self.place >= k - 2)
             past = np.where(self.place[at] == 0, self.words, self.tok[at - 1]) if k == 2 else self.number[k - 1][at - 1]
-            code, first, back = np.unique(past * (self.words + 1) + self.tok[at], return_index=True, return_inverse=True)
+            code, first, back = numbered(past * (self.words + 1) + self.tok[at])
             self.history[k], self.word[k] = np.divmod(code, self.words + 1)
             self.first[k] = at[first]
             self.number[k] = np.full(len(self.tok), -1)
@@ -187,7 +217,8 @@ class Block:
         h = mix64(out.history.astype(np.uint64))
         p = (np.where(out.hot[history], mix64(h ^ mix64(out.of_word.astype(np.uint64))), h) % np.uint64(parts)).astype(np.int64)
         sent = np.flatnonzero(~out.local[history])
-        out.order = sent[np.lexsort((out.of_word[sent], out.history[sent], p[sent]))]
+        # histories and words of the block have different ids, so their ranks sort as these do
+        out.order = sent[sorted_by(p[sent], ranks(ids)[history[sent]], ranks(self.known[1][2].astype(np.int64))[word[sent]])]
         out.cuts = np.searchsorted(p[out.order], np.arange(parts + 1))
         return out
 
@@ -293,27 +324,27 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table({k: pa.array(c, t) for k, c, t in zip(("kind", "key", "payload", "n", "s"), zip(*rows) if rows else [()] * 5, kinds)})
 
 
-def _ask(blocks: DataFrame, ask) -> DataFrame:
-    """ASKED rows of each block by ask(payload): pairs (partition, payload); partition None is the block's own counts of counts."""
+def _ask(blocks: DataFrame, ask, wanted) -> DataFrame:
+    """ASKED rows of each block by ask(payload, wanted): pairs (partition, payload) of the partitions wanted; partition None is the block's own counts of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column("key").to_pylist(), batch.column("payload")):
-                for p, x in ask(unpack(payload.as_py())):
+                for p, x in ask(unpack(payload.as_py()), wanted):
                     yield pa.RecordBatch.from_arrays([pa.array([-1 - block if p is None else p]), pa.array([block]), pa.array([x], pa.binary())], ["part", "block", "payload"])
 
     return blocks.select("key", "payload").mapInArrow(run, ASKED)
 
 
 def _ask_words(parts: int):
-    def ask(columns: list[np.ndarray]):
+    def ask(columns: list[np.ndarray], wanted):
         *columns, words = columns
         block = Block(columns)
         train, every = block.own_counts(1)
         p = (mix64(words) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(p, kind="stable")
         cuts = np.searchsorted(p[order], np.arange(parts + 1))
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
+        for k in filter(wanted, np.flatnonzero(np.diff(cuts)).tolist()):
             mine = order[cuts[k] : cuts[k + 1]]
             yield k, pack(words[mine], train[mine].astype(np.uint64), every[mine].astype(np.uint64))
 
@@ -341,11 +372,12 @@ def _answer_words(parts: int):
 
 
 def _ask_grams(k: int, model: Model, parts: int, last: bool):
-    def ask(columns: list[np.ndarray]):
+    def ask(columns: list[np.ndarray], wanted):
         block = Block(columns)
         r = block.request(k, model, parts)
-        yield None, pack(np.array(counts_of_counts(r.train[r.local[block.history[k]]])))
-        for p in np.flatnonzero(np.diff(r.cuts)).tolist():
+        if wanted(0):  # once, whatever the rounds
+            yield None, pack(np.array(counts_of_counts(r.train[r.local[block.history[k]]])))
+        for p in filter(wanted, np.flatnonzero(np.diff(r.cuts)).tolist()):
             mine = r.order[r.cuts[p] : r.cuts[p + 1]]
             first = np.flatnonzero(np.diff(block.history[k][mine], prepend=-1))
             h = block.history[k][mine[first]]
@@ -367,7 +399,7 @@ def _answer_grams(k: int, model: Model, parts: int, last: bool):
         sizes = [x[1].astype(np.int64) for x in loads]
         history = np.concatenate([np.repeat(np.cumsum(x[0]).astype(np.int64), n) for x, n in zip(loads, sizes)])
         word = np.concatenate([x[4] for x in loads]).astype(np.int64)
-        order = np.lexsort((word, history))
+        order = sorted_by(history, word)
         new = np.concatenate([[True], (np.diff(history[order]) != 0) | (np.diff(word[order]) != 0)])
         back = np.empty(len(order), np.int64)
         back[order] = np.cumsum(new) - 1
@@ -405,9 +437,9 @@ def _exchange(blocks: DataFrame, ask, answer, parts: int, label: str, rounds: in
     """The answers to all blocks, with the tables that stay, written by kind; one share of the partitions a round, so that less is shuffled at once."""
     spark, paths = blocks.sparkSession, []
     for turn in range(rounds):
-        mine = lambda columns, turn=turn: (x for x in ask(columns) if (x[0] or 0) % rounds == turn)
+        wanted = lambda p, turn=turn: p % rounds == turn
         paths.append(scratch(spark, label))
-        _write(_ask(blocks, mine).repartition(parts, "part").groupBy("part").applyInArrow(answer, MADE), paths[-1])
+        _write(_ask(blocks, ask, wanted).repartition(parts, "part").groupBy("part").applyInArrow(answer, MADE), paths[-1])
     return reduce(DataFrame.union, [_read(spark, p) for p in paths]), [f"{p}/kind=r" for p in paths]
 
 

@@ -1,8 +1,6 @@
 """What every operator does with odd columns, ids and tables."""
 
 
-
-
 import pytest
 from pyspark.sql import functions as F
 
