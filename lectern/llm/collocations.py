@@ -40,7 +40,7 @@ HELD, BITS, PAIRS, WORDS = 1 << 16, 26, 1 << 20, 1 << 18
 SIDE = 1024
 TILES, CELLS = (HELD // SIDE) ** 2, SIDE * SIDE
 #: Pairs from which a tile is counted densely; parts of a tile, and shares of what tasks found in one, that are added up apart.
-DENSE, PARTS, SHARES = CELLS // 16, 16, 32
+DENSE, PARTS, SHARES = CELLS // 16, 4, 16
 #: Entries of a packed row; bytes of text that a task turns into ids at once.
 ROW, SLICE = 16_384, 1_000_000
 _BIT, _MASK = U64(1 << 62), U64((1 << 62) - 1)
