@@ -166,9 +166,9 @@ def system_prompt(base: Col, background: Col, results: Col, draft: Col) -> Colum
 
 
 def size_text(size: Col) -> Column:
-    """Bytes, KB or MB with two decimals at most."""
+    """Bytes, KB or MB with two decimals at most; null from a GB on, for which the units have no name."""
     x = _c(size).cast("double")
     k = F.floor(F.log(x) / F.log(F.lit(1024.0))).cast("int")
     value = F.floor(x / F.pow(F.lit(1024.0), k) * 100 + 0.5) / 100
-    unit = F.element_at(F.array(F.lit("Bytes"), F.lit("KB"), F.lit("MB")), F.least(k + 1, F.lit(3)))
-    return F.when(x == 0, "0 Bytes").otherwise(F.concat_ws(" ", number_text(value), unit))
+    unit = F.get(F.array(F.lit("Bytes"), F.lit("KB"), F.lit("MB")), k)
+    return F.when(x == 0, "0 Bytes").otherwise(F.concat(number_text(value), F.lit(" "), unit))

@@ -79,3 +79,8 @@ def test_code_fences(spark, raw, strip, whole):
 def test_size_text(spark, size, want):
     got = one(spark, size, X.size_text("x"), kind="long")[0]
     assert got == want or size == 3 * 1024**3  # beyond MB the unit stays MB
+
+
+def test_size_text_has_no_unit_beyond_mb(spark):
+    assert one(spark, 1024**3, X.size_text("x"), kind="long")[0] is None
+    assert one(spark, 1024**3 - 1, X.size_text("x"), kind="long")[0] == "1024 MB"
