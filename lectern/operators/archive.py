@@ -128,27 +128,36 @@ def shuffle(books: DataFrame, seed: str = "shuffle") -> DataFrame:
     return books.withColumn("shuffle_key", seeded_random(F.concat_ws("-", F.lit(seed), "collection_id", "barcode")))
 
 
-#: Places of a stored shuffle in one folder.
-STRETCH = 100_000
+#: Places of a stored shuffle in one folder, and folders at most: of a larger one a folder holds several stretches.
+STRETCH, FOLDERS = 100_000, 1000
 
 
 def store_shuffle(books: DataFrame, path: str, seed: str = "shuffle", stretch: int = STRETCH) -> None:
     """Write books in a seeded order, place by place, so that any page can be read by itself (T5).
 
     Books of equal keys are ordered by collection and barcode. Each range of keys is numbered by
-    itself; places lie in folders of ``stretch`` places each.
+    itself; places lie in folders of ``stretch`` places each, or of twice, four times … as many if
+    there were more than FOLDERS of them. A folder is called by its first stretch.
     """
     from lectern.sources.files import numbered
 
     rows = shuffle(books, seed).withColumn("__order", F.struct("shuffle_key", "collection_id", "barcode"))
-    rows = numbered(rows, "__order", "place").drop("__order").withColumn("stretch", F.floor(F.col("place") / stretch))
-    rows.repartitionByRange("stretch", "place").sortWithinPartitions("place").write.partitionBy("stretch").parquet(path)
+    rows = numbered(rows, "__order", "place").drop("__order")
+    folders, fold = -(-rows.count() // stretch), 1
+    while folders > FOLDERS * fold:
+        fold *= 2
+    rows = rows.withColumn("stretch", F.floor(F.col("place") / (stretch * fold)) * fold)  # a range's places lie together in one task
+    rows.sortWithinPartitions("stretch", "place").write.partitionBy("stretch").parquet(path)
 
 
 def shuffled_page(spark: SparkSession, path: str, page: int, size: int, stretch: int = STRETCH) -> DataFrame:
     """The books of a page, from 0 on, of a stored shuffle; only the folders of its places are read."""
     first, end = page * size, (page + 1) * size
-    rows = spark.read.parquet(path).where(F.col("stretch").between(first // stretch, max(first, end - 1) // stretch))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)]
+    fold = min((n for n in (int(x.split("=")[1]) for x in names if x.startswith("stretch=")) if n), default=1)  # the second folder's first stretch
+    of = lambda place: place // (stretch * fold) * fold
+    rows = spark.read.parquet(path).where(F.col("stretch").between(of(first), of(max(first, end - 1))))
     return rows.where((F.col("place") >= first) & (F.col("place") < end)).drop("stretch").orderBy("place")
 
 

@@ -290,3 +290,14 @@ def test_pages_of_a_shuffle(spark, tmp_path):
     assert got == want and len(got) == 1000
     plan = pages[3]._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(stretch" in plan and "(stretch" in plan.split("PartitionFilters")[1].split("]")[0]  # the folder of places 210 to 279 only
+
+
+def test_a_large_shuffle_has_few_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archive, "FOLDERS", 5)
+    books = spark.range(1000).select(F.lit("2025-01").alias("collection_id"), F.col("id").cast("string").alias("barcode"))
+    archive.store_shuffle(books, str(tmp_path / "s"), stretch=10)
+    assert sorted(int(f.name[8:]) for f in (tmp_path / "s").glob("stretch=*")) == [0, 32, 64, 96]
+    pages = [archive.shuffled_page(spark, str(tmp_path / "s"), k, 70, 10) for k in range(16)]
+    got = [r.barcode for p in pages for r in p.collect()]
+    want = [r.barcode for r in archive.shuffle(books).orderBy("shuffle_key", "collection_id", "barcode").collect()]
+    assert got == want and len(got) == 1000
