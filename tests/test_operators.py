@@ -301,3 +301,10 @@ def test_a_large_shuffle_has_few_folders(spark, tmp_path, monkeypatch):
     got = [r.barcode for p in pages for r in p.collect()]
     want = [r.barcode for r in archive.shuffle(books).orderBy("shuffle_key", "collection_id", "barcode").collect()]
     assert got == want and len(got) == 1000
+
+
+def test_written_collections_are_small(spark, tmp_path):
+    books = spark.range(5000).select(F.lit("2025-08").alias("collection_id"), F.col("id").cast("int").alias("pos"), F.col("id").cast("string").alias("barcode"))
+    files.write_collections(books, str(tmp_path))
+    assert sum(f.stat().st_size for f in tmp_path.rglob("part-*")) < 5000 * 10  # a plain line has 50 bytes and more
+    assert files.read_written(spark, str(tmp_path)).selectExpr("count(*)", "sum(pos)").first()[:] == (5000, 12_497_500)
