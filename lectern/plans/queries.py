@@ -864,10 +864,11 @@ def a14_ratio(spark, sf_dir):
 def _streamed(spark: SparkSession, sf_dir: str, fold, keys: list[str]) -> DataFrame:
     """The frames written as files, read as a stream in several batches, folded, and merged into a table of the current state."""
     root = files.scratch(spark, "frames")
-    table(spark, sf_dir, "frames").select("session_id", "seq", "ts", "line").repartition(4).write.parquet(f"{root}/in")
+    half = max(2, spark.sparkContext.defaultParallelism)  # files of a batch, so that all cores have work
+    table(spark, sf_dir, "frames").select("session_id", "seq", "ts", "line").repartition(2 * half).write.parquet(f"{root}/in")
     own = spark.newSession()  # so that the state store is named for this stream only
     own.conf.set(*progress.STATE_STORE)
-    out = fold(progress.decode(own.readStream.schema(progress.FRAMES).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")))
+    out = fold(progress.decode(own.readStream.schema(progress.FRAMES).option("maxFilesPerTrigger", half).parquet(f"{root}/in")))
     state = CurrentState(f"{root}/current", keys)
     out.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(state.merge).start().awaitTermination()
     return state.read(spark, out.schema)

@@ -183,3 +183,45 @@ def test_windowed_state_is_bounded(spark, sf_dir):
     events = progress.decode(table(spark, sf_dir, "frames"))
     out = progress.latest_by_phase(events, gap="1 hour")
     assert "session" in out.columns and out.count() >= progress.latest_by_phase(events).count()
+
+
+def test_a_draft_sets_one_timer_and_reads_nothing_of_a_new_session():
+    from datetime import datetime, timezone
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    calls = []
+
+    class State:
+        value = None
+
+        def __init__(self, name):
+            self.name, self.rows = name, []
+
+        def get(self):
+            calls.append(f"{self.name}.get")
+            return self.value if self.name != "chunks" else iter(self.rows)
+
+        def update(self, row):
+            self.value = tuple(row)
+
+        def appendList(self, rows):
+            self.rows += [tuple(r) for r in rows]
+
+        def clear(self):
+            self.value, self.rows = None, []
+
+    timers = []
+    handle = SimpleNamespace(getListState=lambda name, *_: State(name), getValueState=lambda name, *_: State(name), registerTimer=timers.append)
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    chunk = lambda s, text: Row(type="draft-chunk", seq=s, content=text, ts=datetime.fromtimestamp(s, timezone.utc))
+    draft = progress.DraftProcessor(1000, None)
+    draft.init(handle)
+    assert [r.text for r in draft.handleInputRows((1,), iter([chunk(2, "b"), chunk(1, "a")]), clock)] == ["ab"]
+    assert calls == ["latest.get"] and timers == [3000]
+    assert [r.text for r in draft.handleInputRows((1,), iter([chunk(5, "c")]), clock)] == ["abc"] and timers == [3000]
+    list(draft.handleExpiredTimer((1,), clock, SimpleNamespace(getExpiryTimeInMs=lambda: 3000)))
+    assert timers == [3000, 6000] and draft.chunks.rows
+    list(draft.handleExpiredTimer((1,), clock, SimpleNamespace(getExpiryTimeInMs=lambda: 6000)))
+    assert not draft.chunks.rows and draft.latest.value is None
