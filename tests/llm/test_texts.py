@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -164,6 +165,39 @@ def test_near_duplicate_groups_are_verified(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [0, 2, 4, 6]
 
 
+@pytest.mark.parametrize("few", [1, 8])
+def test_no_candidate_link_is_lost_among_look_alikes(spark, few, monkeypatch):
+    """Families of look-alikes, most of them unlike enough: groups are what all verified candidates connect."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    rng = random.Random(7)
+    texts = []
+    for family in range(4):
+        common = [f"f{family}c{k}" for k in range(60)]
+        for a in range(12):
+            own = [f"f{family}a{a}w{k}" for k in range(14)]
+            for b in range(3):
+                texts.append(" ".join(["x"] * 150 * (family % 2) + common + own + [f"f{family}a{a}b{b}w{k}" for k in range(3 + 2 * b)]))
+    rng.shuffle(texts)
+    prints = [[int(x) for x in row] for row in simhash._fingerprint(pa.array(texts), 5, simhash.TABLES)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            near = any((x ^ y).bit_count() <= simhash.RADIUS for x, y in zip(prints[a], prints[b]))
+            if near and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    want = {k: root(k) for k in range(len(texts)) if sum(root(j) == root(k) for j in range(len(texts))) > 1}
+    assert len(set(want.values())) > 1
+    assert {r.id: r.group_id for r in simhash.similar_groups(docs_of(spark, texts)).collect()} == want
+
+
 # Suffix dedup
 
 
