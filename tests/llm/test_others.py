@@ -193,6 +193,15 @@ def test_a_stamp_on_every_picture_hides_no_copy(spark):
     assert sum(out[10 * k + 1].class_id == out[10 * k].class_id for k in range(40)) >= 36
 
 
+def test_every_pair_of_copies_is_a_link(spark):
+    """More copies of a picture than a descriptor was once compared with, beside others."""
+    base = images.picture(3)
+    rows = [(k, bytearray(images.to_pgm(base * (0.7 + 0.01 * k) + k))) for k in range(24)]
+    rows += [(100 + k, bytearray(images.to_pgm(images.picture(50 + k)))) for k in range(6)]
+    out = {r.image_id: r for r in images.copies(spark.createDataFrame(rows, "image_id long, media binary")).collect()}
+    assert {i: (r.class_id, r.n_links) for i, r in out.items()} == {i: (0, 23) if i < 24 else (i, 0) for i in out}
+
+
 def test_pictures_from_vectors(spark, sf_dir):
     df = images.from_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(8))
     got = df.collect()

@@ -165,6 +165,17 @@ def test_near_duplicate_groups_are_verified(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [0, 2, 4, 6]
 
 
+@pytest.mark.parametrize("shard, size", [(8192, 0), (7, 0), (7, 5000)])
+def test_all_pairs_of_unlike_classes(spark, shard, size):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 12, dtype=np.int64)
+    values = base[rng.integers(0, 12, 200)] ^ (np.int64(1) << rng.integers(0, 63, 200)) ^ (np.int64(1) << rng.integers(0, 63, 200))
+    of = rng.integers(0, 5, 200)
+    nodes = spark.createDataFrame([(k, int(v), int(c)) for k, (v, c) in enumerate(zip(values, of))], "id long, fingerprint long, class long")
+    want = sorted((a, b) for a in range(200) for b in range(a) if of[a] != of[b] and int(values[a] ^ values[b]).bit_count() <= 3)
+    assert sorted(map(tuple, simhash.unlike(nodes, None, 3, shard, size).collect())) == want
+
+
 @pytest.mark.parametrize("few", [1, 8])
 def test_no_candidate_link_is_lost_among_look_alikes(spark, few, monkeypatch):
     """Families of look-alikes, most of them unlike enough: groups are what all verified candidates connect."""
