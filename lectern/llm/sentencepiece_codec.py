@@ -34,6 +34,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,8 @@ from lectern.llm.common import as_text, materialize, shielded
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, FAN, CACHE, WIDE, AHEAD = 32_768, 256, 60_000, 24, 32
+#: Ids and bytes handled at once, so that a task's memory does not grow with its texts.
+ROWS, BYTES, IDS = 300, 1_000_000, 250_000
 
 SPACE, LITERAL = "▁", "\udc81"  # a lone surrogate is in no text
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -293,7 +296,7 @@ class Lattice:
         best, back = self.forward(body[:first], init, first)
         return [self.pieces(body[:first], back, first)[1] if best[first] > NONE else 0] * n
 
-    def traced(self, body: str, ahead: str, init: list[float], exits: list[int]) -> list[tuple[list[int], int]]:
+    def traced(self, body: str, ahead: str, init: list[float], exits: list[int]) -> list[tuple[list[int] | array, int]]:
         """(ids of the pieces that start in the chunk, entry state) for each exit state that a path reaches."""
         first, last = self.cuts(body)
         if first < 0:
@@ -303,7 +306,7 @@ class Lattice:
         head_text = body[:first]
         best, back = self.forward(head_text, init, first)
         head, entry = self.pieces(head_text, back, first) if best[first] > NONE else ([], 0)
-        middle: list[int] = []
+        middle = array("i", head)
         words = WORD.findall(body[first:last])
         self.learn(set(words))
         for w in words:
@@ -315,7 +318,7 @@ class Lattice:
         for b in exits:
             end = len(body) - last + b
             tail = self.pieces(tail_text, back, end)[0] if end <= len(tail_text) and best[end] > NONE else []
-            out.append((head + middle + tail, entry))
+            out.append((middle + array("i", tail), entry))
         return out
 
 
@@ -436,10 +439,11 @@ def _encode_giants(giants: DataFrame, shared, chunk: int, n: int) -> DataFrame:
 
     def ids(batches):
         for batch in batches:
-            lattice, out = _lattice(shared), []
-            for t, state, end in zip(texts(batch, lattice), batch.column("state").to_pylist(), batch.column("end").to_pylist()):
-                out.append(lattice.traced(*t, np.frombuffer(state).tolist(), [int(np.frombuffer(end, np.int64)[0])])[0][0])
-            yield keyed(batch, out, pa.list_(pa.int32()), "ids")
+            for a in range(0, batch.num_rows, AHEAD):
+                part, lattice, out = batch.slice(a, AHEAD), _lattice(shared), []
+                for t, state, end in zip(texts(part, lattice), part.column("state").to_pylist(), part.column("end").to_pylist()):
+                    out.append(np.array(lattice.traced(*t, np.frombuffer(state).tolist(), [int(np.frombuffer(end, np.int64)[0])])[0][0], np.int32))
+                yield keyed(part, out, pa.list_(pa.int32()), "ids")
 
     key = ["doc", "version", "k"]
     starts = _scan(materialize(chunks.mapInArrow(matrices, "doc long, version long, k long, m binary"), "matrices"), True, n).drop("m")
@@ -466,8 +470,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, verify:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 300):
-                part = batch.slice(a, 300)
+            for a, b in runs(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), ROWS, BYTES):
+                part = batch.slice(a, b - a)
                 texts = part.column("text").to_pylist()
                 ids, offs = _lattice(shared).encode([t or "" for t in texts])
                 null = pa.array([t is None for t in texts]) if None in texts else None
@@ -488,13 +492,26 @@ def encode(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, verify:
     return short.unionByName(long.select(*[f"c{k}" for k in kept], *names)).toDF(*[docs.columns[k] for k in kept], *names)
 
 
+def runs(sizes: np.ndarray, rows: int, most: int) -> Iterator[tuple[int, int]]:
+    """First and last of neighbouring rows, at most so many and of sizes up to most together; a larger one is alone."""
+    total, first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), 0
+    while first < len(sizes):
+        last = min(first + rows, max(first + 1, int(np.searchsorted(total, total[first] + most, "right")) - 1))
+        yield first, last
+        first = last
+
+
 def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, offs: np.ndarray) -> list[bytes]:
     """The bytes of each row of ids."""
     flat, starts = vocabulary.table
-    sizes = np.diff(starts)[ids]
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    raw = flat[np.repeat(starts[ids] - total[:-1], sizes) + np.arange(total[-1])].tobytes()
-    at = total[offs].tolist()
+    parts, ends = [], [np.zeros(1, np.int64)]
+    for a in range(0, len(ids), IDS):
+        part = ids[a : a + IDS]
+        sizes = np.diff(starts)[part]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        parts.append(flat[np.repeat(starts[part] - total[:-1], sizes) + np.arange(total[-1])].tobytes())
+        ends.append(ends[-1][-1] + total[1:])
+    raw, at = b"".join(parts), np.concatenate(ends)[offs].tolist()
     return [raw[a + 1 : b] for a, b in zip(at, at[1:])]  # without the space in front
 
 
@@ -507,12 +524,12 @@ def decode(coded: DataFrame, path: str = VOCABULARY, out_col: str = "decoded") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 100):
-                part = batch.slice(a, 100)
+            for a, b in runs(pc.fill_null(pc.list_value_length(batch.column(called["ids"])), 0).to_numpy(zero_copy_only=False), 100, IDS):
+                part = batch.slice(a, b - a)
                 col = part.column(called["ids"])
                 lists = [None if not x.is_valid else x.values.to_numpy(zero_copy_only=False) for x in col]
                 sizes = [0 if x is None else len(x) for x in lists]
-                flat = np.concatenate([np.zeros(0, np.int64), *(x for x in lists if x is not None)]).astype(np.int64)
+                flat = np.concatenate([np.zeros(0, np.int32), *(x for x in lists if x is not None)]).astype(np.int32)
                 raw = decode_ids(shared.value, flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
                 texts = [None if x is None else r.decode("utf-8", "replace") for x, r in zip(lists, raw)]
                 yield pa.RecordBatch.from_arrays([*(part.column(f"c{k}") for k in kept), pa.array(texts, pa.string())], [*(f"c{k}" for k in kept), "decoded"])

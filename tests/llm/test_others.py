@@ -330,3 +330,24 @@ def test_pipeline(spark, sf_dir):
     assert docs.where("n_chars <> length(text)").count() == 0
     out = __spark_entry__.queries()["pipeline"](spark, sf_dir)
     assert out.count() == counts[-1] and out.where("not exact").count() == 0
+
+
+def test_memory_does_not_grow_with_texts(vocabulary):
+    """Ids are decoded a block at a time, a chunk's ids take four bytes each, and long texts share a slice with few others."""
+    import tracemalloc
+
+    from lectern.llm.sentencepiece_codec import IDS, Lattice, decode_ids, runs
+
+    text = "the quick brown fox  jumps over lazy dogs é漢 " * 50
+    ids, offs = Lattice(vocabulary).encode([text])
+    times = 8 * IDS // len(ids)
+    many = np.tile(ids, times)
+    tracemalloc.start()
+    got = decode_ids(vocabulary, many, np.array([0, len(ids), len(many)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == text.encode() and got[1] == (" ".join([text] * (times - 1))).encode()
+    assert peak < 40 * len(many), peak / len(many)
+    traced = Lattice(vocabulary).traced(text.replace(" ", "▁"), "", [0.0], [0])[0][0]
+    assert memoryview(traced).itemsize == 4
+    assert list(runs(np.array([1, 1, 5, 1, 1, 1, 0, 0]), 3, 3)) == [(0, 2), (2, 3), (3, 6), (6, 8)] and not list(runs(np.zeros(0), 3, 3))
