@@ -193,12 +193,12 @@ def not_published(books: DataFrame, history: DataFrame) -> DataFrame:
     return books.join(history.select("barcode").distinct(), "barcode", "left_anti")
 
 
-def staged_top(books: DataFrame, stages: tuple = STAGES, order: tuple = ("rating", "barcode")) -> DataFrame:
-    """What every stage's cut leaves: the best rated of each group, ties to the smaller barcode."""
+def staged_top(books: DataFrame, stages: tuple = STAGES, order: tuple = ("rating", "barcode", "theme")) -> DataFrame:
+    """What every stage's cut leaves: the best rated of each group, ties to the smaller barcode, then theme."""
     for by, n in stages:
-        best = W.partitionBy(*by).orderBy(F.desc(order[0]), order[1])
+        best = W.partitionBy(*by).orderBy(F.desc(order[0]), *order[1:])
         if not by:  # a top-k report: the cut by theme leaves a few rows
-            books = books.orderBy(F.desc(order[0]), order[1]).limit(n)
+            books = books.orderBy(F.desc(order[0]), *order[1:]).limit(n)
         else:
             books = books.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= n).drop("__n")
     return books

@@ -151,6 +151,15 @@ def test_staged_cut_and_gates(spark):
     assert sorted(str(r.call_number) for r in gated.collect()) == ["K1", "None", "Z"]
 
 
+def test_staged_cut_takes_the_same_of_equal_rows(spark):
+    rows = [("0", theme, 9.9) for theme in "fbdace"]
+    for order in (rows, rows[::-1]):
+        out = curation.staged_top(spark.createDataFrame(order, "barcode string, theme string, rating double"), ((("theme",), 6), ((), 3)))
+        assert [r.theme for r in out.collect()] == ["a", "b", "c"]
+        books = spark.createDataFrame(order, "barcode string, theme string, rating double").coalesce(1)
+        assert [r.theme for r in curation.staged_top(books, (((), 3),)).collect()] == ["a", "b", "c"]
+
+
 def test_manifest(spark):
     scan = spark.createDataFrame([("a",), ("b",)], "filename string")
     done = spark.createDataFrame([("b",), ("c",)], "filename string")
