@@ -9,6 +9,7 @@ from html import unescape
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,6 +271,21 @@ def test_toxicity_edges(spark):
     assert toxicity.score(df.limit(0), empty).count() == 0
 
 
+def test_toxicity_gets_texts_by_bytes(spark):
+    """Texts go to Python a few MB at a time, however many there are and however long they are, and all are scored."""
+    df = spark.range(0, 2000, 1, 1).selectExpr("id as doc_id", "repeat('fine day ', 2000) as text")  # 36 MB in one partition
+    model = toxicity.Model(np.zeros((toxicity.BUCKETS, toxicity.DIM), np.float32), [], np.zeros(0), np.zeros(0), 0.0, constant=True)
+    scored = toxicity.score(df, model)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    got = scored.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 2000
+    assert max(r.size for r in got) < 6_000_000, got
+
+
 # SentencePiece
 
 
