@@ -286,6 +286,21 @@ def test_toxicity_gets_texts_by_bytes(spark):
     assert max(r.size for r in got) < 6_000_000, got
 
 
+def test_toxicity_sample_reaches_the_driver_in_parts(spark, monkeypatch):
+    """No part holds the words of all rows of a label."""
+    df = spark.createDataFrame([(k, "bad " if k % 2 else "fine ", k % 2) for k in range(400)], "doc_id long, text string, toxic int")
+    kind, parts = type(df), []
+    whole = kind.toLocalIterator
+
+    def spied(self, *args, **more):
+        parts.extend(r["count"] for r in self.groupBy(F.spark_partition_id()).count().collect())
+        return whole(self, *args, **more)
+
+    monkeypatch.setattr(kind, "toLocalIterator", spied)
+    toxicity.fit(df, df)
+    assert sum(parts) == 400 and max(parts) <= 100, parts
+
+
 # SentencePiece
 
 
