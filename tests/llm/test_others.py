@@ -301,6 +301,42 @@ def test_toxicity_sample_reaches_the_driver_in_parts(spark, monkeypatch):
     assert sum(parts) == 400 and max(parts) <= 100, parts
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """What only rows beyond the sample say, and only long texts, is learnt too; thresholds come from all held-out rows."""
+    rng = random.Random(14)
+    calm = lambda n: " ".join(rng.choices(["day", "tree", "stone", "bird", "lake", "hill"], k=n))
+    rows = [(k, calm(20) + (" vile" if k % 2 else ""), "en", k % 2) for k in range(400)]
+    rows += [(1000 + k, calm(400) + (" gruesome" if k % 2 else ""), "de", k % 2) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.fit(df, df, sample=40, train_bytes=300)
+    asked = spark.createDataFrame([(0, calm(20) + " gruesome"), (1, calm(20) + " vile"), (2, calm(20)), (3, calm(500))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(asked, model).collect()}
+    assert min(got[0], got[1]) > 0.5 > max(got[2], got[3]), got
+    assert set(model.thresholds) == {"en", "de", ""} and all(0 < model.thresholds[g] < 1 for g in ("en", "de"))
+    again = toxicity.fit(df.repartition(7), df, sample=40, train_bytes=300)
+    assert np.array_equal(again.embedding, model.embedding) and again.thresholds == model.thresholds
+
+
+def test_toxicity_shards_are_averaged(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 60)
+    rows = [(k, "fine day " * 5 + ("vile " if k % 2 else ""), k % 2) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df, sample=20)
+    got = [r.score for r in toxicity.score(df, model).orderBy("doc_id").collect()]
+    assert max(got[::2]) < 0.5 < min(got[1::2])
+
+
+def test_thresholds_of_tables_are_those_of_calibrate(spark):
+    rng = np.random.default_rng(15)
+    model = toxicity.Model(np.zeros((1, 1)), [], np.zeros(0), np.zeros(0), 0.0)
+    rows = [(g, int(y), float(np.clip(rng.normal(0.4 + 0.2 * y, 0.2), 0, 1))) for g, n in (("en", 300), ("de", 90), ("fr", 10)) for y in rng.integers(0, 2, n)] + [("xx", 0, 0.1 + k / 100) for k in range(30)]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "scores", lambda *_: np.array([s for _, _, s in rows]))
+        toxicity.calibrate(model, [(np.zeros((0, toxicity.COLUMNS), np.int32), y, g) for g, y, _ in rows])
+    got = toxicity._thresholds(spark.createDataFrame(rows, "lang string, label int, score double").repartition(5))
+    assert got.keys() == model.thresholds.keys() and all(got[g] == pytest.approx(t) for g, t in model.thresholds.items())
+
+
 # SentencePiece
 
 
