@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from lectern.llm import linededup, sentencepiece_codec
+from lectern.llm import linededup, sentencepiece_codec, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -181,3 +181,32 @@ def test_stages_without_rows(spark, folder):
     docs = spark.read.parquet(f"{root}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), root).count() == 0, name
+
+
+def test_near_duplicates_in_rounds_are_those_of_one(spark, monkeypatch):
+    """Some bands of one table at a time, and some pairs at a time, link what all at once do."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(30):
+        words = [f"w{rng.randrange(400)}" for _ in range(60)]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(k % 3 * 2):
+            near = list(words)
+            near[rng.randrange(60)] = "changed"
+            rows.append((len(rows), " ".join(near)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(tuple(r) for r in simhash.similar_groups(df, tables=3).collect())
+    assert whole and [len(a) * len(b) for a, b in simhash._rounds(len(rows), 8, 3)] == [24]
+    monkeypatch.setattr(simhash, "ROUND", 0)
+    monkeypatch.setattr(simhash, "LEAST", 4)
+    monkeypatch.setattr(simhash, "PAIRS", 40)
+    assert [len(b) for _, b in simhash._rounds(len(rows), 8, 3)] == [4] * 6
+    assert sorted(tuple(r) for r in simhash.similar_groups(df, tables=3).collect()) == whole
+
+
+def test_dealt_fingerprints_are_not_broadcast(spark):
+    """Spark takes a table after an explode for as small as before it."""
+    nodes = spark.createDataFrame([(k, k * 7919) for k in range(50)], "id long, fingerprint long")
+    groups = spark.createDataFrame([(0, 1)], "band int, value long")
+    for made in (simhash.links(nodes), simhash.unlike(nodes.withColumn("class", nodes.id), groups)):
+        assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
