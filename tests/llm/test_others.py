@@ -194,6 +194,15 @@ def test_a_stamp_on_every_picture_hides_no_copy(spark):
     assert sum(out[10 * k + 1].class_id == out[10 * k].class_id for k in range(40)) >= 36
 
 
+def test_pictures_are_drawn_by_many_tasks(spark, monkeypatch):
+    """However few files the vectors lie in."""
+    monkeypatch.setattr(images, "DRAWN", 10)
+    vectors = spark.range(0, 40, 1, 1).selectExpr("id as vec_id", "array(cast(id as float), 1f) as embedding")
+    drawn = images.from_embeddings(vectors)
+    assert drawn.rdd.getNumPartitions() == 4
+    assert sorted(r.image_id for r in drawn.collect()) == sorted([2 * k for k in range(40)] + [2 * k + 1 for k in range(0, 40, 4)])
+
+
 def test_every_pair_of_copies_is_a_link(spark):
     """More copies of a picture than a descriptor was once compared with, beside others."""
     base = images.picture(3)
